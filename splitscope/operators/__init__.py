@@ -3,6 +3,11 @@
 from .clean import clean, normal, normal_predicate, quality_flag
 from .randomization import balance, chi_square, contingency, observed_cells, quality_checks, randomization_test
 from .summary import group_summary, kpi_lift, prep_summary, quality_breakdown
+from .distribution import binned, distribution, histogram, level_counts, rate_by_level, time_buckets
+from .funnel import funnel
+from .journey import first_conversion, sessions_to_conversion, touch_attribution, user_rollup, user_summary
+from .segments import country_profile, device_lift_share, device_profile, profile, segment_lift, segment_profile
+from .temporal import daily_trend, hourly_trend, monthly_trend, weekday_trend
 
 __all__ = [
     "clean",
@@ -19,4 +24,26 @@ __all__ = [
     "kpi_lift",
     "prep_summary",
     "quality_breakdown",
+    "binned",
+    "distribution",
+    "histogram",
+    "level_counts",
+    "rate_by_level",
+    "time_buckets",
+    "funnel",
+    "first_conversion",
+    "sessions_to_conversion",
+    "touch_attribution",
+    "user_rollup",
+    "user_summary",
+    "country_profile",
+    "device_lift_share",
+    "device_profile",
+    "profile",
+    "segment_lift",
+    "segment_profile",
+    "daily_trend",
+    "hourly_trend",
+    "monthly_trend",
+    "weekday_trend",
 ]
