@@ -8,6 +8,10 @@ from .funnel import funnel
 from .journey import first_conversion, sessions_to_conversion, touch_attribution, user_rollup, user_summary
 from .segments import country_profile, device_lift_share, device_profile, profile, segment_lift, segment_profile
 from .temporal import daily_trend, hourly_trend, monthly_trend, weekday_trend
+from .business import findings, recommend, roi
+from .inference import chi2_outcome, correlations, metric_comparison, power_analysis, sensitivity, simpson_check
+from .inference import stratified_test, ztest
+from .model import covariate_cells, interaction, logit_model
 
 __all__ = [
     "clean",
@@ -46,4 +50,18 @@ __all__ = [
     "hourly_trend",
     "monthly_trend",
     "weekday_trend",
+    "findings",
+    "recommend",
+    "roi",
+    "chi2_outcome",
+    "correlations",
+    "metric_comparison",
+    "power_analysis",
+    "sensitivity",
+    "simpson_check",
+    "stratified_test",
+    "ztest",
+    "covariate_cells",
+    "interaction",
+    "logit_model",
 ]
