@@ -149,16 +149,24 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         nsum(f * f).alias("sff"),
         nsum(f * y).alias("sfy"),
     )
-    from .randomization import chi_square
-
-    chi = chi_square(cells.withColumnRenamed("obs", "observed"), "cookie_segment", "group_id", spec.alpha)
-    tot = cells.agg(
+    from ..functions.exprs import chi2_critical_col
+    from .randomization import _with_expected
+
+    # chi-square components on the cells, then one global aggregate over the same
+    # chain (a second consumer of ``cells`` would re-read the table)
+    comp = _with_expected(cells.withColumnRenamed("obs", "observed"), "cookie_segment", "group_id").withColumn(
+        "component",
+        F.pow(F.col("observed") - F.col("expected"), 2) / F.nullif(F.col("expected"), F.lit(0.0)),
+    )
+    tot = comp.agg(
         *[F.sum(c).alias(c) for c in ("nn", "sy", "syy", "sw", "sww", "swy", "sf", "sff", "sfy")],
         F.sum(F.when(F.col("group_id") == spec.control, F.col("sy"))).alias("conv_a"),
         F.sum(F.when(F.col("group_id") == spec.control, F.col("nn"))).alias("n_a"),
         F.sum(F.when(F.col("group_id") == spec.treatment, F.col("sy"))).alias("conv_b"),
         F.sum(F.when(F.col("group_id") == spec.treatment, F.col("nn"))).alias("n_b"),
-    )
+        F.sum("component").alias("stat"),
+        ((F.count_distinct("cookie_segment") - 1) * (F.count_distinct("group_id") - 1)).alias("dof"),
+    ).withColumn("critical_value", chi2_critical_col("dof", spec.alpha))
 
     def corr(sx, sxx, sxy):
         nn = F.col("nn").cast("double")
@@ -194,8 +202,7 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
     ).otherwise("4. Ready for statistical significance testing")
     lines = F.array(F.lit("EDA COMPLETE - KEY FINDINGS"), line1, line2, line3, line4)
     return (
-        tot.crossJoin(chi)  # both sides are global aggregates: exactly one row each
-        .select(F.posexplode(lines).alias("pos", "status"))
+        tot.select(F.posexplode(lines).alias("pos", "status"))
         .orderBy("pos")
         .select("status")
     )

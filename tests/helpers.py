@@ -1,0 +1,52 @@
+"""Hand-made session rows for unit tests."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+from splitscope.sources import SESSION_SCHEMA
+
+BASE_TS = dt.datetime(2025, 3, 3, 9, 0, 0)  # a Monday
+
+
+def row(
+    sid,
+    uid="u1",
+    arm="A",
+    ts=None,
+    device="desktop",
+    country="US",
+    segment="new_user",
+    load="1.00",
+    time="100.00",
+    widgets=1,
+    filters=1,
+    bounce=0,
+    conversion=0,
+):
+    return (
+        str(sid),
+        uid,
+        ts if ts is not None else BASE_TS,
+        arm,
+        device,
+        country,
+        segment,
+        None if load is None else Decimal(load),
+        widgets,
+        filters,
+        None if time is None else Decimal(time),
+        bounce,
+        conversion,
+    )
+
+
+def nullable_schema():
+    from pyspark.sql import types as T
+
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in SESSION_SCHEMA.fields])
+
+
+def sessions(spark, rows):
+    return spark.createDataFrame(rows, nullable_schema())

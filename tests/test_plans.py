@@ -1,0 +1,55 @@
+"""Plan shape: single scans where the report reads one table many times, pushdown of
+the quality rule into Parquet, no Python evaluation, no per-user window by default."""
+
+import re
+
+import pytest
+from conftest import SF01
+
+import __spark_entry__ as entry
+import splitscope as ss
+from splitscope.plans import inspect as pi
+
+
+def _plan(df):
+    return pi.executed_plan(df)
+
+
+@pytest.mark.parametrize("name", ["kpi_lift", "distribution_percentiles", "funnel", "findings", "metric_comparison"])
+def test_single_scan(spark, name):
+    df = entry.queries()[name](spark, SF01)
+    assert pi.scan_count(df) == 1, _plan(df)
+
+
+def test_no_python_evaluation_anywhere(spark):
+    for name, q in entry.queries().items():
+        if name == "logit_model":
+            continue
+        plan = _plan(q(spark, SF01))
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_first_conversion_has_no_window(spark):
+    df = entry.queries()["first_conversion"](spark, SF01)
+    assert "Window" not in _plan(df)
+
+
+def test_windows_only_on_aggregated_rows(spark):
+    # every Window in every default plan sits above an aggregate
+    for name, q in entry.queries().items():
+        if name in ("logit_model", "clean_sessions"):
+            continue
+        for chain in pi.window_inputs(q(spark, SF01)):
+            assert "Aggregate" in chain or "Union" in chain, (name, chain)
+
+
+def test_normal_filter_pushed_into_parquet(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    ss.write_sessions(ss.load_test_sessions(spark, SF01), path)
+    c = ss.clean(ss.read_sessions(spark, path))
+    plan = _plan(ss.group_summary(c))
+    assert "PushedFilters: [Or(IsNull(page_load_time_sec),And(GreaterThanOrEqual(page_load_time_sec" in plan, plan
+    assert "time_on_dashboard_sec#" in plan and "DataFilters: [(isnull(page_load_time_sec" in plan
+    # column pruning: the summary never reads country, device or the timestamp
+    scanned = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    assert scanned and all("country" not in s and "device_type" not in s and "session_timestamp" not in s for s in scanned)
