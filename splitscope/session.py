@@ -31,6 +31,9 @@ def build_session(master: str = "local[8]", app: str = "splitscope", conf: dict[
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # PySpark 4 inspects the Python stack on every API call to annotate error
+        # messages; plan building is several times faster without it
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf or {})
     for key, value in settings.items():

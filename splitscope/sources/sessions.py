@@ -111,9 +111,21 @@ def sessions_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+EVENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+
 def load_test_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions derived from ``{sf_dir}/events.parquet``."""
-    return sessions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """Sessions derived from ``{sf_dir}/events.parquet`` (declared schema: no footer inference)."""
+    return sessions_from_events(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def conform(df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
