@@ -24,12 +24,10 @@ def _rates(clean_df: DataFrame, dim: str | None, spec: ExperimentSpec) -> DataFr
     ]
     if dim is None:
         return n.agg(*aggs).select(F.lit("All").alias("segment"), "*")
-    per = n.groupBy(dim).agg(*aggs)
-    # the 'All' row is the sum of the per-value rows: no second pass over sessions
-    total = per.agg(*[F.sum(c).alias(c) for c in ("n_a", "n_b", "x_a", "x_b")]).select(
-        F.lit("All").alias(dim), "n_a", "n_b", "x_a", "x_b"
-    )
-    return per.unionByName(total).withColumnRenamed(dim, "segment")
+    # per-value rows and the 'All' total in one pass: rollup over the dimension
+    rolled = n.rollup(dim).agg(*aggs, F.grouping(dim).alias("is_total"))
+    label = F.when(F.col("is_total") == 1, F.lit("All")).otherwise(F.col(dim).cast("string"))
+    return rolled.select(label.alias("segment"), "n_a", "n_b", "x_a", "x_b")
 
 
 def roi(

@@ -134,31 +134,34 @@ def simpson_check(
 
     Our reading of "no Simpson's paradox": the paradox is present when every stratum
     shows a difference of the opposite sign to the pooled difference. The pooled
-    counts are the sums of the stratum counts (one pass). One row.
+    counts are the sums of the stratum counts (one pass). One row (none without strata).
     """
     n = normal(clean_df, spec)
     strata = _arm_counts(n, outcome, [dim], spec).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
-    strata = strata.withColumn(
-        "sign", F.signum(F.col("x_b") / F.col("n_b").cast("double") - F.col("x_a") / F.col("n_a").cast("double"))
+    diff = F.col("x_b") / F.col("n_b").cast("double") - F.col("x_a") / F.col("n_a").cast("double")
+    # pooled counts over the aggregated strata rows (one small window, no second pass)
+    allw = Window.partitionBy()
+    pooled_diff = F.sum("x_b").over(allw) / F.sum("n_b").over(allw).cast("double") - F.sum("x_a").over(allw) / F.sum(
+        "n_a"
+    ).over(allw).cast("double")
+    per = strata.select(F.signum(diff).alias("sign"), pooled_diff.alias("pooled_diff")).withColumn(
+        "overall_sign", F.signum("pooled_diff")
     )
-    summary = strata.agg(
-        F.sum("n_a").alias("n_a"),
-        F.sum("n_b").alias("n_b"),
-        F.sum("x_a").alias("x_a"),
-        F.sum("x_b").alias("x_b"),
+    summary = per.groupBy("pooled_diff", "overall_sign").agg(
         F.count("*").alias("strata"),
-        F.collect_list("sign").alias("signs"),  # one entry per stratum: bounded by the dimension
-    )
-    overall = F.signum(F.col("x_b") / F.col("n_b").cast("double") - F.col("x_a") / F.col("n_a").cast("double"))
-    same = F.size(F.filter("signs", lambda x: x == overall))
-    opposite = F.size(F.filter("signs", lambda x: x == -overall))
-    return summary.filter(F.col("strata") > 0).select(
+        F.count_if(F.col("sign") == F.col("overall_sign")).alias("same"),
+        F.count_if(F.col("sign") == -F.col("overall_sign")).alias("opposite"),
+    ).withColumn("overall_diff_pp", rnd(F.col("pooled_diff") * 100, 4))
+    return summary.select(
         F.lit(dim).alias("dimension"),
-        rnd((F.col("x_b") / F.col("n_b") - F.col("x_a") / F.col("n_a")) * 100, 4).alias("overall_diff_pp"),
+        "overall_diff_pp",
         F.col("strata").cast("bigint").alias("strata"),
-        same.cast("bigint").alias("strata_same_direction"),
-        opposite.cast("bigint").alias("strata_opposite_direction"),
-        F.when((overall != 0) & (opposite == F.col("strata")), "YES - every stratum reverses the pooled effect")
+        F.col("same").cast("bigint").alias("strata_same_direction"),
+        F.col("opposite").cast("bigint").alias("strata_opposite_direction"),
+        F.when(
+            (F.col("overall_sign") != 0) & (F.col("opposite") == F.col("strata")),
+            "YES - every stratum reverses the pooled effect",
+        )
         .otherwise("NO")
         .alias("simpson_paradox"),
     )
@@ -307,30 +310,51 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
     * ``excluding_anomalies``: Normal and (clamped) Outlier rows;
     * ``first_session_per_user``: Normal rows, each user's first session only.
 
-    The first three share one pass (rows tagged with every scenario they belong to,
-    then one grouped aggregation); the last takes each user's first session with a
-    combinable ``min_by`` per user (no per-user sort).
+    One pass: a per-user aggregation holds the conditional counts of the row-level
+    scenarios and the user's first Normal session (``min_by``, no per-user sort);
+    a global aggregation sums them and ``stack`` gives one row per scenario.
     """
+    from .clean import normal_predicate
+
     q = F.col("data_quality")
-    tags = F.filter(
-        F.array(
-            F.lit("all_sessions"),
-            F.when(q == "Normal", F.lit("normal_only")),
-            F.when(q != "Anomaly", F.lit("excluding_anomalies")),
-        ),
-        lambda t: t.isNotNull(),
-    )
-    tagged = clean_df.select(
-        F.col("group_id").alias("test_group"), F.col(outcome).alias("y"), F.explode(tags).alias("scenario")
-    )
+    is_normal = normal_predicate(F.col("page_load_time_raw"), F.col("time_on_dashboard_raw"), spec)
+    y = F.col(outcome).cast("bigint")
+    arm = F.col("group_id")
+    # row-level scenarios, as conditional counts per arm
+    row_scenarios = {
+        "all_sessions": F.lit(True),
+        "normal_only": q == "Normal",
+        "excluding_anomalies": q != "Anomaly",
+    }
+    aggs = []
+    for name, cond in row_scenarios.items():
+        for side, label in (("a", spec.control), ("b", spec.treatment)):
+            hit = cond & (arm == label)
+            aggs += [F.count_if(hit).alias(f"{name}__n_{side}"), F.sum(F.when(hit, y)).alias(f"{name}__x_{side}")]
+    # each user's first Normal session (order: timestamp, then id): combinable min_by
     key = F.struct(F.col("session_timestamp").alias("ts"), F.col("session_id").alias("sid"))
-    first = (
-        normal(clean_df, spec)
-        .groupBy("user_id")
-        .agg(F.min_by(F.struct(F.col("test_group").alias("test_group"), F.col(outcome).alias("y")), key).alias("f"))
-        .select(F.col("f.test_group").alias("test_group"), F.col("f.y").alias("y"), F.lit("first_session_per_user").alias("scenario"))
+    aggs.append(F.min_by(F.struct(arm.alias("arm"), y.alias("y")), F.when(is_normal, key)).alias("first"))
+    # one pass: per-user partial sums (a hot user is pre-aggregated map-side), then totals
+    per_user = clean_df.groupBy("user_id").agg(*aggs)
+    totals = []
+    for name in row_scenarios:
+        for side in ("a", "b"):
+            totals += [
+                F.sum(f"{name}__n_{side}").alias(f"{name}__n_{side}"),
+                F.coalesce(F.sum(f"{name}__x_{side}"), F.lit(0)).alias(f"{name}__x_{side}"),
+            ]
+    for side, label in (("a", spec.control), ("b", spec.treatment)):
+        first_hit = F.col("first.arm") == label
+        totals += [
+            F.count_if(first_hit).alias(f"first_session_per_user__n_{side}"),
+            F.coalesce(F.sum(F.when(first_hit, F.col("first.y"))), F.lit(0)).alias(f"first_session_per_user__x_{side}"),
+        ]
+    wide = per_user.agg(*totals)
+    names = [*row_scenarios, "first_session_per_user"]
+    stack_args = ", ".join(
+        f"'{nm}', {nm}__n_a, {nm}__n_b, {nm}__x_a, {nm}__x_b" for nm in names
     )
-    counts = _arm_counts(tagged.unionByName(first), "y", ["scenario"], spec).filter(
+    counts = wide.selectExpr(f"stack({len(names)}, {stack_args}) AS (scenario, n_a, n_b, x_a, x_b)").filter(
         (F.col("n_a") > 0) & (F.col("n_b") > 0)
     )
     s = _proportion_stats(spec.alpha)

@@ -24,16 +24,18 @@ def prep_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> Da
     """Status row over Normal sessions: sessions, users, sessions/user, first, last, days covered."""
     n = normal(clean_df, spec)
     ts = F.col("session_timestamp")
+    # one distinct aggregate next to count/min/max: Spark groups by user first, and
+    # that stage carries only three small buffers per user
     totals = n.agg(
         F.count("*").alias("total_sessions"),
+        F.count_distinct("user_id").alias("unique_users"),
         F.min(ts).alias("first_session"),
         F.max(ts).alias("last_session"),
     )
-    users = n.select("user_id").distinct().agg(F.count("*").alias("unique_users"))
     secs = F.expr(
         "timestampdiff(SECOND, date_trunc('second', first_session), date_trunc('second', last_session))"
     )
-    return totals.crossJoin(users).select(
+    return totals.select(
         F.lit("Data Preparation Complete").alias("status"),
         "total_sessions",
         "unique_users",
@@ -54,8 +56,16 @@ def quality_breakdown(clean_df: DataFrame) -> DataFrame:
     )
 
 
-def group_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
-    """Per-arm KPI summary over Normal sessions (18 columns)."""
+def group_summary(
+    clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC, approx_users: float | None = None
+) -> DataFrame:
+    """Per-arm KPI summary over Normal sessions (18 columns).
+
+    Distinct users are exact by default (a separate (arm, user) aggregation, so that
+    shuffle carries no percentile buffers). ``approx_users=rsd`` counts them with
+    HyperLogLog++ at that relative standard deviation instead: one pass, no shuffle
+    by user.
+    """
     n = normal(clean_df, spec)
     metrics = n.groupBy("test_group").agg(
         F.count("*").alias("total_sessions"),
@@ -74,7 +84,10 @@ def group_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> D
         pct("widget_engaged").alias("pct_sessions_with_widgets"),
         pct("filter_engaged").alias("pct_sessions_with_filters"),
     )
-    users = _distinct_users(n, ["test_group"])
+    if approx_users:
+        users = n.groupBy("test_group").agg(F.approx_count_distinct("user_id", approx_users).alias("unique_users"))
+    else:
+        users = _distinct_users(n, ["test_group"])
     # one row per arm on each side; AQE turns this into a broadcast join from the measured sizes
     return (
         metrics.join(users, "test_group")

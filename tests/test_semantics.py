@@ -91,3 +91,12 @@ def test_quality_checks_counts_nulls_and_duplicates(spark):
     assert out["rows"] == 3 and out["duplicate_session_ids"] == 1
     assert out["null_page_load_time_sec"] == 1 and out["null_time_on_dashboard_sec"] == 1
     assert out["sessions_A"] == 2 and out["pct_B"] == 33.33
+
+
+def test_group_summary_approx_users_close_to_exact(spark):
+    from conftest import SF01
+
+    c = ss.clean(ss.load_test_sessions(spark, SF01))
+    exact = {r.test_group: r.unique_users for r in ss.group_summary(c).collect()}
+    approx = {r.test_group: r.unique_users for r in ss.group_summary(c, approx_users=0.01).collect()}
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
