@@ -58,3 +58,15 @@ def test_logit_rows_and_entry(spark):
     assert "treatment_B" in terms and "intercept" in terms
     flagship = entry.entry(spark)
     assert flagship.count() == 2
+
+
+def test_output_types_are_hash_stable(spark, duck):
+    # both engines must print the same Python values: only BIGINT, DOUBLE, VARCHAR
+    for name, q in QUERIES.items():
+        if name == "logit_model":
+            continue
+        kinds = {f.dataType.simpleString() for f in q(spark, SF01).schema.fields}
+        assert kinds <= {"bigint", "double", "string"}, (name, kinds)
+    for name, sql in ORACLE.items():
+        kinds = {str(t) for t in duck.sql(sql).types}
+        assert kinds <= {"BIGINT", "DOUBLE", "VARCHAR"}, (name, kinds)
