@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import normal_sf, rnd
+from ..functions.exprs import chi2_critical_col, normal_sf, rnd
 from ..spec import DEFAULT_ROI, DEFAULT_SPEC, ExperimentSpec, RoiAssumptions
-from .clean import normal
+from .clean import normal, normal_predicate
+from .randomization import with_expected
 
 
 def _rates(clean_df: DataFrame, dim: str | None, spec: ExperimentSpec) -> DataFrame:
@@ -125,8 +126,6 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
     Normal rows, the additive sums behind the conversion rates and the
     widgets/filters-to-conversion correlations.
     """
-    from .clean import normal_predicate
-
     is_normal = normal_predicate(F.col("page_load_time_raw"), F.col("time_on_dashboard_raw"), spec)
     y = F.col("conversion").cast("double")
     w = F.col("widgets_viewed").cast("double")
@@ -147,12 +146,9 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         nsum(f * f).alias("sff"),
         nsum(f * y).alias("sfy"),
     )
-    from ..functions.exprs import chi2_critical_col
-    from .randomization import _with_expected
-
     # chi-square components on the cells, then one global aggregate over the same
     # chain (a second consumer of ``cells`` would re-read the table)
-    comp = _with_expected(cells.withColumnRenamed("obs", "observed"), "cookie_segment", "group_id").withColumn(
+    comp = with_expected(cells.withColumnRenamed("obs", "observed"), "cookie_segment", "group_id").withColumn(
         "component",
         F.pow(F.col("observed") - F.col("expected"), 2) / F.nullif(F.col("expected"), F.lit(0.0)),
     )

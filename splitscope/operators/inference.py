@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_d, normal_cdf, normal_quantile, normal_sf, rnd, two_sided_p
 from ..spec import DEFAULT_SPEC, ExperimentSpec
-from .clean import normal
+from .clean import normal, normal_predicate
 from .randomization import chi_square
 
 
@@ -314,8 +314,6 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
     scenarios and the user's first Normal session (``min_by``, no per-user sort);
     a global aggregation sums them and ``stack`` gives one row per scenario.
     """
-    from .clean import normal_predicate
-
     q = F.col("data_quality")
     is_normal = normal_predicate(F.col("page_load_time_raw"), F.col("time_on_dashboard_raw"), spec)
     y = F.col(outcome).cast("bigint")

@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import rnd, two_sided_p
 from ..spec import DEFAULT_SPEC, ExperimentSpec
@@ -23,17 +22,6 @@ from .clean import normal
 # Pre-treatment confounders the model controls for.
 CONFOUNDERS = ("device_type", "cookie_segment", "country")
 
-COEF_SCHEMA = T.StructType(
-    [
-        T.StructField("term", T.StringType()),
-        T.StructField("coefficient", T.DoubleType()),
-        T.StructField("std_error", T.DoubleType()),
-        T.StructField("z_value", T.DoubleType()),
-        T.StructField("p_value", T.DoubleType()),
-        T.StructField("odds_ratio", T.DoubleType()),
-    ]
-)
-
 
 def covariate_cells(
     clean_df: DataFrame, covariates: Sequence[str], outcome: str = "conversion", spec: ExperimentSpec = DEFAULT_SPEC

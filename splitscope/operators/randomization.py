@@ -31,7 +31,8 @@ def observed_cells(df: DataFrame, dim: str, arm: str = "group_id") -> DataFrame:
     return df.groupBy(dim, arm).agg(F.count("*").alias("observed"))
 
 
-def _with_expected(cells: DataFrame, dim: str, arm: str) -> DataFrame:
+def with_expected(cells: DataFrame, dim: str, arm: str) -> DataFrame:
+    """Adds the independence expectation ``row total * column total / total`` to each cell."""
     row_total = F.sum("observed").over(Window.partitionBy(dim)).cast("double")
     col_total = F.sum("observed").over(Window.partitionBy(arm)).cast("double")
     total = F.sum("observed").over(Window.partitionBy()).cast("double")
@@ -41,7 +42,7 @@ def _with_expected(cells: DataFrame, dim: str, arm: str) -> DataFrame:
 def contingency(clean_df: DataFrame, dim: str = "cookie_segment", arm: str = "group_id") -> DataFrame:
     """Observed and expected (independence) count per ``dim x arm`` cell."""
     cells = observed_cells(clean_df, dim, arm)
-    return _with_expected(cells, dim, arm).select(dim, arm, "observed", "expected").orderBy(dim, arm)
+    return with_expected(cells, dim, arm).select(dim, arm, "observed", "expected").orderBy(dim, arm)
 
 
 def chi_square(cells: DataFrame, dim: str, arm: str, alpha: float) -> DataFrame:
@@ -50,7 +51,7 @@ def chi_square(cells: DataFrame, dim: str, arm: str, alpha: float) -> DataFrame:
     ``df = (rows - 1) * (columns - 1)`` from the observed levels; the critical value is
     looked up for that df and ``alpha``; the p-value uses the closed-form tail.
     """
-    comp = _with_expected(cells, dim, arm).select(
+    comp = with_expected(cells, dim, arm).select(
         dim,
         arm,
         (F.pow(F.col("observed") - F.col("expected"), 2) / F.nullif(F.col("expected"), F.lit(0.0))).alias("component"),
