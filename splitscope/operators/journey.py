@@ -8,8 +8,8 @@ sessions in a single task:
 * the first-conversion session number is found without a per-user window: the
   first converting session key per (user, arm) is a combinable ``min``, and its
   number is the count of the user's sessions at or before that key, computed by a
-  join on ``user_id`` (AQE splits a hot user's partition) followed by a
-  combinable count.
+  join on ``user_id`` (AQE splits a hot user's partition; see ``first_conversion``)
+  followed by a combinable count.
 """
 
 from __future__ import annotations
@@ -83,12 +83,19 @@ def first_conversion(clean_df: DataFrame, method: str = "join", spec: Experiment
         .groupBy("user_id", "test_group")
         .agg(F.min(F.struct(F.col("session_timestamp").alias("ts"), F.col("session_id").alias("sid"))).alias("k"))
     )
+    # The count is grouped by one struct (user, arm, conversion key) rather than by the
+    # join key, so it gets its own exchange fed by per-task partial counts, and AQE
+    # may split a hot user's join partition over many tasks without adding a shuffle
+    # (it declines to split when the next operator would reuse the join's user_id
+    # partitioning, which would leave that user's count to one task).
+    first_key = first_key.select("user_id", F.struct("user_id", "test_group", "k").alias("fk"))
     visits = n.select("user_id", "session_timestamp", "session_id")
     return (
         visits.join(first_key, "user_id")
-        .filter(_before_or_at(F.col("session_timestamp"), F.col("session_id"), F.col("k")))
-        .groupBy("user_id", "test_group")
+        .filter(_before_or_at(F.col("session_timestamp"), F.col("session_id"), F.col("fk.k")))
+        .groupBy("fk")
         .agg(F.count("*").alias("session_of_first_conversion"))
+        .select("fk.user_id", "fk.test_group", "session_of_first_conversion")
     )
 
 

@@ -43,3 +43,38 @@ def test_rollup_of_hot_user_is_exact(spark):
     c = _skewed(spark)
     r = ss.user_rollup(c).filter(F.col("user_id") == "hot").orderBy("test_group").collect()
     assert [(x.test_group, x.total_sessions, x.total_conversions) for x in r] == [("A", 266, 2), ("B", 134, 1)]
+
+
+def test_hot_user_partition_is_split_in_the_join(spark):
+    """With broadcast off and skew thresholds scaled down to test size, AQE splits the
+    hot user's partition of the sessions side (the plan shows a skewed sort-merge join)."""
+    from splitscope.plans.inspect import executed_plan
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        c = _skewed(spark, n_hot=6000, n_cold=600)
+        df = ss.first_conversion(c, "join")
+        rows = df.collect()
+        plan = executed_plan(df)
+        assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan, plan
+        # the count after the join is a hash aggregate with its own exchange
+        after_join = plan.split("SortMergeJoin(skew=true)")[0]
+        assert "HashAggregate" in after_join and "Exchange hashpartitioning(fk" in after_join, plan
+        ref = ss.first_conversion(c, "window").collect()
+        assert sorted(rows) == sorted(ref)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
