@@ -11,7 +11,7 @@ from .clean import normal, normal_predicate
 from .randomization import with_expected
 
 
-def _rates(clean_df: DataFrame, dim: str | None, spec: ExperimentSpec) -> DataFrame:
+def _rates(clean_df: DataFrame, dim: str | None, spec: ExperimentSpec, with_total: bool = True) -> DataFrame:
     """Per ``dim`` value (or overall): sessions and conversions of each arm, plus a rollup row 'All'."""
     n = normal(clean_df, spec)
     is_a = F.col("test_group") == spec.control
@@ -25,6 +25,8 @@ def _rates(clean_df: DataFrame, dim: str | None, spec: ExperimentSpec) -> DataFr
     ]
     if dim is None:
         return n.agg(*aggs).select(F.lit("All").alias("segment"), "*")
+    if not with_total:
+        return n.groupBy(dim).agg(*aggs).select(F.col(dim).cast("string").alias("segment"), "n_a", "n_b", "x_a", "x_b")
     # per-value rows and the 'All' total in one pass: rollup over the dimension
     rolled = n.rollup(dim).agg(*aggs, F.grouping(dim).alias("is_total"))
     label = F.when(F.col("is_total") == 1, F.lit("All")).otherwise(F.col(dim).cast("string"))
@@ -85,9 +87,7 @@ def recommend(
     both the test and the revenue projection.
     """
     a = assumptions
-    rates = _rates(clean_df, dim, spec).filter(
-        (F.col("segment") != "All") & (F.col("n_a") > 0) & (F.col("n_b") > 0)
-    )
+    rates = _rates(clean_df, dim, spec, with_total=False).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     p_a, p_b = F.col("x_a") / n_a, F.col("x_b") / n_b
     pooled = (F.col("x_a") + F.col("x_b")) / (n_a + n_b)
