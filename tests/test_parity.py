@@ -70,3 +70,19 @@ def test_output_types_are_hash_stable(spark, duck):
     for name, sql in ORACLE.items():
         kinds = {str(t) for t in duck.sql(sql).types}
         assert kinds <= {"BIGINT", "DOUBLE", "VARCHAR"}, (name, kinds)
+
+
+@pytest.mark.parametrize(
+    "name", ["clean_sessions", "prep_summary", "daily_trend", "monthly_trend", "weekday_trend", "hourly_trend"]
+)
+def test_time_queries_ignore_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        sdf = QUERIES[name](spark, SF01)
+        s_cols, s_rows = _rows(sdf.columns, [tuple(r) for r in sdf.collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    rel = duck.sql(ORACLE[name])
+    d_cols, d_rows = _rows(rel.columns, rel.fetchall())
+    assert s_cols == d_cols and s_rows == d_rows
