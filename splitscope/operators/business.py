@@ -126,7 +126,7 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
     Normal rows, the additive sums behind the conversion rates and the
     widgets/filters-to-conversion correlations.
     """
-    is_normal = normal_predicate(F.col("page_load_time_raw"), F.col("time_on_dashboard_raw"), spec)
+    is_normal = normal_predicate("page_load_time_raw", "time_on_dashboard_raw", spec)
     y = F.col("conversion").cast("double")
     w = F.col("widgets_viewed").cast("double")
     f = F.col("filters_applied").cast("double")

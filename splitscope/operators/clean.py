@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp, flag
 from ..sources.sessions import conform
 from ..spec import DEFAULT_SPEC, ExperimentSpec
 
@@ -23,9 +22,14 @@ WEEKDAY_RANK = {"Monday": 1, "Tuesday": 2, "Wednesday": 3, "Thursday": 4, "Frida
 QUALITY_NORMAL = "Normal"
 
 
-def weekday_name(ts: Column) -> Column:
+def _num(v: float) -> str:
+    return repr(int(v)) if float(v).is_integer() else repr(float(v))
+
+
+def weekday_name_sql(ts: str) -> str:
     """Full English weekday of a (zone-less) timestamp; independent of the session time zone."""
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.dayofweek(F.to_date(ts)))
+    names = ", ".join(f"'{d}'" for d in WEEKDAYS)
+    return f"element_at(array({names}), dayofweek(to_date({ts})))"
 
 
 def weekday_rank(day: Column) -> Column:
@@ -35,55 +39,71 @@ def weekday_rank(day: Column) -> Column:
     return expr
 
 
-def quality_flag(load: Column, dwell: Column, spec: ExperimentSpec = DEFAULT_SPEC) -> Column:
+def quality_sql(load: str, dwell: str, spec: ExperimentSpec = DEFAULT_SPEC) -> str:
     """Anomaly (any metric below its floor) before Outlier (any above its cap); NULLs are Normal."""
     (load_lo, load_hi), (dwell_lo, dwell_hi) = spec.load_bounds, spec.dwell_bounds
     return (
-        F.when((load < load_lo) | (dwell < dwell_lo), "Anomaly")
-        .when((load > load_hi) | (dwell > dwell_hi), "Outlier")
-        .otherwise(QUALITY_NORMAL)
+        f"CASE WHEN {load} < {_num(load_lo)} OR {dwell} < {_num(dwell_lo)} THEN 'Anomaly' "
+        f"WHEN {load} > {_num(load_hi)} OR {dwell} > {_num(dwell_hi)} THEN 'Outlier' "
+        f"ELSE '{QUALITY_NORMAL}' END"
     )
 
 
-def normal_predicate(load: Column, dwell: Column, spec: ExperimentSpec = DEFAULT_SPEC) -> Column:
-    """``quality_flag(...) == 'Normal'`` rewritten as range tests that Parquet can evaluate."""
+def normal_sql(load: str, dwell: str, spec: ExperimentSpec = DEFAULT_SPEC) -> str:
+    """``quality = 'Normal'`` rewritten as range tests that Parquet can evaluate."""
     (load_lo, load_hi), (dwell_lo, dwell_hi) = spec.load_bounds, spec.dwell_bounds
-    return (load.isNull() | load.between(load_lo, load_hi)) & (dwell.isNull() | dwell.between(dwell_lo, dwell_hi))
+    return (
+        f"({load} IS NULL OR {load} BETWEEN {_num(load_lo)} AND {_num(load_hi)}) AND "
+        f"({dwell} IS NULL OR {dwell} BETWEEN {_num(dwell_lo)} AND {_num(dwell_hi)})"
+    )
+
+
+def quality_flag(load: str, dwell: str, spec: ExperimentSpec = DEFAULT_SPEC) -> Column:
+    return F.expr(quality_sql(load, dwell, spec))
+
+
+def normal_predicate(load: str, dwell: str, spec: ExperimentSpec = DEFAULT_SPEC) -> Column:
+    return F.expr(normal_sql(load, dwell, spec))
+
+
+def _clamp_sql(x: str, lo: float, hi: float, type_: str) -> str:
+    """``<lo -> lo``, ``>hi -> hi``, else value; NULL stays NULL (unlike ``greatest/least``)."""
+    return f"CAST(CASE WHEN {x} < {_num(lo)} THEN {_num(lo)} WHEN {x} > {_num(hi)} THEN {_num(hi)} ELSE {x} END AS {type_})"
 
 
 def clean(sessions: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
-    """The cleaning view over a session table described by ``spec``."""
+    """The cleaning view over a session table described by ``spec``.
+
+    One projection written as SQL expressions (one call builds it); clamps keep the
+    source type of each metric.
+    """
     df = conform(sessions, spec)
-    load = F.col("page_load_time_sec")
-    dwell = F.col("time_on_dashboard_sec")
-    ts = F.col("session_timestamp")
-    load_type = df.schema["page_load_time_sec"].dataType.simpleString()
-    dwell_type = df.schema["time_on_dashboard_sec"].dataType.simpleString()
-    return df.select(
+    types = dict(df.dtypes)
+    load, dwell, ts = "page_load_time_sec", "time_on_dashboard_sec", "session_timestamp"
+    return df.selectExpr(
         "session_id",
         "user_id",
-        "session_timestamp",
+        ts,
         "group_id",
         "device_type",
         "country",
         "cookie_segment",
-        load.alias("page_load_time_raw"),
-        dwell.alias("time_on_dashboard_raw"),
-        clamp(load, *spec.load_bounds).cast(load_type).alias("page_load_time_clean"),
-        clamp(dwell, *spec.dwell_bounds).cast(dwell_type).alias("time_on_dashboard_clean"),
+        f"{load} AS page_load_time_raw",
+        f"{dwell} AS time_on_dashboard_raw",
+        f"{_clamp_sql(load, *spec.load_bounds, types[load])} AS page_load_time_clean",
+        f"{_clamp_sql(dwell, *spec.dwell_bounds, types[dwell])} AS time_on_dashboard_clean",
         "widgets_viewed",
         "filters_applied",
         "bounce",
         "conversion",
-        flag(F.col("widgets_viewed") > 0).alias("widget_engaged"),
-        flag(F.col("filters_applied") > 0).alias("filter_engaged"),
-        F.when(dwell >= spec.tier_high, "High").when(dwell >= spec.tier_medium, "Medium").otherwise("Low").alias(
-            "engagement_tier"
-        ),
-        F.date_format(F.to_date(ts), "yyyy-MM").alias("year_month"),
-        weekday_name(ts).alias("day_of_week"),
-        F.hour(ts).alias("hour_of_day"),
-        quality_flag(load, dwell, spec).alias("data_quality"),
+        "CASE WHEN widgets_viewed > 0 THEN 1 ELSE 0 END AS widget_engaged",
+        "CASE WHEN filters_applied > 0 THEN 1 ELSE 0 END AS filter_engaged",
+        f"CASE WHEN {dwell} >= {_num(spec.tier_high)} THEN 'High' WHEN {dwell} >= {_num(spec.tier_medium)} "
+        "THEN 'Medium' ELSE 'Low' END AS engagement_tier",
+        f"date_format(to_date({ts}), 'yyyy-MM') AS year_month",
+        f"{weekday_name_sql(ts)} AS day_of_week",
+        f"hour({ts}) AS hour_of_day",
+        f"{quality_sql(load, dwell, spec)} AS data_quality",
     )
 
 
@@ -93,11 +113,6 @@ def normal(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFram
     Also exposes the analysis aliases ``test_group``, ``conversion_flag`` and
     ``bounce_flag`` that the reports use for ``group_id``, ``conversion`` and ``bounce``.
     """
-    pred = normal_predicate(F.col("page_load_time_raw"), F.col("time_on_dashboard_raw"), spec)
-    return clean_df.filter(pred).withColumns(
-        {
-            "test_group": F.col("group_id"),
-            "conversion_flag": F.col("conversion"),
-            "bounce_flag": F.col("bounce"),
-        }
+    return clean_df.filter(normal_sql("page_load_time_raw", "time_on_dashboard_raw", spec)).selectExpr(
+        "*", "group_id AS test_group", "conversion AS conversion_flag", "bounce AS bounce_flag"
     )

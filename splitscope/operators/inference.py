@@ -315,7 +315,7 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
     a global aggregation sums them and ``stack`` gives one row per scenario.
     """
     q = F.col("data_quality")
-    is_normal = normal_predicate(F.col("page_load_time_raw"), F.col("time_on_dashboard_raw"), spec)
+    is_normal = normal_predicate("page_load_time_raw", "time_on_dashboard_raw", spec)
     y = F.col(outcome).cast("bigint")
     arm = F.col("group_id")
     # row-level scenarios, as conditional counts per arm

@@ -80,38 +80,36 @@ _COUNTRIES = ("US", "IN", "GB", "DE", "CA", "FR")  # event_id % 7 = 0..5, else O
 _SEGMENTS = ("new_user", "returning_low", "returning_med", "returning_high")  # user_id % 5 = 0..3, else anonymous
 
 
+def _case(subject: str, labels: tuple[str, ...], other: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{label}'" for i, label in enumerate(labels))
+    return f"CASE {subject} {whens} ELSE '{other}' END"
+
+
 def sessions_from_events(events: DataFrame) -> DataFrame:
     """Derive one session per ``events`` row (the test tables hold no session table).
 
     Narrow projections only, no shuffle. The JSON field ``k`` is read with
     ``json_tuple`` (top-level fields, one parse per event): as a generator output it
     is computed once, so the quality filter on the derived load time does not parse
-    the JSON again for each reference.
+    the JSON again for each reference. The rules are SQL expressions: one call
+    builds the whole projection.
     """
-    events = events.select("*", F.json_tuple(F.col("props"), "k").alias("k_text"))
-    eid = F.col("event_id")
-    uid = F.col("user_id")
-    k = F.col("k_text").cast("int")
-    country = F.when(eid % 7 == 0, _COUNTRIES[0])
-    for i, c in enumerate(_COUNTRIES[1:], start=1):
-        country = country.when(eid % 7 == i, c)
-    segment = F.when(uid % 5 == 0, _SEGMENTS[0])
-    for i, s in enumerate(_SEGMENTS[1:], start=1):
-        segment = segment.when(uid % 5 == i, s)
-    return events.select(
-        eid.cast("string").alias("session_id"),
-        uid.cast("string").alias("user_id"),
-        F.expr("timestampadd(DAY, CAST(event_id % 13 * 28 AS INT), ts)").alias("session_timestamp"),
-        F.when(uid % 2 == 0, "A").otherwise("B").alias("group_id"),
-        F.when(eid % 20 < 12, "desktop").when(eid % 20 < 19, "mobile").otherwise("tablet").alias("device_type"),
-        country.otherwise("Other").alias("country"),
-        segment.otherwise("anonymous").alias("cookie_segment"),
-        (k * F.lit(0.11).cast("decimal(3,2)") - F.lit(0.20).cast("decimal(3,2)")).cast("decimal(6,2)").alias("page_load_time_sec"),
-        (eid % 9).cast("int").alias("widgets_viewed"),
-        (eid % 11 % 5).cast("int").alias("filters_applied"),
-        (F.col("value").cast("decimal(7,2)") * 3 - 5).cast("decimal(7,2)").alias("time_on_dashboard_sec"),
-        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("bounce"),
-        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("conversion"),
+    parsed = events.select("*", F.json_tuple(F.col("props"), "k").alias("k_text"))
+    return parsed.selectExpr(
+        "CAST(event_id AS STRING) AS session_id",
+        "CAST(user_id AS STRING) AS user_id",
+        "timestampadd(DAY, CAST(event_id % 13 * 28 AS INT), ts) AS session_timestamp",
+        "CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS group_id",
+        "CASE WHEN event_id % 20 < 12 THEN 'desktop' WHEN event_id % 20 < 19 THEN 'mobile' ELSE 'tablet' END AS device_type",
+        f"{_case('event_id % 7', _COUNTRIES, 'Other')} AS country",
+        f"{_case('user_id % 5', _SEGMENTS, 'anonymous')} AS cookie_segment",
+        "CAST(CAST(k_text AS INT) * CAST(0.11 AS DECIMAL(3,2)) - CAST(0.20 AS DECIMAL(3,2)) AS DECIMAL(6,2))"
+        " AS page_load_time_sec",
+        "CAST(event_id % 9 AS INT) AS widgets_viewed",
+        "CAST(event_id % 11 % 5 AS INT) AS filters_applied",
+        "CAST(CAST(value AS DECIMAL(7,2)) * 3 - 5 AS DECIMAL(7,2)) AS time_on_dashboard_sec",
+        "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bounce",
+        "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS conversion",
     )
 
 

@@ -53,7 +53,7 @@ def test_clamps_tiers_quality(spark):
 
 def test_pushable_normal_rule_equals_case(spark):
     df = _grid(spark)
-    pred = normal_predicate(F.col("page_load_time_raw"), F.col("time_on_dashboard_raw"))
+    pred = normal_predicate("page_load_time_raw", "time_on_dashboard_raw")
     bad = df.filter((F.col("data_quality") == "Normal") != F.coalesce(pred, F.lit(False))).count()
     assert bad == 0
     assert ss.normal(df).count() == df.filter("data_quality = 'Normal'").count()
