@@ -45,12 +45,19 @@ def build_session(master: str = "local[8]", app: str = "splitscope", conf: dict[
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a scratch one only where none is set (tests)."""
+    """Return the session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session (tests, a laptop) without one gets a scratch folder;
+    on a cluster the folder must be shared by all executors, so a missing setting
+    is an error rather than a silent machine-local path.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or S3)")
     path = tempfile.mkdtemp(prefix="splitscope-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -107,3 +107,15 @@ def test_streaming_totals_match_batch(spark, tmp_path):
     }
     # every finalized day equals the batch count; only days behind the watermark are emitted
     assert emitted and all(batch_days[k] == v for k, v in emitted.items())
+
+
+def test_report_cli(spark, tmp_path, capsys):
+    from splitscope.__main__ import main
+
+    src = str(tmp_path / "sessions")
+    ss.write_sessions(ss.load_test_sessions(spark, SF001), src)
+    out = str(tmp_path / "out")
+    main(["--sessions", src, "--out", out, "--only", "group_summary", "kpi_lift"])
+    printed = capsys.readouterr().out
+    assert "== group_summary" in printed and "== kpi_lift" in printed
+    assert spark.read.parquet(f"{out}/kpi_lift").count() == 6
