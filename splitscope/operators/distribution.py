@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_d, pct, rnd
@@ -37,6 +37,49 @@ def binned(c: str | Column, bins: Sequence[Bin]) -> Column:
     return expr
 
 
+def exact_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    metrics: Sequence[tuple[str, str]],
+    probs: Sequence[float],
+) -> DataFrame:
+    """Exact percentiles (linear interpolation, as ``percentile``) and means per key and metric.
+
+    Scale plan: a ``percentile`` aggregate merges every task's value->count map for a
+    group in one reducer task, and with two arms that is two tasks for the whole
+    table. Instead the value histogram is an ordinary aggregation keyed by
+    (key, metric, value), spread over all reducers; its size is bounded by the
+    metric's distinct values, and cumulative counts over it (a window per key and
+    metric, ordered by value) locate the order statistics.
+
+    Output: ``keys``, ``metric`` (label), ``n``, ``q`` (array, one entry per prob), ``mean``.
+    """
+    stack_args = ", ".join(f"'{label}', CAST({c} AS DOUBLE)" for label, c in metrics)
+    long = df.select(*keys, F.expr(f"stack({len(metrics)}, {stack_args}) AS (metric, value)")).filter(
+        F.col("value").isNotNull()
+    )
+    hist = long.groupBy(*keys, "metric", "value").agg(F.count("*").alias("c"))
+    part = [*keys, "metric"]
+    upto = Window.partitionBy(*part).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumns(
+        {"first_index": F.sum("c").over(upto) - F.col("c"), "n": F.sum("c").over(Window.partitionBy(*part))}
+    )
+    aggs = [F.max("n").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean")]
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        # value at sorted index i = the largest value whose first index is <= i
+        aggs.append(F.max(F.when(F.col("first_index") <= F.floor(pos), F.col("value"))).alias(f"lo{i}"))
+        aggs.append(F.max(F.when(F.col("first_index") <= F.ceil(pos), F.col("value"))).alias(f"hi{i}"))
+    per = hist.groupBy(*part).agg(*aggs)
+    qs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        lo, hi = F.floor(pos), F.ceil(pos)
+        interp = (hi - pos) * F.col(f"lo{i}") + (pos - lo) * F.col(f"hi{i}")
+        qs.append(F.when((hi == lo) | (F.col(f"lo{i}") == F.col(f"hi{i}")), F.col(f"lo{i}")).otherwise(interp))
+    return per.select(*part, "n", F.array(*qs).alias("q"), "mean")
+
+
 def distribution(
     clean_df: DataFrame,
     metrics: Sequence[tuple[str, str]] = DISTRIBUTION_METRICS,
@@ -46,29 +89,29 @@ def distribution(
 ) -> DataFrame:
     """Percentiles (linear interpolation) and mean per arm and metric, in one pass.
 
-    One ``groupBy(arm)`` computes a percentile array per metric; ``stack`` turns the
-    wide row into one row per metric. Exact percentiles keep a value->count map per
-    arm, bounded by the metric's distinct values (two-decimal clamped metrics and
-    small counts); pass ``approx_accuracy`` for ``percentile_approx`` on unbounded ones.
+    Exact by default through the distributed value histogram of ``exact_percentiles``
+    (its size is bounded by the metrics' distinct values: two-decimal clamped metrics
+    and small counts). ``approx_accuracy`` switches to ``percentile_approx`` (small
+    fixed-size sketches) for metrics without such a bound.
     """
     n = normal(clean_df, spec)
-    prob_sql = ", ".join(repr(float(p)) for p in probs)
-    aggs = []
-    for i, (_, c) in enumerate(metrics):
-        if approx_accuracy:
-            q = F.expr(f"percentile_approx(CAST({c} AS DOUBLE), array({prob_sql}), {int(approx_accuracy)})")
-        else:
-            q = F.expr(f"percentile(CAST({c} AS DOUBLE), array({prob_sql}))")
-        aggs += [q.alias(f"q{i}"), avg_d(c).alias(f"m{i}")]
-    wide = n.groupBy("test_group").agg(*aggs)
-    stack_args = ", ".join(f"'{label}', q{i}, m{i}" for i, (label, _) in enumerate(metrics))
-    long = wide.selectExpr("test_group", f"stack({len(metrics)}, {stack_args}) AS (metric, q, m)")
     names = [_PCT_NAMES.get(round(p, 2), f"p{int(round(p * 100))}") for p in probs]
+    if approx_accuracy:
+        prob_sql = ", ".join(repr(float(p)) for p in probs)
+        aggs = []
+        for i, (_, c) in enumerate(metrics):
+            q = F.expr(f"percentile_approx(CAST({c} AS DOUBLE), array({prob_sql}), {int(approx_accuracy)})")
+            aggs += [q.alias(f"q{i}"), avg_d(c).alias(f"m{i}")]
+        wide = n.groupBy("test_group").agg(*aggs)
+        stack_args = ", ".join(f"'{label}', q{i}, m{i}" for i, (label, _) in enumerate(metrics))
+        long = wide.selectExpr("test_group", f"stack({len(metrics)}, {stack_args}) AS (metric, q, mean)")
+    else:
+        long = exact_percentiles(n, ["test_group"], metrics, probs)
     return long.select(
         "test_group",
         "metric",
         *[rnd(F.col("q")[i], 2).alias(name) for i, name in enumerate(names)],
-        rnd("m", 2).alias("mean"),
+        rnd("mean", 2).alias("mean"),
     ).orderBy("metric", "test_group")
 
 

@@ -9,6 +9,7 @@ from ..functions.exprs import avg_d, flag, pct, rnd, stddev0
 from ..spec import DEFAULT_SPEC, ExperimentSpec
 from .clean import normal
 from .common import share_of
+from .distribution import exact_percentiles
 
 
 def _distinct_users(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,19 +79,24 @@ def group_summary(
         rnd(avg_d("widgets_viewed"), 2).alias("avg_widgets_viewed"),
         rnd(avg_d("filters_applied"), 2).alias("avg_filters_applied"),
         rnd(avg_d("time_on_dashboard_clean"), 2).alias("avg_time_on_dashboard"),
-        rnd(F.median(F.col("time_on_dashboard_clean").cast("double")), 2).alias("median_time_on_dashboard"),
         rnd(avg_d("page_load_time_clean"), 2).alias("avg_page_load_time"),
-        rnd(F.median(F.col("page_load_time_clean").cast("double")), 2).alias("median_page_load_time"),
         pct("widget_engaged").alias("pct_sessions_with_widgets"),
         pct("filter_engaged").alias("pct_sessions_with_filters"),
     )
+    # medians from the distributed value histogram (see distribution.exact_percentiles)
+    med = exact_percentiles(
+        n, ["test_group"], [("time", "time_on_dashboard_clean"), ("load", "page_load_time_clean")], [0.5]
+    ).groupBy("test_group").agg(
+        rnd(F.max(F.when(F.col("metric") == "time", F.col("q")[0])), 2).alias("median_time_on_dashboard"),
+        rnd(F.max(F.when(F.col("metric") == "load", F.col("q")[0])), 2).alias("median_page_load_time"),
+    )
     if approx_users:
         users = n.groupBy("test_group").agg(F.approx_count_distinct("user_id", approx_users).alias("unique_users"))
     else:
         users = _distinct_users(n, ["test_group"])
-    # one row per arm on each side; AQE turns this into a broadcast join from the measured sizes
+    # one row per arm on every side; AQE turns these into broadcast joins from the measured sizes
     return (
-        metrics.join(users, "test_group")
+        metrics.join(users, "test_group").join(med, "test_group", "left")
         .select(
             "test_group",
             "total_sessions",

@@ -145,3 +145,28 @@ def test_chi2_tail_closed_form(spark):
         p_at = spark.range(1).select(chi2_sf(F.lit(crit), F.lit(r.k)).alias("p")).first().p
         assert math.isclose(p_at, 0.05, abs_tol=2e-7)
         assert 0.0 <= r.p <= 1.0
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.tuples(st.sampled_from(["A", "B"]), st.one_of(st.none(), st.integers(-3, 12))), min_size=1, max_size=80),
+    st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]), min_size=1, max_size=4),
+)
+def test_histogram_percentiles_equal_spark_percentile(spark, rows, probs):
+    from pyspark.sql import functions as F
+
+    from splitscope.operators.distribution import exact_percentiles
+
+    df = spark.createDataFrame(rows, "g string, v int")
+    ours = {
+        r.g: [round(x, 9) for x in r.q]
+        for r in exact_percentiles(df, ["g"], [("v", "v")], probs).collect()
+    }
+    ref = {
+        r.g: [round(x, 9) for x in r.q]
+        for r in df.groupBy("g")
+        .agg(F.expr(f"percentile(v, array({', '.join(map(str, probs))}))").alias("q"))
+        .collect()
+        if r.q is not None
+    }
+    assert ours == ref
