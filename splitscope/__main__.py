@@ -1,6 +1,6 @@
 """Run the experiment report as a Spark application.
 
-    spark-submit --py-files splitscope.zip -m splitscope \\
+    spark-submit --py-files splitscope.zip splitscope/__main__.py \\
         --sessions s3://bucket/sessions/ --format parquet --out s3://bucket/report/
 
     python -m splitscope --sessions sessions.csv --format csv --out /tmp/report --master local[8]
@@ -16,9 +16,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.report import analyses, run_report
-from .session import RECOMMENDED_CONF, ensure_checkpoint_dir
-from .sources.sessions import read_sessions, read_sessions_csv
+from splitscope.plans.report import analyses, run_report
+from splitscope.session import RECOMMENDED_CONF, ensure_checkpoint_dir
+from splitscope.sources.sessions import read_sessions, read_sessions_csv
 
 HEADLINES = ("group_summary", "kpi_lift", "ztest_conversion", "randomization_chi2", "findings")
 
