@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
-from ..spec import ExperimentSpec
 
 
 def share_of(n: str | Column, *partition_cols: str, digits: int = 2) -> Column:
@@ -18,19 +17,3 @@ def share_of(n: str | Column, *partition_cols: str, digits: int = 2) -> Column:
     n = F.col(n) if isinstance(n, str) else n
     w = Window.partitionBy(*partition_cols)
     return rnd(n.cast("double") * F.lit(100.0) / F.sum(n).over(w).cast("double"), digits)
-
-
-def arm_value(value: Column, arm_col: str, label: str) -> Column:
-    """Conditional aggregate that picks ``value`` of one arm (pivot without a self-join)."""
-    return F.max(F.when(F.col(arm_col) == label, value))
-
-
-def both_arms_present(arm_col: str, spec: ExperimentSpec) -> Column:
-    """True when a pivoted group holds rows of both arms (inner-join semantics)."""
-    return (F.sum(F.when(F.col(arm_col) == spec.control, 1).otherwise(0)) > 0) & (
-        F.sum(F.when(F.col(arm_col) == spec.treatment, 1).otherwise(0)) > 0
-    )
-
-
-def only_arms(df: DataFrame, arm_col: str, spec: ExperimentSpec) -> DataFrame:
-    return df.filter(F.col(arm_col).isin(spec.control, spec.treatment))

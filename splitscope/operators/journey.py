@@ -23,10 +23,14 @@ from .clean import normal
 from .common import share_of
 
 
-def user_rollup(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
-    """One row per (user, arm): sessions, conversions, ever converted, per-session averages."""
+def user_rollup(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC, digits: int | None = None) -> DataFrame:
+    """One row per (user, arm): sessions, conversions, ever converted, per-session averages.
+
+    Averages are unrounded unless ``digits`` is given (a float sum's last bits depend
+    on the summation order, so published tables round them).
+    """
     n = normal(clean_df, spec)
-    return n.groupBy("user_id", "test_group").agg(
+    out = n.groupBy("user_id", "test_group").agg(
         F.count("*").alias("total_sessions"),
         F.sum("conversion_flag").cast("bigint").alias("total_conversions"),
         F.max("conversion_flag").alias("ever_converted"),
@@ -34,6 +38,10 @@ def user_rollup(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> Dat
         avg_d("time_on_dashboard_clean").alias("avg_time_per_session"),
         avg_d("bounce_flag").alias("bounce_rate"),
     )
+    if digits is None:
+        return out
+    averages = ("avg_widgets_per_session", "avg_time_per_session", "bounce_rate")
+    return out.withColumns({c: rnd(c, digits) for c in averages})
 
 
 def user_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
