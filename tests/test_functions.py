@@ -1,0 +1,33 @@
+"""Column helpers against Python references: normal CDF, chi-square tail and critical values, rounding."""
+
+import math
+from statistics import NormalDist
+
+from pyspark.sql import functions as F
+
+from splitscope.functions import chi2_critical, chi2_critical_col, normal_cdf, rnd
+from splitscope.functions.exprs import CHI2_CRITICAL_05
+
+
+def test_normal_cdf_accuracy(spark):
+    zs = [-6.0, -3.3, -1.96, -1.0, -0.1, 0.0, 0.1, 1.0, 1.6449, 1.96, 3.3, 6.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_cdf("z").alias("p")).collect()
+    for r in rows:
+        assert abs(r.p - NormalDist().cdf(r.z)) <= 1.5e-7
+
+
+def test_critical_values(spark):
+    # the printed table agrees with the computed values
+    for df_, v in enumerate(CHI2_CRITICAL_05, start=1):
+        assert abs(chi2_critical(df_, 0.05) - v) < 6e-4, df_
+    df = spark.createDataFrame([(1,), (4,), (40,)], "k int")
+    got = [r.c for r in df.select(chi2_critical_col("k", 0.01).alias("c")).collect()]
+    assert got == [round(chi2_critical(1, 0.01), 3), round(chi2_critical(4, 0.01), 3), round(chi2_critical(40, 0.01), 3)]
+    assert abs(got[0] - 6.635) < 1e-3 and abs(got[1] - 13.277) < 1e-3
+
+
+def test_rounding_is_half_away_from_zero_on_decimals(spark):
+    vals = [2.675, 1.005, -2.675, 0.125, 18.735, 1e-12]
+    out = [r.x for r in spark.createDataFrame([(v,) for v in vals], "v double").select(rnd("v", 2).alias("x")).collect()]
+    assert out == [2.68, 1.01, -2.68, 0.13, 18.74, 0.0]
+    assert math.copysign(1.0, out[-1]) == 1.0
