@@ -66,13 +66,26 @@ def _before_or_at(ts: Column, sid: Column, key: Column) -> Column:
     return (ts < key["ts"]) | ((ts == key["ts"]) & (sid <= key["sid"]))
 
 
-def first_conversion(clean_df: DataFrame, method: str = "join", spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
+def _aqe_splits_skew(spark) -> bool:
+    conf = spark.conf
+    return (conf.get("spark.sql.adaptive.enabled", "true") or "").lower() == "true" and (
+        conf.get("spark.sql.adaptive.skewJoin.enabled", "true") or ""
+    ).lower() == "true"
+
+
+def first_conversion(
+    clean_df: DataFrame, method: str = "join", spec: ExperimentSpec = DEFAULT_SPEC, salt_buckets: int = 32
+) -> DataFrame:
     """Number of the first converting session per (user, arm).
 
     Sessions are numbered per user over all the user's sessions, ordered by
     timestamp then session id; a user seen in both arms is numbered across arms.
 
-    ``method="join"`` (default) is skew-safe and combinable (see module doc);
+    ``method="join"`` (default) is skew-safe and combinable (see module doc); when
+    the session has AQE's skew-join handling switched off it salts instead
+    (``method="salted"``): each session goes to one of ``salt_buckets`` buckets by a
+    hash of its id and the (small) key side is repeated per bucket, so a hot user is
+    spread over that many tasks regardless of runtime statistics.
     ``method="window"`` is the direct ``row_number`` form, for small data and tests.
     """
     n = normal(clean_df, spec).select("user_id", "test_group", "session_timestamp", "session_id", "conversion")
@@ -84,8 +97,9 @@ def first_conversion(clean_df: DataFrame, method: str = "join", spec: Experiment
             .groupBy("user_id", "test_group")
             .agg(F.min("session_number").alias("session_of_first_conversion"))
         )
-    if method != "join":
+    if method not in ("join", "salted"):
         raise ValueError(f"unknown method {method!r}")
+    salted = method == "salted" or not _aqe_splits_skew(clean_df.sparkSession)
     first_key = (
         n.filter(F.col("conversion") == 1)
         .groupBy("user_id", "test_group")
@@ -98,8 +112,14 @@ def first_conversion(clean_df: DataFrame, method: str = "join", spec: Experiment
     # partitioning, which would leave that user's count to one task).
     first_key = first_key.select("user_id", F.struct("user_id", "test_group", "k").alias("fk"))
     visits = n.select("user_id", "session_timestamp", "session_id")
+    keys = ["user_id"]
+    if salted:
+        visits = visits.withColumn("salt", F.pmod(F.xxhash64("session_id"), F.lit(salt_buckets)))
+        buckets = F.sequence(F.lit(0), F.lit(salt_buckets - 1)).cast("array<bigint>")
+        first_key = first_key.withColumn("salt", F.explode(buckets))
+        keys = ["user_id", "salt"]
     return (
-        visits.join(first_key, "user_id")
+        visits.join(first_key, keys)
         .filter(_before_or_at(F.col("session_timestamp"), F.col("session_id"), F.col("fk.k")))
         .groupBy("fk")
         .agg(F.count("*").alias("session_of_first_conversion"))

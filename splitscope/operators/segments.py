@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,17 +12,17 @@ from ..spec import DEFAULT_SPEC, ExperimentSpec
 from .clean import normal
 
 
-def _measures() -> dict[str, Column]:
-    return {
-        "sessions": F.count("*"),
-        "conversions": F.sum("conversion_flag").cast("bigint"),
-        "conversion_rate_pct": pct("conversion_flag"),
-        "bounce_rate_pct": pct("bounce_flag"),
-        "avg_widgets": rnd(avg_d("widgets_viewed"), 2),
-        "avg_filters": rnd(avg_d("filters_applied"), 2),
-        "avg_time_sec": rnd(avg_d("time_on_dashboard_clean"), 1),
-        "avg_load_time": rnd(avg_d("page_load_time_clean"), 2),
-    }
+# Named profile measures, built on demand.
+MEASURES: dict[str, Callable[[], Column]] = {
+    "sessions": lambda: F.count("*"),
+    "conversions": lambda: F.sum("conversion_flag").cast("bigint"),
+    "conversion_rate_pct": lambda: pct("conversion_flag"),
+    "bounce_rate_pct": lambda: pct("bounce_flag"),
+    "avg_widgets": lambda: rnd(avg_d("widgets_viewed"), 2),
+    "avg_filters": lambda: rnd(avg_d("filters_applied"), 2),
+    "avg_time_sec": lambda: rnd(avg_d("time_on_dashboard_clean"), 1),
+    "avg_load_time": lambda: rnd(avg_d("page_load_time_clean"), 2),
+}
 
 
 # Measure lists of the three published profiles, in column order.
@@ -41,9 +41,8 @@ def profile(
     spec: ExperimentSpec = DEFAULT_SPEC,
 ) -> DataFrame:
     """Named measures per ``dim x arm`` over Normal sessions (one grouped aggregation)."""
-    catalog = _measures()
     n = normal(clean_df, spec)
-    out = n.groupBy(dim, "test_group").agg(*[catalog[m].alias(m) for m in measures])
+    out = n.groupBy(dim, "test_group").agg(*[MEASURES[m]().alias(m) for m in measures])
     if order_by_sessions:
         return out.orderBy(F.desc("sessions"))
     return out.orderBy(dim, "test_group")

@@ -44,13 +44,6 @@ def prepared_clean(sessions: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) ->
     return materialize(ops.clean(sessions, spec), "clean_sessions", partition_by="year_month")
 
 
-# The measures of the one-pass profile table.
-PROFILE_MEASURES = (
-    "sessions", "conversions", "conversion_rate_pct", "bounce_rate_pct", "avg_widgets", "avg_filters",
-    "avg_time_sec", "avg_load_time",
-)
-
-
 def profiles(
     clean_df: DataFrame,
     dims: Sequence[str] = ("cookie_segment", "device_type", "country", "year_month", "day_of_week", "hour_of_day"),
