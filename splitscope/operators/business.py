@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chi2_critical_col, normal_sf, rnd
-from ..spec import DEFAULT_ROI, DEFAULT_SPEC, ExperimentSpec, RoiAssumptions
+from ..spec import (
+    DEFAULT_ROI,
+    DEFAULT_SPEC,
+    FINDINGS_BALANCED,
+    FINDINGS_READY,
+    FINDINGS_TITLE,
+    ExperimentSpec,
+    RoiAssumptions,
+)
 from .clean import normal, normal_predicate
 from .randomization import with_expected
 
@@ -190,11 +198,11 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
     )
     line3 = F.when(
         F.col("stat") > F.col("critical_value"), "3. Test groups are NOT balanced across segments"
-    ).otherwise("3. Test groups are well-balanced across segments")
+    ).otherwise(FINDINGS_BALANCED)
     line4 = F.when(
         F.col("stat") > F.col("critical_value"), "4. Fix randomization before significance testing"
-    ).otherwise("4. Ready for statistical significance testing")
-    lines = F.array(F.lit("EDA COMPLETE - KEY FINDINGS"), line1, line2, line3, line4)
+    ).otherwise(FINDINGS_READY)
+    lines = F.array(F.lit(FINDINGS_TITLE), line1, line2, line3, line4)
     return (
         tot.select(F.posexplode(lines).alias("pos", "status"))
         .orderBy("pos")

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sessions import conform
-from ..spec import DEFAULT_SPEC, ExperimentSpec
+from ..spec import DEFAULT_SPEC, QUALITY_LABELS, TIER_LABELS, ExperimentSpec
 
 # English weekday names, indexed by Spark's dayofweek (1 = Sunday).
 WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 # Monday-first display rank, by name.
 WEEKDAY_RANK = {"Monday": 1, "Tuesday": 2, "Wednesday": 3, "Thursday": 4, "Friday": 5, "Saturday": 6, "Sunday": 7}
 
-QUALITY_NORMAL = "Normal"
+ANOMALY, OUTLIER, QUALITY_NORMAL = QUALITY_LABELS
 
 
 def _num(v: float) -> str:
@@ -43,8 +43,8 @@ def quality_sql(load: str, dwell: str, spec: ExperimentSpec = DEFAULT_SPEC) -> s
     """Anomaly (any metric below its floor) before Outlier (any above its cap); NULLs are Normal."""
     (load_lo, load_hi), (dwell_lo, dwell_hi) = spec.load_bounds, spec.dwell_bounds
     return (
-        f"CASE WHEN {load} < {_num(load_lo)} OR {dwell} < {_num(dwell_lo)} THEN 'Anomaly' "
-        f"WHEN {load} > {_num(load_hi)} OR {dwell} > {_num(dwell_hi)} THEN 'Outlier' "
+        f"CASE WHEN {load} < {_num(load_lo)} OR {dwell} < {_num(dwell_lo)} THEN '{ANOMALY}' "
+        f"WHEN {load} > {_num(load_hi)} OR {dwell} > {_num(dwell_hi)} THEN '{OUTLIER}' "
         f"ELSE '{QUALITY_NORMAL}' END"
     )
 
@@ -98,8 +98,8 @@ def clean(sessions: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame
         "conversion",
         "CASE WHEN widgets_viewed > 0 THEN 1 ELSE 0 END AS widget_engaged",
         "CASE WHEN filters_applied > 0 THEN 1 ELSE 0 END AS filter_engaged",
-        f"CASE WHEN {dwell} >= {_num(spec.tier_high)} THEN 'High' WHEN {dwell} >= {_num(spec.tier_medium)} "
-        "THEN 'Medium' ELSE 'Low' END AS engagement_tier",
+        f"CASE WHEN {dwell} >= {_num(spec.tier_high)} THEN '{TIER_LABELS[0]}' "
+        f"WHEN {dwell} >= {_num(spec.tier_medium)} THEN '{TIER_LABELS[1]}' ELSE '{TIER_LABELS[2]}' END AS engagement_tier",
         f"date_format(to_date({ts}), 'yyyy-MM') AS year_month",
         f"{weekday_name_sql(ts)} AS day_of_week",
         f"hour({ts}) AS hour_of_day",

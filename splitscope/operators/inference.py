@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_d, normal_cdf, normal_quantile, normal_sf, rnd, two_sided_p
 from ..spec import DEFAULT_SPEC, ExperimentSpec
-from .clean import normal, normal_predicate
+from .clean import ANOMALY, QUALITY_NORMAL, normal, normal_predicate
 from .randomization import chi_square
 
 
@@ -321,8 +321,8 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
     # row-level scenarios, as conditional counts per arm
     row_scenarios = {
         "all_sessions": F.lit(True),
-        "normal_only": q == "Normal",
-        "excluding_anomalies": q != "Anomaly",
+        "normal_only": q == QUALITY_NORMAL,
+        "excluding_anomalies": q != ANOMALY,
     }
     aggs = []
     for name, cond in row_scenarios.items():

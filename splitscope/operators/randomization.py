@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chi2_critical_col, chi2_sf, rnd
-from ..spec import DEFAULT_SPEC, ExperimentSpec
+from ..spec import DEFAULT_SPEC, RANDOMIZATION_VERDICTS, ExperimentSpec
 from .common import share_of
 
 
@@ -76,8 +76,8 @@ def randomization_test(
     return res.select(
         rnd("stat", 4).alias("chi_square_statistic"),
         F.col("dof").alias("degrees_of_freedom"),
-        F.when(F.col("stat") > F.col("critical_value"), "REJECT NULL - Groups are NOT randomly assigned")
-        .otherwise("ACCEPT NULL - Groups appear randomly assigned")
+        F.when(F.col("stat") > F.col("critical_value"), RANDOMIZATION_VERDICTS[0])
+        .otherwise(RANDOMIZATION_VERDICTS[1])
         .alias("randomization_conclusion"),
         F.col("critical_value"),
         rnd("p_value", 6).alias("p_value"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_d, flag, pct, rnd, stddev0
-from ..spec import DEFAULT_SPEC, ExperimentSpec
+from ..spec import DEFAULT_SPEC, PREP_STATUS, ExperimentSpec
 from .clean import normal
 from .common import share_of
 from .distribution import exact_percentiles
@@ -37,7 +37,7 @@ def prep_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> Da
         "timestampdiff(SECOND, date_trunc('second', first_session), date_trunc('second', last_session))"
     )
     return totals.select(
-        F.lit("Data Preparation Complete").alias("status"),
+        F.lit(PREP_STATUS).alias("status"),
         "total_sessions",
         "unique_users",
         rnd(F.col("total_sessions") / F.col("unique_users"), 2).alias("avg_sessions_per_user"),

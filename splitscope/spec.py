@@ -74,6 +74,18 @@ TIME_BUCKETS: tuple[Bin, ...] = (
     Bin("5+ min"),
 )
 
+# Labels the reports print, as the analysis defines them.
+QUALITY_LABELS = ("Anomaly", "Outlier", "Normal")  # below a floor, above a cap, otherwise
+TIER_LABELS = ("High", "Medium", "Low")  # dwell time >= tier_high, >= tier_medium, otherwise
+PREP_STATUS = "Data Preparation Complete"
+RANDOMIZATION_VERDICTS = (
+    "REJECT NULL - Groups are NOT randomly assigned",
+    "ACCEPT NULL - Groups appear randomly assigned",
+)
+FINDINGS_TITLE = "EDA COMPLETE - KEY FINDINGS"
+FINDINGS_BALANCED = "3. Test groups are well-balanced across segments"
+FINDINGS_READY = "4. Ready for statistical significance testing"
+
 # Percentile levels of the distribution report.
 PERCENTILES: tuple[float, ...] = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
