@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import normal_quantile, normal_sf, rnd
 from ..operators.clean import clean, normal
+from ..session import ensure_checkpoint_dir
 from ..sources.sessions import SESSION_SCHEMA
 from ..spec import DEFAULT_SPEC, ExperimentSpec
 
@@ -108,3 +109,32 @@ def live_daily_trend(
             rnd(F.col("conversions") * F.lit(100.0) / F.col("sessions"), 2).alias("conversion_rate_pct"),
         )
     )
+
+
+def start(
+    live: DataFrame,
+    name: str,
+    output_mode: str,
+    sink: str = "parquet",
+    path: str | None = None,
+    trigger_seconds: int | None = None,
+):
+    """Start a streaming query whose state and progress live under the shared checkpoint folder.
+
+    The checkpoint (offsets, commits, aggregation state) is what lets a restarted
+    query resume exactly where it stopped after a driver or executor loss; it is
+    placed at ``{spark.checkpoint.dir}/streams/{name}``.
+    """
+    root = ensure_checkpoint_dir(live.sparkSession).rstrip("/")
+    writer = (
+        live.writeStream.queryName(name)
+        .outputMode(output_mode)
+        .format(sink)
+        .option("checkpointLocation", f"{root}/streams/{name}")
+    )
+    if path:
+        writer = writer.option("path", path)
+    if trigger_seconds:
+        writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    return writer.start()
+
