@@ -1,8 +1,8 @@
 """Temp views for SQL users.
 
-``register_views`` exposes the raw table, the cleaning view and the per-arm
-summary under the names analysts already query (``dashboard_sessions``,
-``vw_dashboard_clean``, ``vw_group_summary``), so report SQL written against
+``register_views`` exposes the raw table, the cleaning view, the per-arm
+summary and a one-row ``dual`` under the names analysts already query
+(``dashboard_sessions``, ``vw_dashboard_clean``, ``vw_group_summary``), so report SQL written against
 those views runs through ``spark.sql`` with Catalyst planning it exactly like
 the DataFrame operators. The cleaning view also carries the aliases
 ``test_group``, ``conversion_flag`` and ``bounce_flag`` that such reports use
@@ -18,6 +18,7 @@ from ..operators.clean import clean
 from ..operators.summary import group_summary
 from ..spec import DEFAULT_SPEC, ExperimentSpec
 
+DUAL_VIEW = "dual"
 RAW_VIEW = "dashboard_sessions"
 CLEAN_VIEW = "vw_dashboard_clean"
 SUMMARY_VIEW = "vw_group_summary"
@@ -35,8 +36,15 @@ def register_views(
             "bounce_flag": F.col("bounce"),
         }
     )
-    names = {"raw": prefix + RAW_VIEW, "clean": prefix + CLEAN_VIEW, "summary": prefix + SUMMARY_VIEW}
+    names = {
+        "raw": prefix + RAW_VIEW,
+        "clean": prefix + CLEAN_VIEW,
+        "summary": prefix + SUMMARY_VIEW,
+        "dual": prefix + DUAL_VIEW,
+    }
     sessions.createOrReplaceTempView(names["raw"])
     with_aliases.createOrReplaceTempView(names["clean"])
     group_summary(c, spec).createOrReplaceTempView(names["summary"])
+    # one-row relation for constant SELECTs (Spark SQL has no built-in DUAL)
+    spark.range(1).selectExpr("'X' AS dummy").createOrReplaceTempView(names["dual"])
     return names

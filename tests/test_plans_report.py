@@ -140,3 +140,25 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
     live = {r.test_group: r.sessions for r in spark.table(name).collect()}
     batch = {r.test_group: r.total_sessions for r in ss.group_summary(ss.clean(sessions)).collect()}
     assert live == batch  # state restored from the checkpoint, new files counted once
+
+
+def test_sql_dialect_features_on_views(spark):
+    plans.register_views(spark, ss.load_test_sessions(spark, SF01))
+    c = ss.clean(ss.load_test_sessions(spark, SF01))
+    med = {
+        r.test_group: (r.m, r.p90)
+        for r in spark.sql(
+            """
+            SELECT test_group,
+                   ROUND(MEDIAN(time_on_dashboard_clean), 2) AS m,
+                   ROUND(PERCENTILE_CONT(0.90) WITHIN GROUP (ORDER BY page_load_time_clean), 2) AS p90
+            FROM vw_dashboard_clean WHERE data_quality = 'Normal' GROUP BY test_group
+            """
+        ).collect()
+    }
+    ours = {r.test_group: r.median_time_on_dashboard for r in ss.group_summary(c).collect()}
+    p90 = {r.test_group: r.p90 for r in ss.distribution(c).filter("metric = 'Page Load Time'").collect()}
+    assert {k: float(v[0]) for k, v in med.items()} == ours
+    assert {k: float(v[1]) for k, v in med.items()} == p90
+    banner = spark.sql("SELECT 'status line' AS status FROM dual UNION ALL SELECT 'second' FROM dual").collect()
+    assert [r.status for r in banner] == ["status line", "second"]
