@@ -129,7 +129,9 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
     half = sessions.filter(F.col("session_id").cast("bigint") % 2 == 0)
     rest = sessions.filter(F.col("session_id").cast("bigint") % 2 == 1)
     half.write.parquet(f"{src}/part=1")
-    name = f"arm_totals_{tmp_path.name}".replace("-", "_")
+    import uuid
+
+    name = f"arm_totals_{uuid.uuid4().hex[:10]}"  # a fresh stream: its checkpoint must not exist yet
     q = start(live_arm_totals(stream_sessions(spark, src)), name, "complete", sink="memory")
     q.processAllAvailable()
     q.stop()
