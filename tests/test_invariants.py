@@ -170,3 +170,27 @@ def test_histogram_percentiles_equal_spark_percentile(spark, rows, probs):
         if r.q is not None
     }
     assert ours == ref
+
+
+def test_logit_on_cells_equals_per_session_fit(spark):
+    """The grouped-binomial fit on covariate cells equals the fit on individual sessions."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    from pyspark.sql import functions as F
+
+    c = ss.clean(ss.load_test_sessions(spark, "/root/testdata/sf0.01"))
+    ours = {r.term: (r.coefficient, r.std_error) for r in ss.logit_model(c, covariates=("device_type",)).collect()}
+    n = ss.normal(c)
+    rows = n.select(
+        (F.col("test_group") == "B").cast("double").alias("b"),
+        (F.col("device_type") == "mobile").cast("double").alias("m"),
+        (F.col("device_type") == "tablet").cast("double").alias("t"),
+        F.col("conversion").cast("double").alias("y"),
+    )
+    data = VectorAssembler(inputCols=["b", "m", "t"], outputCol="features").transform(rows)
+    fit = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y").fit(data)
+    se = list(fit.summary.coefficientStandardErrors)
+    for i, term in enumerate(["treatment_B", "device_type=mobile", "device_type=tablet"]):
+        assert math.isclose(ours[term][0], fit.coefficients[i], abs_tol=2e-6)
+        assert math.isclose(ours[term][1], se[i], abs_tol=2e-6)
+    assert math.isclose(ours["intercept"][0], fit.intercept, abs_tol=2e-6)
