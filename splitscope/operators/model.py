@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd, two_sided_p
@@ -78,8 +78,7 @@ def logit_model(
         rows = [(name, float(b), float(se), float(z)) for name, b, se, z in zip(names, coefs, ses, zs)]
     finally:
         cells.unpersist()
-    spark = SparkSession.getActiveSession()
-    table = spark.createDataFrame(rows, "term string, b double, se double, z double")
+    table = clean_df.sparkSession.createDataFrame(rows, "term string, b double, se double, z double")
     return table.select(
         "term",
         rnd("b", 6).alias("coefficient"),

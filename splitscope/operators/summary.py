@@ -16,7 +16,7 @@ def _distinct_users(df: DataFrame, keys: list[str]) -> DataFrame:
     """Exact distinct users per key, as its own two-step aggregation.
 
     Kept apart from the other aggregates so the (key, user) stage carries no
-    percentile or average buffers; the result has one row per key.
+    other aggregation buffers; the result has one row per key.
     """
     return df.select(*keys, "user_id").distinct().groupBy(*keys).agg(F.count("*").alias("unique_users"))
 
@@ -63,7 +63,8 @@ def group_summary(
     """Per-arm KPI summary over Normal sessions (18 columns).
 
     Distinct users are exact by default (a separate (arm, user) aggregation, so that
-    shuffle carries no percentile buffers). ``approx_users=rsd`` counts them with
+    shuffle carries no other buffers); medians come from the distributed value
+    histogram of ``distribution.exact_percentiles``. ``approx_users=rsd`` counts them with
     HyperLogLog++ at that relative standard deviation instead: one pass, no shuffle
     by user.
     """
