@@ -149,7 +149,9 @@ def run_report(
         df = todo[name](c)
         if out_dir:
             path = f"{out_dir.rstrip('/')}/{name}"
-            df.coalesce(1).write.mode("overwrite").parquet(path)
+            # repartition, not coalesce: coalesce(1) has no shuffle boundary and would run
+            # the analysis' final aggregation in one task; the shuffle moves only the result
+            df.repartition(1).write.mode("overwrite").parquet(path)
             df = spark.read.parquet(path)
         results[name] = df
     return results
