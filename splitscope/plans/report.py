@@ -149,9 +149,10 @@ def run_report(
         df = todo[name](c)
         if out_dir:
             path = f"{out_dir.rstrip('/')}/{name}"
-            # repartition, not coalesce: coalesce(1) has no shuffle boundary and would run
-            # the analysis' final aggregation in one task; the shuffle moves only the result
-            df.repartition(1).write.mode("overwrite").parquet(path)
+            # written as planned: AQE coalesces these small outputs into few files and keeps
+            # the range-partitioned order; coalesce(1) would run the final aggregation in one
+            # task, repartition(1) would drop the order
+            df.write.mode("overwrite").parquet(path)
             df = spark.read.parquet(path)
         results[name] = df
     return results
