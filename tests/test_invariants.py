@@ -194,3 +194,20 @@ def test_logit_on_cells_equals_per_session_fit(spark):
         assert math.isclose(ours[term][0], fit.coefficients[i], abs_tol=2e-6)
         assert math.isclose(ours[term][1], se[i], abs_tol=2e-6)
     assert math.isclose(ours["intercept"][0], fit.intercept, abs_tol=2e-6)
+
+
+def test_reports_agree_with_each_other(spark):
+    c = ss.clean(ss.load_test_sessions(spark, "/root/testdata/sf0.01"))
+    summary = {r.test_group: r for r in ss.group_summary(c).collect()}
+    lift = {r.metric: r for r in ss.kpi_lift(c).collect()}
+    assert lift["Conversion Rate"].group_a_value == summary["A"].conversion_rate_pct
+    assert lift["Avg Time on Dashboard"].group_b_value == summary["B"].avg_time_on_dashboard
+    funnel = {r.test_group: r for r in ss.funnel(c).collect()}
+    assert all(funnel[g].total_sessions == summary[g].total_sessions for g in summary)
+    assert all(funnel[g].converted == summary[g].conversions for g in summary)
+    z = ss.ztest(c).first()
+    assert (z.n_a, z.successes_a) == (summary["A"].total_sessions, summary["A"].conversions)
+    prep = ss.prep_summary(c).first()
+    assert prep.total_sessions == sum(r.total_sessions for r in summary.values())
+    segs = ss.segment_profile(c).collect()
+    assert sum(r.sessions for r in segs) == prep.total_sessions
