@@ -3,14 +3,12 @@ from .exprs import (
     chi2_critical,
     chi2_critical_col,
     chi2_sf,
-    clamp,
     flag,
     normal_cdf,
     normal_quantile,
     normal_sf,
     pct,
     rnd,
-    safe_div,
     stddev0,
     two_sided_p,
 )
@@ -20,14 +18,12 @@ __all__ = [
     "chi2_critical",
     "chi2_critical_col",
     "chi2_sf",
-    "clamp",
     "flag",
     "normal_cdf",
     "normal_quantile",
     "normal_sf",
     "pct",
     "rnd",
-    "safe_div",
     "stddev0",
     "two_sided_p",
 ]

@@ -30,11 +30,6 @@ def pct(c: str | Column, digits: int = 2) -> Column:
     return rnd(F.avg(col(c)) * F.lit(100), digits)
 
 
-def safe_div(num: str | Column, den: str | Column) -> Column:
-    """``num / NULLIF(den, 0)`` in double precision."""
-    return col(num).cast("double") / F.nullif(col(den).cast("double"), F.lit(0.0))
-
-
 def avg_d(c: str | Column) -> Column:
     """Average in double precision (decimals are cast first)."""
     return F.avg(col(c).cast("double"))
@@ -50,16 +45,6 @@ def flag(cond: Column) -> Column:
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 
 
-def clamp(c: str | Column, lo: float, hi: float) -> Column:
-    """``<lo -> lo``, ``>hi -> hi``, else value; NULL stays NULL (unlike ``greatest/least``)."""
-    x = col(c)
-    return F.when(x < F.lit(lo), F.lit(lo)).when(x > F.lit(hi), F.lit(hi)).otherwise(x)
-
-
-def as_bigint(c: str | Column) -> Column:
-    return col(c).cast("bigint")
-
-
 # Abramowitz & Stegun 7.1.26 coefficients of the erf approximation
 # (|error| <= 1.5e-7). Spark and DuckDB have no erf.
 AS_P = 0.3275911

@@ -50,7 +50,8 @@ def roi(
     """Annual revenue per arm, revenue lift, cost, net benefit, ROI, payback, break-even.
 
     Each ``dim`` value gets its share of the monthly sessions and of the cost, by its
-    share of Normal sessions (our choice); the 'All' row is the whole site.
+    share of Normal sessions (our choice); the 'All' row is the whole site. Payback
+    and break-even are NULL where the treatment does not gain.
     """
     a = assumptions
     rates = _rates(clean_df, dim, spec).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
@@ -77,8 +78,9 @@ def roi(
         rnd(cost, 2).alias("total_cost"),
         rnd(net, 2).alias("net_benefit"),
         rnd(net / F.nullif(cost, F.lit(0.0)) * 100, 2).alias("roi_pct"),
-        rnd(cost / F.nullif(lift / F.lit(float(a.months)), F.lit(0.0)), 4).alias("payback_months"),
-        F.ceil(rnd(cost / F.nullif(per_session_gain, F.lit(0.0)), 6)).cast("bigint").alias("break_even_sessions"),
+        # no payback and no break-even when the treatment does not gain (NULL)
+        rnd(F.when(lift > 0, cost / (lift / F.lit(float(a.months)))), 4).alias("payback_months"),
+        F.ceil(rnd(F.when(per_session_gain > 0, cost / per_session_gain), 6)).cast("bigint").alias("break_even_sessions"),
     ).orderBy(F.col(dim or "segment") == "All", dim or "segment")
 
 
