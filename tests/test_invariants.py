@@ -211,3 +211,25 @@ def test_reports_agree_with_each_other(spark):
     assert prep.total_sessions == sum(r.total_sessions for r in summary.values())
     segs = ss.segment_profile(c).collect()
     assert sum(r.sessions for r in segs) == prep.total_sessions
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(st.integers(0, 4), st.sampled_from(["A", "B"]), st.integers(0, 6), st.integers(0, 1)),
+        min_size=1,
+        max_size=60,
+    )
+)
+def test_first_conversion_join_equals_row_number(spark, rows):
+    # few users, few distinct minutes: many timestamp ties and cross-arm users
+    out = []
+    for i, (u, arm, minute, conv) in enumerate(rows):
+        out.append(
+            (f"s{i:03d}", f"u{u}", BASE_TS + dt.timedelta(minutes=minute), arm, "desktop", "US", "new_user",
+             Decimal("1.00"), 1, 1, Decimal("10.00"), 0, conv)
+        )
+    c = ss.clean(sessions(spark, out))
+    ref = sorted(ss.first_conversion(c, "window").collect())
+    assert sorted(ss.first_conversion(c, "join").collect()) == ref
+    assert sorted(ss.first_conversion(c, "salted", salt_buckets=3).collect()) == ref
