@@ -3,7 +3,7 @@
 from .clean import clean, normal, normal_predicate, quality_flag
 from .randomization import balance, chi_square, contingency, observed_cells, quality_checks, randomization_test
 from .summary import group_summary, kpi_lift, prep_summary, quality_breakdown
-from .distribution import binned, distribution, histogram, level_counts, rate_by_level, time_buckets
+from .distribution import binned, distribution, exact_percentiles, histogram, level_counts, rate_by_level, time_buckets
 from .funnel import funnel
 from .journey import first_conversion, sessions_to_conversion, touch_attribution, user_rollup, user_summary
 from .segments import country_profile, device_lift_share, device_profile, profile, segment_lift, segment_profile
@@ -30,6 +30,7 @@ __all__ = [
     "quality_breakdown",
     "binned",
     "distribution",
+    "exact_percentiles",
     "histogram",
     "level_counts",
     "rate_by_level",
