@@ -12,15 +12,6 @@ from .common import share_of
 from .distribution import exact_percentiles
 
 
-def _distinct_users(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact distinct users per key, as its own two-step aggregation.
-
-    Kept apart from the other aggregates so the (key, user) stage carries no
-    other aggregation buffers; the result has one row per key.
-    """
-    return df.select(*keys, "user_id").distinct().groupBy(*keys).agg(F.count("*").alias("unique_users"))
-
-
 def prep_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
     """Status row over Normal sessions: sessions, users, sessions/user, first, last, days covered."""
     n = normal(clean_df, spec)
@@ -62,15 +53,22 @@ def group_summary(
 ) -> DataFrame:
     """Per-arm KPI summary over Normal sessions (18 columns).
 
-    Distinct users are exact by default (a separate (arm, user) aggregation, so that
-    shuffle carries no other buffers); medians come from the distributed value
-    histogram of ``distribution.exact_percentiles``. ``approx_users=rsd`` counts them with
-    HyperLogLog++ at that relative standard deviation instead: one pass, no shuffle
-    by user.
+    Two passes. The KPIs and the exact distinct-user count share one aggregation:
+    Spark plans a single distinct aggregate by grouping on (arm, user) first, with
+    only the small count/sum buffers of the other KPIs attached, so a hot user is
+    pre-aggregated per task and no second read of the table is needed.
+    ``approx_users=rsd`` counts users with HyperLogLog++ at that relative standard
+    deviation instead (no shuffle by user). The medians come from the distributed
+    value histogram of ``distribution.exact_percentiles`` (the second pass).
     """
     n = normal(clean_df, spec)
+    if approx_users:
+        users = F.approx_count_distinct("user_id", approx_users)
+    else:
+        users = F.count_distinct("user_id")
     metrics = n.groupBy("test_group").agg(
         F.count("*").alias("total_sessions"),
+        users.alias("unique_users"),
         F.sum("conversion").cast("bigint").alias("conversions"),
         pct("conversion").alias("conversion_rate_pct"),
         rnd(stddev0("conversion"), 4).alias("conversion_stddev"),
@@ -91,13 +89,9 @@ def group_summary(
         rnd(F.max(F.when(F.col("metric") == "time", F.col("q")[0])), 2).alias("median_time_on_dashboard"),
         rnd(F.max(F.when(F.col("metric") == "load", F.col("q")[0])), 2).alias("median_page_load_time"),
     )
-    if approx_users:
-        users = n.groupBy("test_group").agg(F.approx_count_distinct("user_id", approx_users).alias("unique_users"))
-    else:
-        users = _distinct_users(n, ["test_group"])
-    # one row per arm on every side; AQE turns these into broadcast joins from the measured sizes
+    # one row per arm on both sides; AQE turns this into a broadcast join from the measured sizes
     return (
-        metrics.join(users, "test_group").join(med, "test_group", "left")
+        metrics.join(med, "test_group", "left")
         .select(
             "test_group",
             "total_sessions",
