@@ -13,7 +13,9 @@ store:
   watermark, so a day's row is emitted once no more late sessions can change it
   and its state is then dropped.
 
-Exact distinct users and exact percentiles are not incremental; they stay batch.
+Exact distinct users and exact percentiles need the whole history, so they stay
+batch; ``live_arm_totals(approx=True)`` keeps HyperLogLog++ users and approximate
+medians in the state store instead.
 """
 
 from __future__ import annotations
@@ -38,10 +40,24 @@ def stream_sessions(spark: SparkSession, path: str, fmt: str = "parquet", max_fi
     return reader.load(path)
 
 
-def live_arm_totals(sessions_stream: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
-    """Running per-arm totals over Normal sessions (streaming aggregation)."""
+def live_arm_totals(
+    sessions_stream: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC, approx: bool = False, rsd: float = 0.01
+) -> DataFrame:
+    """Running per-arm totals over Normal sessions (streaming aggregation).
+
+    ``approx=True`` also keeps HyperLogLog++ distinct users and ``percentile_approx``
+    medians in the state store (exact ones need the whole history, so they stay batch).
+    """
     n = normal(clean(sessions_stream, spec), spec)
+    extra = []
+    if approx:
+        extra = [
+            F.approx_count_distinct("user_id", rsd).alias("users_approx"),
+            F.percentile_approx(F.col("time_on_dashboard_clean").cast("double"), 0.5).alias("median_time_approx"),
+            F.percentile_approx(F.col("page_load_time_clean").cast("double"), 0.5).alias("median_load_approx"),
+        ]
     return n.groupBy("test_group").agg(
+        *extra,
         F.count("*").alias("sessions"),
         F.sum("conversion").cast("bigint").alias("conversions"),
         F.sum("bounce").cast("bigint").alias("bounces"),

@@ -164,3 +164,25 @@ def test_sql_dialect_features_on_views(spark):
     assert {k: float(v[1]) for k, v in med.items()} == p90
     banner = spark.sql("SELECT 'status line' AS status FROM dual UNION ALL SELECT 'second' FROM dual").collect()
     assert [r.status for r in banner] == ["status line", "second"]
+
+
+def test_streaming_approximate_users_and_medians(spark, tmp_path):
+    src = str(tmp_path / "in")
+    sessions = ss.load_test_sessions(spark, SF01)
+    ss.write_sessions(sessions.repartition(3), src)
+    q = (
+        live_arm_totals(stream_sessions(spark, src, max_files_per_trigger=1), approx=True)
+        .writeStream.outputMode("complete")
+        .format("memory")
+        .queryName("approx_totals")
+        .option("checkpointLocation", str(tmp_path / "ckpt"))
+        .start()
+    )
+    q.processAllAvailable()
+    q.stop()
+    live = {r.test_group: r for r in spark.table("approx_totals").collect()}
+    exact = {r.test_group: r for r in ss.group_summary(ss.clean(sessions)).collect()}
+    for g, r in exact.items():
+        assert abs(live[g].users_approx - r.unique_users) <= max(2, 0.03 * r.unique_users)
+        assert abs(live[g].median_time_approx - r.median_time_on_dashboard) <= 0.02 * r.median_time_on_dashboard + 1
+        assert live[g].sessions == r.total_sessions
