@@ -186,3 +186,16 @@ def test_streaming_approximate_users_and_medians(spark, tmp_path):
         assert abs(live[g].users_approx - r.unique_users) <= max(2, 0.03 * r.unique_users)
         assert abs(live[g].median_time_approx - r.median_time_on_dashboard) <= 0.02 * r.median_time_on_dashboard + 1
         assert live[g].sessions == r.total_sessions
+
+
+def test_full_report_runs_on_the_materialized_table(spark, tmp_path):
+    sessions = ss.load_test_sessions(spark, SF001)
+    out = str(tmp_path / "full")
+    res = plans.run_report(spark, sessions, out_dir=out)
+    assert set(res) == set(plans.analyses())
+    direct = ss.clean(sessions)
+    # spot checks against the analyses on the unmaterialized view
+    assert sorted(res["daily_trend"].collect()) == sorted(ss.daily_trend(direct).collect())
+    assert sorted(res["ztest_conversion"].collect()) == sorted(ss.ztest(direct).collect())
+    months = {r.value for r in res["profiles"].filter("dimension = 'year_month'").collect()}
+    assert months == {r.year_month for r in direct.select("year_month").distinct().collect()}
