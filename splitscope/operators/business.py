@@ -178,8 +178,8 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         var = (nn * F.col(sxx) - F.col(sx) * F.col(sx)) * (nn * F.col("syy") - F.col("sy") * F.col("sy"))
         return cov / F.nullif(F.sqrt(var), F.lit(0.0))
 
-    rate_a = F.col("conv_a") / F.col("n_a").cast("double") * 100
-    rate_b = F.col("conv_b") / F.col("n_b").cast("double") * 100
+    rate_a = F.col("conv_a") / F.nullif(F.col("n_a").cast("double"), F.lit(0.0)) * 100
+    rate_b = F.col("conv_b") / F.nullif(F.col("n_b").cast("double"), F.lit(0.0)) * 100
     r_w, r_f = corr("sw", "sww", "swy"), corr("sf", "sff", "sfy")
     fmt = lambda c: F.format_number(rnd(c, 2), 2)
     line1 = F.concat(

@@ -240,7 +240,10 @@ def correlations(
     aggs = []
     for i, f in enumerate(features):
         x = F.col(f).cast("double")
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.regr_slope(y, x).alias(f"b{i}")]
+        # Pearson r from sample moments; NULL (not an error) when either side is constant,
+        # e.g. an arm without conversions (``corr`` divides by zero there under ANSI mode)
+        r = F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
+        aggs += [r.alias(f"r{i}"), F.regr_slope(y, x).alias(f"b{i}")]
     wide = n.rollup("test_group").agg(F.count("*").alias("n"), *aggs)
     stack_args = ", ".join(f"'{f}', r{i}, b{i}" for i, f in enumerate(features))
     return (

@@ -31,7 +31,7 @@ def prep_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> Da
         F.lit(PREP_STATUS).alias("status"),
         "total_sessions",
         "unique_users",
-        rnd(F.col("total_sessions") / F.col("unique_users"), 2).alias("avg_sessions_per_user"),
+        rnd(F.col("total_sessions") / F.nullif(F.col("unique_users"), F.lit(0)), 2).alias("avg_sessions_per_user"),
         "first_session",
         "last_session",
         rnd(secs / F.lit(86400.0), 0).alias("days_of_data"),

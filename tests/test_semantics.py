@@ -100,3 +100,19 @@ def test_group_summary_approx_users_close_to_exact(spark):
     exact = {r.test_group: r.unique_users for r in ss.group_summary(c).collect()}
     approx = {r.test_group: r.unique_users for r in ss.group_summary(c, approx_users=0.01).collect()}
     assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
+
+
+def test_degenerate_inputs_do_not_fail_under_ansi(spark):
+    # an arm without conversions (constant outcome) and a frame with no Normal rows
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    rows = [row(f"s{i}", uid=f"u{i % 3}", arm="A" if i % 2 else "B", widgets=i % 4, conversion=0) for i in range(12)]
+    c = ss.clean(sessions(spark, rows))
+    corr = ss.correlations(c).collect()
+    assert all(r.correlation is None for r in corr)
+    for op in (ss.findings, ss.metric_comparison, ss.ztest, ss.sensitivity, ss.power_analysis, ss.interaction):
+        op(c).collect()
+    none_normal = ss.clean(sessions(spark, [row("s1", load="-1.00"), row("s2", load="11.00", arm="B")]))
+    prep = ss.prep_summary(none_normal).first()
+    assert prep.total_sessions == 0 and prep.avg_sessions_per_user is None
+    assert ss.group_summary(none_normal).count() == 0
+    ss.findings(none_normal).collect()
