@@ -16,13 +16,22 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Magnitude above which a value is returned as is: DECIMAL(38,10) holds 28 integer digits.
+ROUND_LIMIT = 1e27
+
+
 def rnd(c: str | Column, digits: int) -> Column:
     """Decimal rounding, half away from zero, returned as DOUBLE.
 
     Goes through DECIMAL(38,10) first so binary fuzz of a double (``2.675`` held as
-    ``2.67499999...``) cannot flip the last kept digit.
+    ``2.67499999...``) cannot flip the last kept digit. Values too large for that
+    decimal (e.g. a required sample size for a vanishing effect), NaN and infinities
+    pass through unrounded instead of failing the cast under ANSI mode.
     """
-    return F.round(col(c).cast("decimal(38,10)"), digits).cast("double")
+    x = col(c)
+    return F.when(F.abs(x) < F.lit(ROUND_LIMIT), F.round(x.cast("decimal(38,10)"), digits).cast("double")).otherwise(
+        x.cast("double")
+    )
 
 
 def pct(c: str | Column, digits: int = 2) -> Column:

@@ -31,3 +31,10 @@ def test_rounding_is_half_away_from_zero_on_decimals(spark):
     out = [r.x for r in spark.createDataFrame([(v,) for v in vals], "v double").select(rnd("v", 2).alias("x")).collect()]
     assert out == [2.68, 1.01, -2.68, 0.13, 18.74, 0.0]
     assert math.copysign(1.0, out[-1]) == 1.0
+
+
+def test_rounding_passes_through_values_beyond_decimal_range(spark):
+    vals = [1e30, -1e30, float("inf"), float("nan"), None, 123.456]
+    out = [r.x for r in spark.createDataFrame([(v,) for v in vals], "v double").select(rnd("v", 2).alias("x")).collect()]
+    assert out[0] == 1e30 and out[1] == -1e30 and out[2] == float("inf")
+    assert math.isnan(out[3]) and out[4] is None and out[5] == 123.46
