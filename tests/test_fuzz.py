@@ -1,0 +1,47 @@
+"""Every analysis runs (no exception, ANSI mode on) on random small session frames:
+NULL metrics, one arm only, single-row groups, values outside the clamps."""
+
+import datetime as dt
+from decimal import Decimal
+
+from helpers import BASE_TS, sessions
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+import splitscope as ss
+from splitscope.plans.report import analyses
+
+metric = st.one_of(st.none(), st.integers(-200, 1500))
+session_row = st.tuples(
+    st.integers(0, 3),
+    st.sampled_from(["A", "B"]),
+    st.sampled_from(["desktop", "mobile"]),
+    st.sampled_from(["new_user", "anonymous"]),
+    metric,
+    st.one_of(st.none(), st.integers(-500, 70000)),
+    st.one_of(st.none(), st.integers(0, 9)),
+    st.integers(0, 5),
+    st.integers(0, 1),
+    st.integers(0, 1),
+    st.integers(0, 3000),
+)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(session_row, min_size=1, max_size=25))
+def test_every_analysis_runs(spark, rows):
+    out = []
+    for i, (u, arm, dev, seg, load, time, w, f, b, c, m) in enumerate(rows):
+        out.append(
+            (f"s{i}", f"u{u}", BASE_TS + dt.timedelta(minutes=m), arm, dev, "US", seg,
+             None if load is None else Decimal(load) / 100, w, f,
+             None if time is None else Decimal(time) / 100, b, c)
+        )
+    c = ss.clean(sessions(spark, out))
+    for name, fn in analyses().items():
+        if name == "logit_model" and len({r[1] for r in rows}) < 2:
+            continue  # a regression needs both arms
+        try:
+            fn(c).collect()
+        except Exception as exc:  # pragma: no cover - the message names the analysis
+            raise AssertionError(f"{name} failed on {len(rows)} rows: {exc}") from exc
