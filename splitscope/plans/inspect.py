@@ -41,6 +41,11 @@ def scan_count(df: DataFrame) -> int:
     return sum(1 for n in _nodes(df) if n.nodeName().startswith("Scan") or n.nodeName() == "FileSourceScanExec")
 
 
+def exchange_count(df: DataFrame) -> int:
+    """Number of shuffle exchanges (hash, range, single-partition) in the physical plan."""
+    return sum(1 for n in _nodes(df) if n.nodeName() in ("Exchange", "ShuffleExchange"))
+
+
 def window_inputs(df: DataFrame) -> list[str]:
     """For each Window node, the node names below it down to the first exchange or aggregate."""
     out = []
