@@ -91,3 +91,12 @@ def test_time_queries_ignore_session_time_zone(spark, duck, name):
     rel = duck.sql(ORACLE[name])
     d_cols, d_rows = _rows(rel.columns, rel.fetchall())
     assert s_cols == d_cols and s_rows == d_rows
+
+
+def test_survey_ids_cover_every_query_and_row():
+    assert set(entry.SURVEY_IDS) == set(QUERIES)
+    ids = " ".join(entry.SURVEY_IDS.values())
+    for i in range(1, 31):
+        assert f"Q{i:02d}" in ids, i
+    for i in range(1, 17):
+        assert f"D{i:02d}" in ids, i
