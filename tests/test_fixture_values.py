@@ -1,0 +1,29 @@
+"""Reference values of FIXTURES.md section 3, at every test scale."""
+
+import pytest
+
+import splitscope as ss
+
+# FIXTURES.md section 3 (quality split, Normal sessions / users /
+# conversions / rate / bounces per arm, segment x arm chi-square, pooled z).
+EXPECTED = {
+    "0.001": ((49, 881, 70), (490, 391), (8, 7), (94, 85), (19.18, 21.74), (102, 78), 97.6991, 0.9366),
+    "0.01": ((527, 8599, 874), (4222, 4377), (75, 75), (791, 906), (18.74, 20.70), (864, 876), 7.1527, 2.2875),
+    "0.1": ((5238, 86355, 8407), (43515, 42840), (750, 750), (8823, 8531), (20.28, 19.91), (8660, 8406), 1.4089, -1.3278),
+}
+
+
+@pytest.mark.parametrize("sf", sorted(EXPECTED))
+def test_fixture_reference_values(spark, sf):
+    quality, sessions, users, conversions, rates, bounces, chi2, z = EXPECTED[sf]
+    c = ss.clean(ss.load_test_sessions(spark, f"/root/testdata/sf{sf}"))
+    q = {r.data_quality: r.record_count for r in ss.quality_breakdown(c).collect()}
+    assert (q["Anomaly"], q["Normal"], q["Outlier"]) == quality
+    g = {r.test_group: r for r in ss.group_summary(c).collect()}
+    assert (g["A"].total_sessions, g["B"].total_sessions) == sessions
+    assert (g["A"].unique_users, g["B"].unique_users) == users
+    assert (g["A"].conversions, g["B"].conversions) == conversions
+    assert (g["A"].conversion_rate_pct, g["B"].conversion_rate_pct) == rates
+    assert (g["A"].bounces, g["B"].bounces) == bounces
+    assert ss.randomization_test(c).first().chi_square_statistic == chi2
+    assert ss.ztest(c).first().z_statistic == z
