@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import chi2_critical_col, normal_sf, rnd
+from ..functions.exprs import chi2_critical_col, chi2_sf, normal_sf, rnd
 from ..spec import (
     DEFAULT_ROI,
     DEFAULT_SPEC,
@@ -16,7 +16,7 @@ from ..spec import (
     RoiAssumptions,
 )
 from .clean import normal, normal_predicate
-from .randomization import with_expected
+from .randomization import rejects, with_expected
 
 
 def _rates(clean_df: DataFrame, dim: str | None, spec: ExperimentSpec, with_total: bool = True) -> DataFrame:
@@ -170,7 +170,7 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         F.sum(F.when(F.col("group_id") == spec.treatment, F.col("nn"))).alias("n_b"),
         F.sum("component").alias("stat"),
         ((F.count_distinct("cookie_segment") - 1) * (F.count_distinct("group_id") - 1)).alias("dof"),
-    ).withColumn("critical_value", chi2_critical_col("dof", spec.alpha))
+    ).withColumns({"critical_value": chi2_critical_col("dof", spec.alpha), "p_value": chi2_sf("stat", "dof")})
 
     def corr(sx, sxx, sxy):
         nn = F.col("nn").cast("double")
@@ -198,12 +198,9 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         .otherwise("shows mixed correlation"),
         F.lit(" with conversion"),
     )
-    line3 = F.when(
-        F.col("stat") > F.col("critical_value"), "3. Test groups are NOT balanced across segments"
-    ).otherwise(FINDINGS_BALANCED)
-    line4 = F.when(
-        F.col("stat") > F.col("critical_value"), "4. Fix randomization before significance testing"
-    ).otherwise(FINDINGS_READY)
+    unbalanced = rejects(spec.alpha)
+    line3 = F.when(unbalanced, "3. Test groups are NOT balanced across segments").otherwise(FINDINGS_BALANCED)
+    line4 = F.when(unbalanced, "4. Fix randomization before significance testing").otherwise(FINDINGS_READY)
     lines = F.array(F.lit(FINDINGS_TITLE), line1, line2, line3, line4)
     return (
         tot.select(F.posexplode(lines).alias("pos", "status"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import avg_d, normal_cdf, normal_quantile, normal_sf, rnd, two_sided_p
 from ..spec import DEFAULT_SPEC, ExperimentSpec
 from .clean import ANOMALY, QUALITY_NORMAL, normal, normal_predicate
-from .randomization import chi_square
+from .randomization import chi_square, rejects
 
 
 def _arm_counts(df: DataFrame, outcome: str, keys: Sequence[str], spec: ExperimentSpec) -> DataFrame:
@@ -95,7 +95,7 @@ def chi2_outcome(clean_df: DataFrame, outcome: str = "conversion", spec: Experim
         F.col("dof").alias("degrees_of_freedom"),
         F.col("critical_value"),
         rnd("p_value", 6).alias("p_value"),
-        F.when(F.col("stat") > F.col("critical_value"), "SIGNIFICANT - arm and outcome are associated")
+        F.when(rejects(spec.alpha), "SIGNIFICANT - arm and outcome are associated")
         .otherwise("NOT SIGNIFICANT - no association")
         .alias("conclusion"),
     )

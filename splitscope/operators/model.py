@@ -39,16 +39,25 @@ def logit_model(
     outcome: str = "conversion",
     max_iter: int = 50,
     spec: ExperimentSpec = DEFAULT_SPEC,
+    max_levels: int = 1000,
 ) -> DataFrame:
     """Logistic regression of the outcome on the treatment indicator plus dummy-coded
     confounders (reference level: the first in sort order), fitted with
-    ``pyspark.ml`` GLM (binomial, logit, IRLS) on weighted covariate cells."""
+    ``pyspark.ml`` GLM (binomial, logit, IRLS) on weighted covariate cells.
+
+    The covariate levels name the design columns, so they are read to the driver;
+    more than ``max_levels`` levels of one covariate is refused (a categorical
+    confounder, not an identifier)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     cells = covariate_cells(clean_df, covariates, outcome, spec).cache()
     try:
         # level lists come from the aggregated cells (bounded by the cell count)
+        counts = cells.select(*[F.count_distinct(c).alias(c) for c in covariates]).first() if covariates else None
+        for c in covariates:
+            if counts[c] > max_levels:
+                raise ValueError(f"{c} has {counts[c]} levels (> {max_levels}); use a categorical confounder")
         level_rows = cells.select(
             *[F.sort_array(F.collect_set(c)).alias(c) for c in covariates]
         ).first()

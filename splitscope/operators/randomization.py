@@ -7,7 +7,7 @@ below runs on those few cells only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chi2_critical_col, chi2_sf, rnd
@@ -68,6 +68,12 @@ def chi_square(cells: DataFrame, dim: str, arm: str, alpha: float) -> DataFrame:
     )
 
 
+def rejects(alpha: float) -> Column:
+    """Reject independence: statistic above the critical value, or, where the df is
+    beyond the critical-value table, closed-form p-value below ``alpha``."""
+    return F.coalesce(F.col("stat") > F.col("critical_value"), F.col("p_value") < F.lit(alpha))
+
+
 def randomization_test(
     clean_df: DataFrame, dim: str = "cookie_segment", arm: str = "group_id", spec: ExperimentSpec = DEFAULT_SPEC
 ) -> DataFrame:
@@ -76,7 +82,7 @@ def randomization_test(
     return res.select(
         rnd("stat", 4).alias("chi_square_statistic"),
         F.col("dof").alias("degrees_of_freedom"),
-        F.when(F.col("stat") > F.col("critical_value"), RANDOMIZATION_VERDICTS[0])
+        F.when(rejects(spec.alpha), RANDOMIZATION_VERDICTS[0])
         .otherwise(RANDOMIZATION_VERDICTS[1])
         .alias("randomization_conclusion"),
         F.col("critical_value"),

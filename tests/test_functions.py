@@ -38,3 +38,23 @@ def test_rounding_passes_through_values_beyond_decimal_range(spark):
     out = [r.x for r in spark.createDataFrame([(v,) for v in vals], "v double").select(rnd("v", 2).alias("x")).collect()]
     assert out[0] == 1e30 and out[1] == -1e30 and out[2] == float("inf")
     assert math.isnan(out[3]) and out[4] is None and out[5] == 123.46
+
+
+def test_verdict_falls_back_to_p_value_beyond_the_table(spark):
+    from splitscope.operators.randomization import rejects
+
+    df = spark.createDataFrame(
+        [(200.0, 9.0, None, 0.001), (150.0, 200.0, None, 0.9), (10.0, 9.488, 9.488, 0.04)],
+        "stat double, dof_unused double, critical_value double, p_value double",
+    )
+    assert [r.r for r in df.select(rejects(0.05).alias("r")).collect()] == [True, False, True]
+
+
+def test_logit_refuses_identifier_like_covariates(spark):
+    import pytest
+
+    import splitscope as ss
+
+    c = ss.clean(ss.load_test_sessions(spark, "/root/testdata/sf0.001"))
+    with pytest.raises(ValueError, match="levels"):
+        ss.logit_model(c, covariates=("session_id",), max_levels=50)
