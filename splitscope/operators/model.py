@@ -79,12 +79,14 @@ def logit_model(
             family="binomial", link="logit", labelCol="rate", weightCol="weight", maxIter=max_iter, regParam=0.0
         )
         model = glm.fit(assembled)
-        summary = model.summary
-        ses = list(summary.coefficientStandardErrors)
-        zs = list(summary.tValues)
         names = [name for name, _ in features] + ["intercept"]
         coefs = list(model.coefficients) + [model.intercept]
-        rows = [(name, float(b), float(se), float(z)) for name, b, se, z in zip(names, coefs, ses, zs)]
+        try:
+            ses = [float(v) for v in model.summary.coefficientStandardErrors]
+            zs = [float(v) for v in model.summary.tValues]
+        except Exception:  # no residual degrees of freedom (tiny or saturated input): no inference
+            ses = zs = [None] * len(coefs)
+        rows = [(name, float(b), se, z) for name, b, se, z in zip(names, coefs, ses, zs)]
     finally:
         cells.unpersist()
     table = clean_df.sparkSession.createDataFrame(rows, "term string, b double, se double, z double")

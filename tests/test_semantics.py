@@ -116,3 +116,13 @@ def test_degenerate_inputs_do_not_fail_under_ansi(spark):
     assert prep.total_sessions == 0 and prep.avg_sessions_per_user is None
     assert ss.group_summary(none_normal).count() == 0
     ss.findings(none_normal).collect()
+
+
+def test_logit_on_tiny_inputs_runs(spark):
+    # saturated or nearly empty designs: the fit runs; inference may be unavailable (NULL)
+    for rows in (
+        [row("s1", uid="u1", arm="A", conversion=1), row("s2", uid="u2", arm="B", conversion=0)],
+        [row("s1", uid="u1", arm="A", device="mobile"), row("s2", uid="u2", arm="B", device="desktop", conversion=1)],
+    ):
+        out = ss.logit_model(ss.clean(sessions(spark, rows)), covariates=("device_type",)).collect()
+        assert "treatment_B" in {r.term for r in out}
