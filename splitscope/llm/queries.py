@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.llm import mixing, sharding
+from splitscope.llm import mixing, sharding, tokens, warc
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file of the public tokenizers; the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +38,20 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_corpus(tokens.write_corpus(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_sharding": op4_sharding,
+    "op7_warc": op7_warc,
+    "op10_token_ids": op10_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
