@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.llm import mixing, sharding, tokens, warc
+from splitscope.llm import langid, mixing, sharding, tokens, warc
+from splitscope.llm.common import crc_mod
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,6 +44,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = langid.train(docs, learn=~held_out)
+    return langid.with_language(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_corpus(tokens.write_corpus(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
 
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_sharding": op4_sharding,
     "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op10_token_ids": op10_token_ids,
 }
 

@@ -127,12 +127,12 @@ def shard(docs: DataFrame, shards: int = 24, *, key: tuple[str, ...] = ("doc_id"
             yield pd.DataFrame({"_part": parts, "_upto": upto})
 
     matrix = spark.range(n_parts).mapInPandas(rows, "_part bigint, _upto array<bigint>")
-    local = Window.partitionBy("_part").orderBy("_first", *key)
+    local = Window.partitionBy("_part").orderBy("_first", "_second")
     dealt = (
         placed.withColumn("_rank", F.row_number().over(local).cast("long"))
         .join(matrix, "_part")
         .withColumn("shard", F.expr("size(filter(_upto, c -> c < _rank))"))
-        .drop("_upto", "_rank", "_first", "_part")
+        .drop("_upto", "_rank", "_part")
     )
     ranges = max(1, math.ceil(total / shards / part_rows))
     dealt = dealt.withColumn("_range", F.shiftright(F.shiftrightunsigned("_second", 34) * F.lit(ranges), 30).cast("int"))
@@ -140,7 +140,7 @@ def shard(docs: DataFrame, shards: int = 24, *, key: tuple[str, ...] = ("doc_id"
     bases = (
         dealt.groupBy("shard", "_range").count().select("shard", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     )
-    within = Window.partitionBy("shard", "_range").orderBy("_second", *key)
+    within = Window.partitionBy("shard", "_range").orderBy("_second", "_first")
     return (
         dealt.withColumn("_rank", F.row_number().over(within).cast("long"))
         .join(bases, ["shard", "_range"])
