@@ -177,6 +177,7 @@ def mix(
     key: Column = F.xxhash64(F.lit(seed), "source_no", "pass_no")
     slots = (
         drawn.withColumn("_nth", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+        .repartition(max(1, shards // 16), "shard")
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
         .withColumn("_nth", F.col("_nth") + F.col("_i"))
         .filter(F.col("_nth") < F.col("_blocks") * F.lit(cap))
@@ -193,7 +194,8 @@ def mix(
         .withColumn("_hi", F.least(ends, (F.col("block") + 1) * block))
         .select("source_no", "block", "doc_id", "mark", "at", (F.col("_lo") - F.col("at")).alias("start"), (F.col("_hi") - F.col("_lo")).alias("words"))
     )
-    return Mix(sources, rows, slots.join(pieces, ["source_no", "block"]))
+    # both sides grow with the input, and sizes measured before an explode understate them
+    return Mix(sources, rows, slots.hint("merge").join(pieces, ["source_no", "block"]))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), **options) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.llm import langid, mixing, sharding, tokens, warc
+from splitscope.llm import langid, mixing, quality, sharding, tokens, warc
 from splitscope.llm.common import crc_mod
 
 
@@ -39,6 +39,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~held_out)
+    scored = quality.with_quality(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,6 +66,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op10_token_ids": op10_token_ids,
