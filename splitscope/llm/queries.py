@@ -32,10 +32,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return sharding.shard(_documents(spark, sf_dir), 24).select(
+    rows = _documents(spark, sf_dir).select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("mark")
+    )
+    return sharding.shard(rows, 24, key=("doc_id", "mark")).select(
         "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         F.col("shard").cast("int").alias("shard"),
         "slot",
