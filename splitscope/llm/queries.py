@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.llm import langid, mixing, quality, sharding, simhash, tokens, warc
+from splitscope.llm import langid, minhash, mixing, quality, sharding, simhash, tokens, warc
 from splitscope.llm.common import crc_mod
 
 
@@ -54,6 +54,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_likeness(_documents(spark, sf_dir))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op10_token_ids": op10_token_ids,
