@@ -14,6 +14,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,7 +134,10 @@ def write_ids(out, doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
 _SPLIT = re.compile("[ \t\n\r]+")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile("[^\x21-įı-ɏ]")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
+_SIGNS = frozenset(".,;:!?-")
+# Fixed value: the pattern of the public word-level BPE files (letters, single digits, other signs).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @functools.cache
@@ -170,25 +174,38 @@ class Encoder:
             and [s.get("type") for s in before] == ["Split", "ByteLevel"]
             and before[0]["behavior"] == "Removed"
             and before[0]["invert"]
+            and before[0]["pattern"].get("Regex") == PATTERN
             and not before[1]["use_regex"]
             and not before[1]["add_prefix_space"]
         )
         if self.by_word:
-            self.pieces = regex.compile(before[0]["pattern"]["Regex"])
+            self.pieces = regex.compile(PATTERN)
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.words: dict[str, bytes] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a run the pre-tokenizer's pattern gives, normalized."""
+        got = self.known.get(piece)
+        if got is None:
+            if not piece.isascii():
+                letters = _byte_letters()
+                ids = self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))
+            else:
+                ids = self.tokenizer.model.tokenize(piece)
+            got = self.known[piece] = array(self.code, [t.id for t in ids]).tobytes()
+        return got
 
     def _word(self, word: str) -> bytes:
-        if _BEYOND_LATIN.search(word) or not unicodedata.is_normalized("NFC", word):
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        else:
-            ids, known = [], self.known
-            for piece in self.pieces.findall(word.lower()):
-                if (got := known.get(piece)) is None:
-                    letters = _byte_letters()
-                    got = known[piece] = [t.id for t in self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))]
-                ids += got
-        return np.array(ids, dtype=self.type).tobytes()
+        if not word.isascii() and (_BEYOND_LATIN.search(word) or not unicodedata.is_normalized("NFC", word)):
+            return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        word = word.lower()
+        if word.isalpha():
+            return self._piece(word)
+        head, last = word[:-1], word[-1]
+        if head.isalpha() and last in _SIGNS:
+            return self._piece(head) + self._piece(last)
+        return b"".join([self._piece(p) for p in self.pieces.findall(word)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as an array of ``type`` in bytes."""
