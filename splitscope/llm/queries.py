@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.llm import langid, minhash, mixing, quality, sharding, simhash, tokens, warc
+from splitscope.llm import langid, minhash, mixing, pieces, quality, sharding, simhash, tokens, warc
 from splitscope.llm.common import crc_mod
 
 
@@ -70,6 +70,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: length, checksum and round trip of its best segmentation, scores of the four best."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    found = pieces.with_pieces(_documents(spark, sf_dir).select("doc_id", "text"), model, n=4)
+    found = pieces.decoded(found.withColumn("ids", F.col("pieces.ids")), model, "ids")
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.expr("transform(pieces.nbest, x -> x.score)").alias("scores"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_corpus(tokens.write_corpus(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
 
@@ -82,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
+    "op9_pieces": op9_pieces,
     "op10_token_ids": op10_token_ids,
 }
 
