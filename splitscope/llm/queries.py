@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.llm import langid, minhash, mixing, pieces, quality, sharding, simhash, tokens, warc
+from splitscope.llm import langid, minhash, mixing, pieces, quality, search, sharding, simhash, tokens, warc
 from splitscope.llm.common import crc_mod
 
 
@@ -30,6 +30,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 as a query, with its whole text, against all documents."""
+    docs = _documents(spark, sf_dir)
+    return search.bm25_top_k(docs, docs.filter(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "query_id"), k=10)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _documents(spark, sf_dir).select(
@@ -91,6 +97,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_search": op3_search,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
