@@ -116,16 +116,24 @@ def with_next(docs: DataFrame, carried: list[str], *, range_rows: int = 2048) ->
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
     mark = F.xxhash64("text")
     number = F.when(F.col("doc_id").isNull(), -1 - F.pmod(mark, F.lit(ranges))).otherwise(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)))
-    base = docs.select("doc_id", *carried, mark.alias("_mark"), number.cast("long").alias("_range"))
-    order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "_mark")
-    own = F.struct(*carried)
-    ordered = base.withColumns({"_following": F.lead(own).over(order), "_before": F.lag("_mark").over(order)})
-    heads = ordered.filter(F.col("_before").isNull()).select("_range", own.alias("_head"))
+    number = number.cast("long")
+    # the first row of each range by its key alone, so that only these rows' texts move for it
+    first = docs.groupBy(number.alias("_range")).agg(F.max(F.struct("doc_id", F.bitwise_not(mark).alias("m"))).alias("k"))
     down = Window.orderBy(F.col("_range").desc())
     every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    turn = heads.select("_range").withColumn("_to", F.coalesce(F.lead("_range").over(down), F.first("_range").over(every)))
-    donors = turn.join(heads.select(F.col("_range").alias("_to"), "_head"), "_to").select("_range", "_head")
-    return ordered.join(donors, "_range").withColumn("next", F.coalesce("_following", "_head")).select("doc_id", *carried, "next")
+    turn = first.select(
+        "_range",
+        F.coalesce(F.lead("k").over(down), F.first("k").over(every)).alias("k"),
+    ).select("_range", F.col("k.doc_id").alias("_head_id"), F.bitwise_not("k.m").alias("_head_mark"))
+    rows = docs.select("doc_id", *carried, mark.alias("_mark"))
+    same = rows["doc_id"].eqNullSafe(turn["_head_id"]) & (rows["_mark"] == turn["_head_mark"])
+    donors = turn.join(rows, same).groupBy("_range").agg(*[F.first(c).alias(f"_head_{c}") for c in carried])
+
+    base = docs.select("doc_id", *carried, mark.alias("_mark"), number.alias("_range"))
+    order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "_mark")
+    ordered = base.withColumns({"_last": F.lead("_mark").over(order).isNull(), **{f"_next_{c}": F.lead(c).over(order) for c in carried}})
+    following = F.struct(*[F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"_next_{c}")).alias(c) for c in carried])
+    return ordered.join(donors, "_range").withColumn("next", following).select("doc_id", *carried, "next")
 
 
 def edited_likeness(docs: DataFrame, *, bins: int = 256, width: int = 5) -> DataFrame:

@@ -1,0 +1,43 @@
+"""Fixtures of the training-data tests: tables of odd rows."""
+
+import pytest
+from pyspark.sql import types as T
+
+SF01 = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows."""
+    long = "lorem ipsum dolor sit amet " * 8000
+    rows = [
+        (1, "The quick brown fox jumps over the lazy dog again and again", "en", "a", 59),
+        (2, "The quick brown fox jumps over the lazy dog again and again", "en", "a", 59),
+        (2, "The quick brown fox jumps over the lazy dog again and again", "en", "a", 59),
+        (3, None, None, None, None),
+        (4, "", "en", "b", 0),
+        (5, " \t\n ", None, "b", 4),
+        (None, "a text of no id at all", "en", "c", 22),
+        (None, None, "en", None, None),
+        (6, long, "la", "a", len(long)),
+        (7, "12 34 !!", "en", "d", 8),
+        (8, "Übergröße für änderung und straße 😀 日本", "de", "d", 40),
+        (9, "one", "en", None, 3),
+        (-5, "minus five words in here now", "en", "e", 28),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], T.StructType.fromDDL(DOCS))
+
+
+@pytest.fixture(scope="session")
+def clashing(odd_docs):
+    """Extra columns whose names the operators use themselves."""
+    from pyspark.sql import functions as F
+
+    names = ["shard", "slot", "fp", "mark", "score", "label", "component_id", "size", "target", "taken", "block", "fingerprint", "lang_pred", "pieces", "next"]
+    return odd_docs.withColumns({n: F.lit("x") for n in names})
