@@ -70,6 +70,25 @@ def put_file(uri: str, write) -> None:
     system.move(trial, path)
 
 
+class Kept(dict):
+    """A dictionary of bounded size for a worker: at ``most`` entries they become the older
+    half, which is dropped at the next turn unless asked for again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.older[key]  # KeyError where neither half has it
+        return value
+
+    def turn(self) -> None:
+        """Call between uses, never while entries must stay."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import ship
+from splitscope.llm.common import Kept, ship
 
 SPACE = "▁"  # stands for a blank inside pieces
-_CACHE = 600_000  # words kept by a worker; more only cost time
+_CACHE = 200_000  # words, and parts of words, in each half of what a worker keeps; more would only save time
+_ROWS = 512  # texts turned into one Arrow array
 _FIRST = operator.itemgetter(0)
 
 # (score, ids as a tuple), best first
@@ -76,15 +77,19 @@ class Lattice:
         total = math.log(sum(1 / (r + shift) for r in range(len(plain) + 256)))
         self.vocabulary = {p: (i, -math.log(r + shift) - total if ranked else s) for r, (s, i, p) in enumerate(plain)}
         self.byte_score = -math.log(len(plain) + 256 + shift) - total if ranked else min(s for s, _, _ in plain) - 10
-        self.longest = max(map(len, self.vocabulary))
-        # score and ids of every piece; nothing for what only begins a piece
-        self.known: dict[str, tuple] = {p[:k]: () for p in self.vocabulary for k in range(1, len(p))}
-        self.known |= {p: (score, (i,)) for p, (i, score) in self.vocabulary.items()}
+        # a sign leads to what may follow it, and to score and ids of the piece that ends there
+        self.trie: dict[str, tuple[dict, tuple | None]] = {}
+        for piece in sorted(self.vocabulary):  # a piece comes after all that it begins with
+            i, score = self.vocabulary[piece]
+            node = self.trie
+            for sign in piece[:-1]:
+                node = node.setdefault(sign, ({}, None))[0]
+            node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, (score, (i,)))
         self.joined = {p[k : k + 2] for p in self.vocabulary for k in range(len(p) - 1)}
         # a text can be cut before every run of blanks if no piece goes from another sign to a blank
         self.by_word = not any(j[1] == SPACE and j[0] != SPACE for j in self.joined)
-        self.parts: dict[str, tuple[bytes, float, float]] = {}
-        self.words: dict[str, tuple[bytes, float, float]] = {}
+        self.parts: Kept = Kept(_CACHE)
+        self.words: Kept = Kept(_CACHE)
         self.several: dict[str, Best] = {}
 
     def edges(self, part: str) -> tuple[list[list[tuple[float, int, float, tuple[int, ...]]]], float]:
@@ -92,20 +97,24 @@ class Lattice:
 
         A piece is (best score of a path through it so far, begin, own score, ids).
         """
-        n, longest, known = len(part), self.longest, self.known
+        n = len(part)
         into: list[list[tuple[float, int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         best = [0.0] + [-math.inf] * n
         for i in range(n):
             here = best[i]
-            for j in range(i + 1, min(i + longest, n) + 1):
-                got = known.get(part[i:j])
-                if got is None:  # begins no piece
+            node = self.trie
+            end = i
+            for sign in part[i:]:
+                found = node.get(sign)
+                if found is None:
                     break
-                if got:
-                    through = here + got[0]
-                    into[j].append((through, i, *got))
-                    if through > best[j]:
-                        best[j] = through
+                end += 1
+                node, piece = found
+                if piece:
+                    through = here + piece[0]
+                    into[end].append((through, i, piece[0], piece[1]))
+                    if through > best[end]:
+                        best[end] = through
             if not into[i + 1] or into[i + 1][-1][1] != i:  # the character is no piece
                 raw = (SPACE if part[i] == "\0" else part[i]).encode()
                 through = here + self.byte_score * len(raw)
@@ -152,8 +161,9 @@ class Lattice:
         """Ids and score of a word's best segmentation, and the loss to its second."""
         found = []
         for part in self._cuts(word):
-            got = self.parts.get(part)
-            if got is None:
+            try:
+                got = self.parts[part]
+            except KeyError:
                 two = self.search(part, 2)
                 got = array("I", two[0][1]).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf
                 self.parts[part] = got
@@ -180,14 +190,13 @@ class Lattice:
         text = (" " + text).replace(SPACE, "\0").replace(" ", SPACE) if text else ""
         names = _WORD.findall(text) if self.by_word else [text] if text else []
         kept = self.words
-        if len(kept) > _CACHE or len(self.parts) > _CACHE:
-            kept.clear()
-            self.parts.clear()
+        kept.turn()
+        self.parts.turn()
         try:
             words = [kept[w] for w in names]
         except KeyError:
             for w in names:
-                if w not in kept:
+                if w not in kept and w not in kept.older:
                     kept[w] = self._word(w)
             words = [kept[w] for w in names]
         total = sum([w[1] for w in words])
@@ -259,11 +268,12 @@ def with_pieces(docs: DataFrame, model: str, *, n: int = 4, to: str = "pieces")
         change = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
         kind = pa.struct([("ids", pa.binary()), ("nbest", pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])))])
         for texts in batches:
-            found = []
-            for t in texts:
-                ids, nbest = own.encode(t.as_py() or "")
-                found.append({"ids": ids, "nbest": [{"score": s, "changes": [{"at": a, "n": k, "ids": list(new)} for a, k, new in c]} for s, c in nbest]})
-            yield pa.array(found, kind)
+            for lo in range(0, len(texts), _ROWS):
+                found = []
+                for t in texts.slice(lo, _ROWS):
+                    ids, nbest = own.encode(t.as_py() or "")
+                    found.append({"ids": ids, "nbest": [{"score": s, "changes": [{"at": a, "n": k, "ids": list(new)} for a, k, new in c]} for s, c in nbest]})
+                yield pa.array(found, kind)
 
     return docs.withColumn(to, F.arrow_udf(run, ENCODED)(F.col("text")))
 
@@ -275,6 +285,7 @@ def decoded(docs: DataFrame, model: str, ids: str, *, to: str = "decoded") -> Da
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = lattice(model, 1)
         for raw in batches:
-            yield pa.array([None if not r.is_valid else own.decode(np.frombuffer(r.as_py(), dtype="<u4")) for r in raw], pa.string())
+            for lo in range(0, len(raw), _ROWS):
+                yield pa.array([None if not r.is_valid else own.decode(np.frombuffer(r.as_py(), dtype="<u4")) for r in raw.slice(lo, _ROWS)], pa.string())
 
     return docs.withColumn(to, F.arrow_udf(run, "string")(F.col(ids)))

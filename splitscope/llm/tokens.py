@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import open_fs, put_file, scratch, ship
+from splitscope.llm.common import Kept, open_fs, put_file, scratch, ship
 
 MAGIC = b"DACIDS01"
 WIDTHS = (8, 8, 16)
@@ -134,7 +134,7 @@ def write_ids(out, doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
 _SPLIT = re.compile("[ \t\n\r]+")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile("[^\x21-įı-ɏ]")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000  # in each half of what a worker keeps; more would only save time
 _SIGNS = frozenset(".,;:!?-")
 # Fixed value: the pattern of the public word-level BPE files (letters, single digits, other signs).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -181,20 +181,21 @@ class Encoder:
         if self.by_word:
             self.pieces = regex.compile(PATTERN)
         self.code = "H" if self.type.itemsize == 2 else "I"
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words: Kept = Kept(_CACHE_WORDS)
+        self.known: Kept = Kept(_CACHE_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a run the pre-tokenizer's pattern gives, normalized."""
-        got = self.known.get(piece)
-        if got is None:
+        try:
+            return self.known[piece]
+        except KeyError:
             if not piece.isascii():
                 letters = _byte_letters()
                 ids = self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))
             else:
                 ids = self.tokenizer.model.tokenize(piece)
             got = self.known[piece] = array(self.code, [t.id for t in ids]).tobytes()
-        return got
+            return got
 
     def _word(self, word: str) -> bytes:
         if not word.isascii() and (_BEYOND_LATIN.search(word) or not unicodedata.is_normalized("NFC", word)):
@@ -213,14 +214,13 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
         words = _SPLIT.split(text) if _ODD_SPACE.search(text) else text.split()
         kept = self.words
-        if len(kept) > _CACHE_WORDS or len(self.known) > _CACHE_WORDS:
-            kept.clear()
-            self.known.clear()
+        kept.turn()
+        self.known.turn()
         try:
             return b"".join([kept[w] for w in words])
         except KeyError:
             for w in words:
-                if w not in kept:
+                if w not in kept and w not in kept.older:
                     kept[w] = self._word(w)
             return b"".join([kept[w] for w in words])
 
