@@ -211,13 +211,13 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), **opt
     )
     # identical rows of the input differ only by their place in the stream
     same = Window.partitionBy("doc_id", "mark").orderBy("at")
-    nth = m.rows.filter("size > 0").withColumn("_nth", F.row_number().over(same)).select("source_no", "at", "_nth", "size")
-    took = took.join(nth, ["source_no", "at"])
+    nth = m.rows.filter("size > 0").withColumn("_nth", F.row_number().over(same)).select("source_no", "at", "_nth", F.col("size").alias("_size"))
+    took = took.join(nth, ["source_no", "at"]).select("_doc", "_mark", "_nth", "_size", "_words", "_spans")
     marked = docs.withColumn("_own", F.xxhash64("doc_id", "text")).filter(word_count(F.col("text")) > 0)
     marked = marked.withColumn("_own_nth", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("_own")))
     both = marked.join(took, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_mark")) & (F.col("_own_nth") == F.col("_nth")))
     cut = F.expr(f"""array_join(flatten(transform(array_sort(_spans), s -> slice(regexp_extract_all(text, r'{WORD}', 0), int(s.start) + 1, int(s.words)))), ' ')""")
-    out = both.withColumn("text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(cut))
+    out = both.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

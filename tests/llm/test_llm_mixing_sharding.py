@@ -1,0 +1,140 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from llm_tables import clashing, no_docs, odd_docs  # noqa: F401
+from splitscope.llm import mixing, sharding
+from splitscope.llm.common import WORD
+
+
+def _filled(weights, sizes, share=1.0, cap=3.0):
+    """Targets by repeated resharing, as the rule is worded."""
+    total, fixed = share * sum(sizes), {}
+    while True:
+        rest = [i for i in range(len(sizes)) if i not in fixed]
+        left, w = total - sum(fixed.values()), sum(weights[i % len(weights)] for i in rest)
+        targets = {i: left * weights[i % len(weights)] / w for i in rest} if w else {}
+        over = [i for i in rest if targets[i] > cap * sizes[i]]
+        if not over:
+            return [({**fixed, **targets})[i] for i in range(len(sizes))]
+        fixed |= {i: cap * sizes[i] for i in over}
+
+
+@pytest.mark.parametrize("sizes", [[100, 1, 1, 1], [5, 5, 5, 5, 5, 5, 5], [1000, 10, 0, 3, 700], [0, 0]])
+def test_targets_follow_the_worded_rule(spark, sizes):
+    rows = [(None if i == len(sizes) - 1 else f"s{i:02d}", n) for i, n in enumerate(sizes)]
+    got = mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).orderBy("source_no").collect()
+    assert [r["source"] for r in got] == [r[0] for r in rows]
+    assert [r["target"] for r in got] == pytest.approx(_filled((5, 2, 1), sizes))
+
+
+def test_permutation_is_a_bijection():
+    for n in (1, 2, 3, 4, 5, 17, 64, 1000):
+        got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 12345))
+        assert sorted(got) == list(range(n))
+    a = mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 1))
+    b = mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 2))
+    assert (a != b).mean() > 0.9 and (a != np.arange(1000)).mean() > 0.9
+
+
+def test_shard_counts_add_up():
+    expected = np.array([10.5, 0.25, 3.75, 100.0])
+    counts = [mixing.shard_counts(expected, 7, s, 42) for s in range(7)]
+    assert sum(c.sum() for c in counts) == int(expected.sum())
+    assert (abs(sum(counts) - expected) < 7).all()
+    assert all((c >= np.floor(expected / 7)).all() for c in counts)
+
+
+def test_mix_against_brute_force(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i * 7 % 90)), "abc"[i % 3] if i % 7 else None) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.mix(docs, block=8, shard_slots=16, range_rows=20)
+    got = {r["doc_id"]: r for r in m.taken().collect()}
+    spans = m.spans.collect()
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    assert {i: r["size"] for i, r in got.items()} == sizes
+    # the spans state the same words
+    by_doc = {}
+    for s in spans:
+        assert 0 <= s["start"] and s["start"] + s["words"] <= sizes[s["doc_id"]]
+        by_doc[s["doc_id"]] = by_doc.get(s["doc_id"], 0) + s["words"]
+    assert all(got[i]["taken"] == by_doc.get(i, 0) <= 3 * sizes[i] for i in sizes)
+    # each slot holds one whole block; a source takes a block once a pass; slots are not shared
+    slots = {}
+    for s in spans:
+        slots.setdefault((s["shard"], s["slot"]), set()).add((s["source_no"], s["block"], s["pass_no"]))
+    assert all(len(v) == 1 for v in slots.values())
+    taken = [next(iter(v)) for v in slots.values()]
+    assert len(taken) == len(set(taken))
+    for no in {r["source_no"] for r in got.values()}:
+        own = [r for r in got.values() if r["source_no"] == no]
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.15)
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(3), block=8, shard_slots=16, range_rows=20).taken().collect()}
+    assert again == {i: r["taken"] for i, r in got.items()}
+
+
+def test_mixed_documents_have_the_taken_words(spark):
+    rows = [(i, "  ".join(f"w{i}x{k}" for k in range(1 + i * 7 % 40)), "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.char_length("text").cast("long"))
+    want = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=8, shard_slots=16).taken().collect()}
+    out = mixing.mixed_documents(docs, block=8, shard_slots=16)
+    assert out.columns == docs.columns
+    got = {}
+    texts = dict((i, t) for i, t, _ in rows)
+    for r in out.collect():
+        words = r["text"].split()
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(words)
+        own = texts[r["doc_id"]].split()
+        assert r["n_chars"] == len(r["text"])
+        assert r["text"] == texts[r["doc_id"]] if len(words) == len(own) else set(words) < set(own)
+    assert got == {i: n for i, n in want.items() if n}
+
+
+def test_mix_of_odd_rows(odd_docs, no_docs, clashing):
+    got = mixing.mix(odd_docs, block=8, shard_slots=64).taken().collect()
+    want = sorted((r["doc_id"] is None, r["doc_id"] or 0, len((r["text"] or "").split())) for r in odd_docs.collect())
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in got) == want
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
+    assert mixing.mix(no_docs).taken().count() == 0
+    assert mixing.mixed_documents(no_docs).count() == 0
+    assert mixing.mix(clashing, block=8, shard_slots=64).taken().count() == len(want)
+    assert mixing.mixed_documents(clashing, block=8).columns == clashing.columns
+
+
+def test_hypergeometric_moments_and_limits():
+    rng = np.random.default_rng(1)
+    assert sharding.hypergeometric(rng, 5, 0, 3) == 3 and sharding.hypergeometric(rng, 0, 5, 3) == 0
+    got = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
+    assert np.mean(got) == pytest.approx(6, abs=0.1) and np.var(got) == pytest.approx(20 * 0.3 * 0.7 * 80 / 99, rel=0.1)
+    big = [sharding.hypergeometric(rng, 2 * 10**9, 3 * 10**9, 10**6) for _ in range(50)]
+    assert np.mean(big) == pytest.approx(4e5, rel=1e-3)
+
+
+def test_matrix_has_exact_margins():
+    counts, sizes = np.array([5, 0, 17, 3, 9]), [12, 11, 11]
+    rows = sharding.matrix_rows(counts, sizes, 7, list(range(5)))
+    assert [sum(r) for r in rows] == counts.tolist()
+    assert [sum(c) for c in zip(*rows)] == sizes
+    assert sharding.matrix_rows(counts, sizes, 7, [3]) == [rows[3]]  # any task draws the same
+
+
+def test_shards_are_exact_gapless_and_uniform(spark):
+    docs = spark.range(2400).selectExpr("id AS doc_id", "concat('t', id % 5) AS text")
+    got = sharding.shard(docs, 24, part_rows=100).toPandas()
+    assert sorted(got.doc_id) == list(range(2400))
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(100))
+    assert sorted(got.shard.unique()) == list(range(24))
+    # ids spread over shards and slots without order
+    assert abs(np.corrcoef(got.doc_id, got.shard)[0, 1]) < 0.1 and abs(np.corrcoef(got.doc_id, got.slot)[0, 1]) < 0.1
+    again = sharding.shard(docs.repartition(3), 24, part_rows=100).toPandas()
+    assert got.sort_values("doc_id").values.tolist() == again.sort_values("doc_id").values.tolist()
+
+
+def test_shards_of_odd_rows(odd_docs, no_docs, clashing):
+    got = sharding.shard(odd_docs, 4, part_rows=3).toPandas()
+    assert len(got) == odd_docs.count() and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
+    assert sharding.shard(no_docs, 4).count() == 0
+    out = sharding.shard(clashing, 4)
+    assert sorted(out.columns) == sorted(clashing.columns) and out.filter("slot = 'x'").count() == 0
+    assert WORD == r"[^\x20\x09-\x0D]+"
