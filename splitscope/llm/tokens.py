@@ -133,7 +133,7 @@ def write_ids(out, doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
 
 _SPLIT = re.compile("[ \t\n\r]+")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f]")
-_BEYOND_LATIN = re.compile("[^\x21-įı-ɏ]")
+_BEYOND_LATIN = re.compile("[^\x21-\x7e\xa1-\u012f\u0131-\u024f]")
 _CACHE_WORDS = 500_000  # in each half of what a worker keeps; more would only save time
 _SIGNS = frozenset(".,;:!?-")
 # Fixed value: the pattern of the public word-level BPE files (letters, single digits, other signs).
@@ -198,7 +198,7 @@ class Encoder:
             return got
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii() and (_BEYOND_LATIN.search(word) or not unicodedata.is_normalized("NFC", word)):
+        if _BEYOND_LATIN.search(word) or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
             return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         word = word.lower()
         if word.isalpha():
@@ -212,7 +212,7 @@ class Encoder:
         """The ids of a text, as an array of ``type`` in bytes."""
         if not self.by_word:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
-        words = _SPLIT.split(text) if _ODD_SPACE.search(text) else text.split()
+        words = [w for w in _SPLIT.split(text) if w] if _ODD_SPACE.search(text) else text.split()
         kept = self.words
         kept.turn()
         self.known.turn()
