@@ -127,7 +127,7 @@ def test_word_vectors_against_brute_force(spark):
     where, sign = shape.index()
     want, n = np.zeros((64, 8)), np.zeros(64)
     for t in texts:
-        data, off = text_bytes(pa.array([t]))
+        data, off = text_bytes(pa.array([t], pa.string()))
         word, _ = quality.tokens(data, off, 64)
         for i, w in enumerate(word):
             n[w] += 1
