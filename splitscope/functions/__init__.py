@@ -1,6 +1,5 @@
 from .exprs import (
     avg_d,
-    chi2_critical,
     chi2_critical_col,
     chi2_sf,
     flag,
@@ -15,7 +14,6 @@ from .exprs import (
 
 __all__ = [
     "avg_d",
-    "chi2_critical",
     "chi2_critical_col",
     "chi2_sf",
     "flag",

@@ -16,22 +16,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Magnitude above which a value is returned as is: DECIMAL(38,10) holds 28 integer digits.
-ROUND_LIMIT = 1e27
-
-
 def rnd(c: str | Column, digits: int) -> Column:
-    """Decimal rounding, half away from zero, returned as DOUBLE.
+    """Decimal rounding, half away from zero, returned as DOUBLE; one rule for all values.
 
-    Goes through DECIMAL(38,10) first so binary fuzz of a double (``2.675`` held as
-    ``2.67499999...``) cannot flip the last kept digit. Values too large for that
-    decimal (e.g. a required sample size for a vanishing effect), NaN and infinities
-    pass through unrounded instead of failing the cast under ANSI mode.
+    Rounded to ten decimals first, so binary fuzz of a double (``2.675`` held as
+    ``2.67499999...``) cannot flip the last kept digit. Spark rounds doubles on their
+    decimal expansion, whatever their magnitude; NaN and infinities stay as they are.
     """
-    x = col(c)
-    return F.when(F.abs(x) < F.lit(ROUND_LIMIT), F.round(x.cast("decimal(38,10)"), digits).cast("double")).otherwise(
-        x.cast("double")
-    )
+    return F.round(F.round(col(c).cast("double"), 10), digits)
 
 
 def pct(c: str | Column, digits: int = 2) -> Column:
@@ -83,33 +75,28 @@ def two_sided_p(z: str | Column) -> Column:
 def chi2_sf(stat: str | Column, df: str | Column) -> Column:
     """Chi-square upper tail ``P(X > stat)`` for integer ``df >= 1``, closed form.
 
-    even df: ``exp(-x/2) * sum_{i<df/2} (x/2)^i / i!``
-    odd df:  ``2 * (1 - Phi(sqrt x)) + sqrt(2x/pi) * exp(-x/2) * sum_{i=1}^{(df-1)/2} x^(i-1) / (1*3*...*(2i-1))``
-    Both sums are built with ``aggregate`` over ``sequence`` so ``df`` may come from the data.
+    even df: ``sum_{i<df/2} exp(-x/2) (x/2)^i / i!``
+    odd df:  ``2 * (1 - Phi(sqrt x)) + sum_{i=1}^{(df-1)/2} sqrt(2x/pi) exp(-x/2) x^(i-1) / (1*3*...*(2i-1))``
+    The terms are carried as logarithms, so no df or statistic under- or overflows; the
+    sums are built with ``aggregate`` over ``sequence``, so ``df`` may come from the data.
     """
     x = col(stat).cast("double")
     k = col(df).cast("int")
     half = x / F.lit(2.0)
-    # even: t_0 = 1, t_i = t_{i-1} * (x/2) / i for i = 1 .. df/2 - 1 (empty when df = 2)
-    even_sum = F.aggregate(
-        F.sequence(F.lit(1), F.floor(k / 2).cast("int") - 1),
-        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda acc, i: F.struct(
-            (acc["t"] * half / i).alias("t"),
-            (acc["s"] + acc["t"] * half / i).alias("s"),
-        ),
-    )["s"]
-    even_sf = F.exp(-half) * F.when(k >= 4, even_sum).otherwise(F.lit(1.0))
-    # odd: u_1 = 1, u_i = u_{i-1} * x / (2i - 1) for i = 2 .. (df-1)/2 (empty when df = 3)
-    odd_sum = F.aggregate(
-        F.sequence(F.lit(2), F.floor((k - 1) / 2).cast("int")),
-        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda acc, i: F.struct(
-            (acc["t"] * x / (i * 2 - 1)).alias("t"),
-            (acc["s"] + acc["t"] * x / (i * 2 - 1)).alias("s"),
-        ),
-    )["s"]
-    odd_tail = F.sqrt(F.lit(2.0) * x / F.lit(math.pi)) * F.exp(-half) * F.when(k >= 5, odd_sum).otherwise(F.lit(1.0))
+
+    def log_sum(first: Column, last: Column, start: Column, step) -> Column:
+        """exp(start) + exp of each next logarithm, for i = first .. last."""
+        empty = F.struct(start.alias("t"), F.exp(start).alias("s"))
+        more = F.aggregate(
+            F.sequence(first, last),
+            empty,
+            lambda acc, i: F.struct((acc["t"] + step(i)).alias("t"), (acc["s"] + F.exp(acc["t"] + step(i))).alias("s")),
+        )["s"]
+        return F.when(last >= first, more).otherwise(F.exp(start))
+
+    even_sf = log_sum(F.lit(1), F.floor(k / 2).cast("int") - 1, -half, lambda i: F.ln(half / i))
+    odd_start = F.lit(0.5) * F.ln(F.lit(2.0) * x / F.lit(math.pi)) - half
+    odd_tail = log_sum(F.lit(2), F.floor((k - 1) / 2).cast("int"), odd_start, lambda i: F.ln(x / (i * 2 - 1)))
     odd_sf = F.lit(2.0) * normal_sf(F.sqrt(x)) + F.when(k >= 3, odd_tail).otherwise(F.lit(0.0))
     return F.when(x <= 0, F.lit(1.0)).when(k % 2 == 0, even_sf).otherwise(odd_sf)
 
@@ -121,56 +108,21 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def chi2_critical(df: int, alpha: float) -> float:
-    """Chi-square critical value for a parameter ``alpha`` (driver-side bisection on the closed-form tail)."""
-
-    def sf(x: float) -> float:
-        if x <= 0:
-            return 1.0
-        if df % 2 == 0:
-            term, total = 1.0, 1.0
-            for i in range(1, df // 2):
-                term *= (x / 2) / i
-                total += term
-            return math.exp(-x / 2) * total
-        tail = math.erfc(math.sqrt(x / 2))
-        if df >= 3:
-            term, total = 1.0, 1.0
-            for i in range(2, (df - 1) // 2 + 1):
-                term *= x / (2 * i - 1)
-                total += term
-            tail += math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * total
-        return tail
-
-    lo, hi = 0.0, 1.0
-    while sf(hi) > alpha:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if sf(mid) > alpha:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
-
-
-# Chi-square critical values at alpha = 0.05 for df = 1..30, three
-# decimals as printed in standard tables (the analysis compares against 9.488 at df 4).
-CHI2_CRITICAL_05 = (
-    3.841, 5.991, 7.815, 9.488, 11.070, 12.592, 14.067, 15.507, 16.919, 18.307,
-    19.675, 21.026, 22.362, 23.685, 24.996, 26.296, 27.587, 28.869, 30.144, 31.410,
-    32.671, 33.924, 35.172, 36.415, 37.652, 38.885, 40.113, 41.337, 42.557, 43.773,
-)
-
-
-def chi2_critical_col(df: str | Column, alpha: float, max_df: int = 100) -> Column:
-    """Critical value for a data-dependent ``df`` (1..max_df): a literal array built from ``alpha``.
-
-    At alpha 0.05 the first 30 entries are the printed table values above.
+def chi2_critical_col(df: str | Column, alpha: float, steps: int = 64) -> Column:
+    """Critical value at ``alpha`` for any ``df >= 1`` (NULL below), to three decimals as in
+    printed tables.
+
+    Bisection on the tail above. The upper end of the search is the Laurent-Massart bound
+    ``df + 2 sqrt(df t) + 2 t`` with ``t = -ln(alpha)``, beyond which the tail is below alpha.
     """
-    values = [round(chi2_critical(d, alpha), 3) for d in range(1, max_df + 1)]
-    if alpha == 0.05:
-        values[: len(CHI2_CRITICAL_05)] = CHI2_CRITICAL_05
     k = col(df).cast("int")
-    table = F.array(*[F.lit(float(v)) for v in values])
-    return F.when((k >= 1) & (k <= max_df), F.element_at(table, k))
+    t = -math.log(alpha)
+    top = k + F.lit(2.0) * F.sqrt(k * F.lit(t)) + F.lit(2.0 * t)
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) / 2
+        above = chi2_sf(mid, k) > F.lit(alpha)
+        return F.struct(F.when(above, mid).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halve)
+    return F.when(k >= 1, rnd((found["lo"] + found["hi"]) / 2, 3))

@@ -26,8 +26,8 @@ def _rates(clean_df: DataFrame, dim: str | None, spec: ExperimentSpec, with_tota
     is_b = F.col("test_group") == spec.treatment
     y = F.col("conversion").cast("bigint")
     aggs = [
-        F.count_if(is_a).alias("n_a"),
-        F.count_if(is_b).alias("n_b"),
+        F.count_if(is_a & y.isNotNull()).alias("n_a"),
+        F.count_if(is_b & y.isNotNull()).alias("n_b"),
         F.coalesce(F.sum(F.when(is_a, y)), F.lit(0)).alias("x_a"),
         F.coalesce(F.sum(F.when(is_b, y)), F.lit(0)).alias("x_b"),
     ]
@@ -47,7 +47,8 @@ def roi(
     assumptions: RoiAssumptions = DEFAULT_ROI,
     spec: ExperimentSpec = DEFAULT_SPEC,
 ) -> DataFrame:
-    """Annual revenue per arm, revenue lift, cost, net benefit, ROI, payback, break-even.
+    """Annual revenue per arm, revenue lift, cost, net benefit, ROI, payback, break-even
+    (in sessions, and in days of 365 a year at the assumed traffic).
 
     Each ``dim`` value gets its share of the monthly sessions and of the cost, by its
     share of Normal sessions (our choice); the 'All' row is the whole site. Payback
@@ -67,6 +68,7 @@ def roi(
     lift = rev_b - rev_a
     net = lift - cost
     per_session_gain = (p_b - p_a) * F.lit(a.order_value)
+    daily_sessions = F.lit(a.monthly_sessions * 12 / 365) * share
     return rates.select(
         F.col("segment").alias(dim or "segment"),
         rnd(share * 100, 2).alias("pct_of_sessions"),
@@ -81,6 +83,7 @@ def roi(
         # no payback and no break-even when the treatment does not gain (NULL)
         rnd(F.when(lift > 0, cost / (lift / F.lit(float(a.months)))), 4).alias("payback_months"),
         F.ceil(rnd(F.when(per_session_gain > 0, cost / per_session_gain), 6)).cast("bigint").alias("break_even_sessions"),
+        rnd(F.when(per_session_gain > 0, cost / per_session_gain / daily_sessions), 2).alias("break_even_days"),
     ).orderBy(F.col(dim or "segment") == "All", dim or "segment")
 
 
@@ -141,20 +144,19 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
     w = F.col("widgets_viewed").cast("double")
     f = F.col("filters_applied").cast("double")
 
-    def nsum(e):
-        return F.sum(F.when(is_normal, e))
+    def moments(name, x):
+        """Sums behind a correlation, over the Normal rows where both sides are known."""
+        both = is_normal & x.isNotNull() & y.isNotNull()
+        sums = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+        return [F.coalesce(F.sum(F.when(both, e)), F.lit(0.0)).alias(f"{name}_{k}") for k, e in sums.items()]
 
+    pairs = [*moments("w", w), *moments("f", f)]
+    names = [f"{name}_{k}" for name in "wf" for k in ("n", "x", "y", "xx", "yy", "xy")]
     cells = clean_df.groupBy("cookie_segment", "group_id").agg(
         F.count("*").alias("obs"),
-        F.count_if(is_normal).alias("nn"),
-        nsum(y).alias("sy"),
-        nsum(y * y).alias("syy"),
-        nsum(w).alias("sw"),
-        nsum(w * w).alias("sww"),
-        nsum(w * y).alias("swy"),
-        nsum(f).alias("sf"),
-        nsum(f * f).alias("sff"),
-        nsum(f * y).alias("sfy"),
+        F.count_if(is_normal & y.isNotNull()).alias("nn"),
+        F.sum(F.when(is_normal, y)).alias("sy"),
+        *pairs,
     )
     # chi-square components on the cells, then one global aggregate over the same
     # chain (a second consumer of ``cells`` would re-read the table)
@@ -163,7 +165,7 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         F.pow(F.col("observed") - F.col("expected"), 2) / F.nullif(F.col("expected"), F.lit(0.0)),
     )
     tot = comp.agg(
-        *[F.sum(c).alias(c) for c in ("nn", "sy", "syy", "sw", "sww", "swy", "sf", "sff", "sfy")],
+        *[F.sum(c).alias(c) for c in names],
         F.sum(F.when(F.col("group_id") == spec.control, F.col("sy"))).alias("conv_a"),
         F.sum(F.when(F.col("group_id") == spec.control, F.col("nn"))).alias("n_a"),
         F.sum(F.when(F.col("group_id") == spec.treatment, F.col("sy"))).alias("conv_b"),
@@ -172,15 +174,13 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         ((F.count_distinct("cookie_segment") - 1) * (F.count_distinct("group_id") - 1)).alias("dof"),
     ).withColumns({"critical_value": chi2_critical_col("dof", spec.alpha), "p_value": chi2_sf("stat", "dof")})
 
-    def corr(sx, sxx, sxy):
-        nn = F.col("nn").cast("double")
-        cov = nn * F.col(sxy) - F.col(sx) * F.col("sy")
-        var = (nn * F.col(sxx) - F.col(sx) * F.col(sx)) * (nn * F.col("syy") - F.col("sy") * F.col("sy"))
-        return cov / F.nullif(F.sqrt(var), F.lit(0.0))
+    def corr(name):
+        n, sx, sy, sxx, syy, sxy = (F.col(f"{name}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy"))
+        return (n * sxy - sx * sy) / F.nullif(F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), F.lit(0.0))
 
     rate_a = F.col("conv_a") / F.nullif(F.col("n_a").cast("double"), F.lit(0.0)) * 100
     rate_b = F.col("conv_b") / F.nullif(F.col("n_b").cast("double"), F.lit(0.0)) * 100
-    r_w, r_f = corr("sw", "sww", "swy"), corr("sf", "sff", "sfy")
+    r_w, r_f = corr("w"), corr("f")
     fmt = lambda c: F.format_number(rnd(c, 2), 2)
     line1 = F.concat(
         F.lit(f"1. Group {spec.treatment} shows "),
@@ -198,7 +198,7 @@ def findings(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFr
         .otherwise("shows mixed correlation"),
         F.lit(" with conversion"),
     )
-    unbalanced = rejects(spec.alpha)
+    unbalanced = rejects()
     line3 = F.when(unbalanced, "3. Test groups are NOT balanced across segments").otherwise(FINDINGS_BALANCED)
     line4 = F.when(unbalanced, "4. Fix randomization before significance testing").otherwise(FINDINGS_READY)
     lines = F.array(F.lit(FINDINGS_TITLE), line1, line2, line3, line4)

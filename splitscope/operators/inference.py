@@ -17,85 +17,106 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import avg_d, normal_cdf, normal_quantile, normal_sf, rnd, two_sided_p
+from ..functions.exprs import avg_d, chi2_critical_col, chi2_sf, normal_cdf, normal_quantile, normal_sf, rnd, two_sided_p
 from ..spec import DEFAULT_SPEC, ExperimentSpec
 from .clean import ANOMALY, QUALITY_NORMAL, normal, normal_predicate
-from .randomization import chi_square, rejects
+from .randomization import rejects
 
 
 def _arm_counts(df: DataFrame, outcome: str, keys: Sequence[str], spec: ExperimentSpec) -> DataFrame:
-    """Per key: sessions and successes of each arm, pivoted by conditional aggregation."""
+    """Per key: sessions with a known outcome and successes of each arm, pivoted by conditional aggregation."""
     is_a = F.col("test_group") == spec.control
     is_b = F.col("test_group") == spec.treatment
     y = F.col(outcome).cast("bigint")
     return df.groupBy(*keys).agg(
-        F.count_if(is_a).alias("n_a"),
-        F.count_if(is_b).alias("n_b"),
+        F.count_if(is_a & y.isNotNull()).alias("n_a"),
+        F.count_if(is_b & y.isNotNull()).alias("n_b"),
         F.coalesce(F.sum(F.when(is_a, y)), F.lit(0)).alias("x_a"),
         F.coalesce(F.sum(F.when(is_b, y)), F.lit(0)).alias("x_b"),
     )
 
 
-def _proportion_stats(alpha: float) -> dict[str, Column]:
-    """z test (pooled SE, H1: treatment > control) and unpooled Wald CI from n_a, n_b, x_a, x_b."""
+def _with_proportions(counts: DataFrame, alpha: float) -> DataFrame:
+    """Adds to n_a, n_b, x_a, x_b: rates, pooled z (H1: treatment > control), its tails and the
+    unpooled Wald interval.
+
+    In steps, each on columns of the last: z is long, and the tail names it many times,
+    so as one expression the plan would repeat it in every place.
+    """
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    p_a, p_b = F.col("x_a") / n_a, F.col("x_b") / n_b
-    pooled = (F.col("x_a") + F.col("x_b")) / (n_a + n_b)
-    se_pooled = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n_a + F.lit(1.0) / n_b))
-    z = (p_b - p_a) / F.nullif(se_pooled, F.lit(0.0))
-    se_wald = F.sqrt(p_a * (F.lit(1.0) - p_a) / n_a + p_b * (F.lit(1.0) - p_b) / n_b)
-    z_ci = normal_quantile(1 - alpha / 2)
-    return {
-        "p_a": p_a,
-        "p_b": p_b,
-        "z": z,
-        "p_one": normal_sf(z),
-        "p_two": two_sided_p(z),
-        "ci_low": (p_b - p_a) - F.lit(z_ci) * se_wald,
-        "ci_high": (p_b - p_a) + F.lit(z_ci) * se_wald,
-    }
+    p_a, p_b, pooled = F.col("p_a"), F.col("p_b"), F.col("pooled")
+    one = F.lit(1.0)
+    z_ci = F.lit(normal_quantile(1 - alpha / 2))
+    return (
+        counts.withColumns({"p_a": F.col("x_a") / n_a, "p_b": F.col("x_b") / n_b, "pooled": (F.col("x_a") + F.col("x_b")) / (n_a + n_b)})
+        .withColumns(
+            {
+                "se_pooled": F.sqrt(pooled * (one - pooled) * (one / n_a + one / n_b)),
+                "se_wald": F.sqrt(p_a * (one - p_a) / n_a + p_b * (one - p_b) / n_b),
+            }
+        )
+        .withColumns(
+            {
+                "z": (p_b - p_a) / F.nullif(F.col("se_pooled"), F.lit(0.0)),
+                "ci_low": (p_b - p_a) - z_ci * F.col("se_wald"),
+                "ci_high": (p_b - p_a) + z_ci * F.col("se_wald"),
+            }
+        )
+        .withColumns({"p_one": normal_sf("z"), "p_two": two_sided_p("z")})
+    )
 
 
 def ztest(clean_df: DataFrame, outcome: str = "conversion", spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
     """Pooled two-proportion z-test of treatment > control on a 0/1 outcome, with the
     (1 - alpha) unpooled Wald interval of the rate difference. One row."""
     n = normal(clean_df, spec)
-    s = _proportion_stats(spec.alpha)
     z_crit = normal_quantile(1 - spec.alpha)
     counts = _arm_counts(n, outcome, [], spec)
-    return counts.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)).select(
+    return _with_proportions(counts.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)), spec.alpha).select(
         F.lit(outcome).alias("metric"),
         "n_a",
         "n_b",
         F.col("x_a").alias("successes_a"),
         F.col("x_b").alias("successes_b"),
-        rnd(s["p_a"] * 100, 4).alias("rate_a_pct"),
-        rnd(s["p_b"] * 100, 4).alias("rate_b_pct"),
-        rnd((s["p_b"] - s["p_a"]) * 100, 4).alias("diff_pp"),
-        rnd(s["z"], 4).alias("z_statistic"),
+        rnd(F.col("p_a") * 100, 4).alias("rate_a_pct"),
+        rnd(F.col("p_b") * 100, 4).alias("rate_b_pct"),
+        rnd((F.col("p_b") - F.col("p_a")) * 100, 4).alias("diff_pp"),
+        rnd(F.col("z"), 4).alias("z_statistic"),
         F.lit(round(z_crit, 4)).alias("z_critical"),
-        rnd(s["p_one"], 6).alias("p_value"),
-        rnd(s["p_two"], 6).alias("p_value_two_sided"),
-        rnd(s["ci_low"] * 100, 4).alias("ci_low_pp"),
-        rnd(s["ci_high"] * 100, 4).alias("ci_high_pp"),
-        F.when(s["z"] > F.lit(z_crit), "REJECT NULL - treatment improves the rate")
+        rnd(F.col("p_one"), 6).alias("p_value"),
+        rnd(F.col("p_two"), 6).alias("p_value_two_sided"),
+        rnd(F.col("ci_low") * 100, 4).alias("ci_low_pp"),
+        rnd(F.col("ci_high") * 100, 4).alias("ci_high_pp"),
+        F.when(F.col("z") > F.lit(z_crit), "REJECT NULL - treatment improves the rate")
         .otherwise("ACCEPT NULL - no significant improvement")
         .alias("conclusion"),
     )
 
 
 def chi2_outcome(clean_df: DataFrame, outcome: str = "conversion", spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
-    """Chi-square test of independence of arm and a 0/1 outcome (2 x 2). One row."""
-    n = normal(clean_df, spec)
-    cells = n.groupBy("test_group", outcome).agg(F.count("*").alias("observed"))
-    res = chi_square(cells, outcome, "test_group", spec.alpha)
-    return res.select(
+    """Chi-square test of independence of arm and a 0/1 outcome (2 x 2). One row.
+
+    Closed form from the four counts, so an empty cell counts like any other and the
+    statistic is the square of the pooled z. NULL outcomes count nowhere; where an arm or
+    an outcome is missing the statistic is NULL.
+    """
+    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    hits = F.col("x_a") + F.col("x_b")
+    misses = n_a + n_b - hits
+    cross = F.col("x_b") * (n_a - F.col("x_a")) - F.col("x_a") * (n_b - F.col("x_b"))
+    stat = (n_a + n_b) * cross * cross / F.nullif(n_a * n_b * hits * misses, F.lit(0.0))
+    tested = (
+        _arm_counts(normal(clean_df, spec), outcome, [], spec)
+        .select(stat.alias("stat"), F.lit(1).cast("bigint").alias("dof"))
+        .withColumns({"critical_value": chi2_critical_col("dof", spec.alpha), "p_value": chi2_sf("stat", "dof")})
+    )
+    return tested.select(
         F.lit(outcome).alias("metric"),
         rnd("stat", 4).alias("chi_square_statistic"),
         F.col("dof").alias("degrees_of_freedom"),
         F.col("critical_value"),
         rnd("p_value", 6).alias("p_value"),
-        F.when(rejects(spec.alpha), "SIGNIFICANT - arm and outcome are associated")
+        F.when(rejects(), "SIGNIFICANT - arm and outcome are associated")
         .otherwise("NOT SIGNIFICANT - no association")
         .alias("conclusion"),
     )
@@ -109,19 +130,19 @@ def stratified_test(
     Strata seen in only one arm are not tested (and do not count toward m).
     """
     n = normal(clean_df, spec)
-    s = _proportion_stats(spec.alpha)
     counts = _arm_counts(n, outcome, [dim], spec).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
     m = F.count("*").over(Window.partitionBy())  # strata tested; window over <= strata rows
-    p_adj = F.least(F.lit(1.0), s["p_one"] * m)
-    return counts.select(
+    tested = _with_proportions(counts, spec.alpha).withColumn("p_adj", F.least(F.lit(1.0), F.col("p_one") * m))
+    p_adj = F.col("p_adj")
+    return tested.select(
         dim,
         "n_a",
         "n_b",
-        rnd(s["p_a"] * 100, 2).alias("rate_a_pct"),
-        rnd(s["p_b"] * 100, 2).alias("rate_b_pct"),
-        rnd((s["p_b"] - s["p_a"]) / F.nullif(s["p_a"], F.lit(0.0)) * 100, 1).alias("relative_lift_pct"),
-        rnd(s["z"], 4).alias("z_statistic"),
-        rnd(s["p_one"], 6).alias("p_value"),
+        rnd(F.col("p_a") * 100, 2).alias("rate_a_pct"),
+        rnd(F.col("p_b") * 100, 2).alias("rate_b_pct"),
+        rnd((F.col("p_b") - F.col("p_a")) / F.nullif(F.col("p_a"), F.lit(0.0)) * 100, 1).alias("relative_lift_pct"),
+        rnd(F.col("z"), 4).alias("z_statistic"),
+        rnd(F.col("p_one"), 6).alias("p_value"),
         rnd(p_adj, 6).alias("p_value_bonferroni"),
         F.when(p_adj < F.lit(spec.alpha), "YES").otherwise("NO").alias("significant"),
     ).orderBy(dim)
@@ -181,7 +202,9 @@ COMPARISON_METRICS = (
 def metric_comparison(
     clean_df: DataFrame, metrics: Sequence[tuple[str, str, str]] = COMPARISON_METRICS, spec: ExperimentSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """All-metric table: arm means, relative lift and a two-sided p-value per metric.
+    """All-metric table: arm means, absolute and relative lift and a two-sided p-value per metric.
+
+    The absolute lift of a rate is in percentage points.
 
     Proportions use the pooled two-proportion z; means use Welch's statistic with the
     large-sample normal reference (our choice). One aggregation per arm, pivoted to
@@ -208,18 +231,24 @@ def metric_comparison(
     pooled = (F.col("ma") * n_a + F.col("mb") * n_b) / (n_a + n_b)
     se_prop = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n_a + F.lit(1.0) / n_b))
     se_welch = F.sqrt(F.col("va") / n_a + F.col("vb") / n_b)
-    stat = F.when(F.col("kind") == "proportion", (F.col("mb") - F.col("ma")) / F.nullif(se_prop, F.lit(0.0))).otherwise(
-        (F.col("mb") - F.col("ma")) / F.nullif(se_welch, F.lit(0.0))
+    is_rate = F.col("kind") == "proportion"
+    se = F.when(is_rate, se_prop).otherwise(se_welch)
+    scale = F.when(is_rate, F.lit(100.0)).otherwise(F.lit(1.0))
+    # in steps: the tail of a long expression would repeat it many times
+    tested = (
+        long.withColumns({"scale": scale, "se": se})
+        .withColumn("stat", (F.col("mb") - F.col("ma")) / F.nullif(F.col("se"), F.lit(0.0)))
+        .withColumn("p", two_sided_p("stat"))
     )
-    scale = F.when(F.col("kind") == "proportion", F.lit(100.0)).otherwise(F.lit(1.0))
-    return long.select(
+    return tested.select(
         "metric",
-        F.when(F.col("kind") == "proportion", "two-proportion z").otherwise("Welch z").alias("test"),
-        rnd(F.col("ma") * scale, 2).alias("group_a_value"),
-        rnd(F.col("mb") * scale, 2).alias("group_b_value"),
+        F.when(is_rate, "two-proportion z").otherwise("Welch z").alias("test"),
+        rnd(F.col("ma") * F.col("scale"), 2).alias("group_a_value"),
+        rnd(F.col("mb") * F.col("scale"), 2).alias("group_b_value"),
+        rnd((F.col("mb") - F.col("ma")) * F.col("scale"), 2).alias("absolute_lift"),
         rnd((F.col("mb") - F.col("ma")) / F.nullif(F.col("ma"), F.lit(0.0)) * 100, 1).alias("relative_lift_pct"),
-        rnd(stat, 4).alias("statistic"),
-        rnd(two_sided_p(stat), 4).alias("p_value"),
+        rnd("stat", 4).alias("statistic"),
+        rnd("p", 4).alias("p_value"),
     )
 
 
@@ -236,19 +265,20 @@ def correlations(
     """Pearson correlation and least-squares slope of each feature with the target, per arm
     and over both arms (``test_group = 'All'``). One pass: ``rollup`` over the arm."""
     n = normal(clean_df, spec)
-    y = F.col(target).cast("double")
     aggs = []
     for i, f in enumerate(features):
-        x = F.col(f).cast("double")
+        # only rows where both sides are known count, on both sides
+        x = F.when(F.col(target).isNotNull(), F.col(f).cast("double"))
+        y = F.when(F.col(f).isNotNull(), F.col(target).cast("double"))
         # Pearson r from sample moments; NULL (not an error) when either side is constant,
         # e.g. an arm without conversions (``corr`` divides by zero there under ANSI mode)
         r = F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
         aggs += [r.alias(f"r{i}"), F.regr_slope(y, x).alias(f"b{i}")]
-    wide = n.rollup("test_group").agg(F.count("*").alias("n"), *aggs)
+    wide = n.rollup("test_group").agg(F.count("*").alias("n"), F.grouping("test_group").alias("is_total"), *aggs)
     stack_args = ", ".join(f"'{f}', r{i}, b{i}" for i, f in enumerate(features))
     return (
         wide.select(
-            F.coalesce(F.col("test_group"), F.lit("All")).alias("test_group"),
+            F.when(F.col("is_total") == 1, F.lit("All")).otherwise(F.col("test_group")).alias("test_group"),
             "n",
             F.expr(f"stack({len(features)}, {stack_args}) AS (feature, r, b)"),
         )
@@ -263,6 +293,11 @@ def correlations(
     )
 
 
+def _whole(x: Column) -> Column:
+    """The next whole number as BIGINT; NULL beyond 2**53, where a double holds no single units."""
+    return F.when(x < F.lit(float(2**53)), F.ceil(rnd(x, 6)).cast("bigint")).otherwise(F.lit(None).cast("bigint"))
+
+
 def power_analysis(
     clean_df: DataFrame,
     dim: str | None = "cookie_segment",
@@ -299,7 +334,7 @@ def power_analysis(
         rnd(p_a * 100, 2).alias("rate_a_pct"),
         rnd(p_b * 100, 2).alias("rate_b_pct"),
         rnd(achieved, 4).alias("achieved_power"),
-        F.ceil(rnd(need, 6)).cast("bigint").alias("required_n_per_arm"),
+        _whole(need).alias("required_n_per_arm"),
         F.when(achieved >= F.lit(target_power), "YES").otherwise("NO").alias("adequately_powered"),
     )
     return out.orderBy(dim) if dim else out
@@ -330,7 +365,7 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
     aggs = []
     for name, cond in row_scenarios.items():
         for side, label in (("a", spec.control), ("b", spec.treatment)):
-            hit = cond & (arm == label)
+            hit = cond & (arm == label) & y.isNotNull()
             aggs += [F.count_if(hit).alias(f"{name}__n_{side}"), F.sum(F.when(hit, y)).alias(f"{name}__x_{side}")]
     # each user's first Normal session (order: timestamp, then id): combinable min_by
     key = F.struct(F.col("session_timestamp").alias("ts"), F.col("session_id").alias("sid"))
@@ -345,7 +380,7 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
                 F.coalesce(F.sum(f"{name}__x_{side}"), F.lit(0)).alias(f"{name}__x_{side}"),
             ]
     for side, label in (("a", spec.control), ("b", spec.treatment)):
-        first_hit = F.col("first.arm") == label
+        first_hit = (F.col("first.arm") == label) & F.col("first.y").isNotNull()
         totals += [
             F.count_if(first_hit).alias(f"first_session_per_user__n_{side}"),
             F.coalesce(F.sum(F.when(first_hit, F.col("first.y"))), F.lit(0)).alias(f"first_session_per_user__x_{side}"),
@@ -358,15 +393,14 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
     counts = wide.selectExpr(f"stack({len(names)}, {stack_args}) AS (scenario, n_a, n_b, x_a, x_b)").filter(
         (F.col("n_a") > 0) & (F.col("n_b") > 0)
     )
-    s = _proportion_stats(spec.alpha)
-    return counts.select(
+    return _with_proportions(counts, spec.alpha).select(
         "scenario",
         "n_a",
         "n_b",
-        rnd(s["p_a"] * 100, 2).alias("rate_a_pct"),
-        rnd(s["p_b"] * 100, 2).alias("rate_b_pct"),
-        rnd((s["p_b"] - s["p_a"]) * 100, 2).alias("absolute_lift_pp"),
-        rnd((s["p_b"] - s["p_a"]) / F.nullif(s["p_a"], F.lit(0.0)) * 100, 1).alias("relative_lift_pct"),
-        rnd(s["z"], 4).alias("z_statistic"),
-        rnd(s["p_one"], 6).alias("p_value"),
+        rnd(F.col("p_a") * 100, 2).alias("rate_a_pct"),
+        rnd(F.col("p_b") * 100, 2).alias("rate_b_pct"),
+        rnd((F.col("p_b") - F.col("p_a")) * 100, 2).alias("absolute_lift_pp"),
+        rnd((F.col("p_b") - F.col("p_a")) / F.nullif(F.col("p_a"), F.lit(0.0)) * 100, 1).alias("relative_lift_pct"),
+        rnd(F.col("z"), 4).alias("z_statistic"),
+        rnd(F.col("p_one"), 6).alias("p_value"),
     ).orderBy("scenario")

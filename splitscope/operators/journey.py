@@ -7,14 +7,14 @@ sessions in a single task:
 * rollups are combinable aggregations (partial aggregation per task first);
 * the first-conversion session number is found without a per-user window: the
   first converting session key per (user, arm) is a combinable ``min``, and its
-  number is the count of the user's sessions at or before that key, computed by a
+  number is one more than the user's sessions before that key, counted by a
   join on ``user_id`` (AQE splits a hot user's partition; see ``first_conversion``)
   followed by a combinable count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import avg_d, rnd
@@ -61,32 +61,21 @@ def user_summary(clean_df: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> Da
     )
 
 
-def _before_or_at(ts: Column, sid: Column, key: Column) -> Column:
-    """``(ts, sid) <= key`` for ``key = struct(ts, sid)`` (session order with id tiebreak)."""
-    return (ts < key["ts"]) | ((ts == key["ts"]) & (sid <= key["sid"]))
-
-
-def _aqe_splits_skew(spark) -> bool:
-    conf = spark.conf
-    return (conf.get("spark.sql.adaptive.enabled", "true") or "").lower() == "true" and (
-        conf.get("spark.sql.adaptive.skewJoin.enabled", "true") or ""
-    ).lower() == "true"
-
-
 def first_conversion(
     clean_df: DataFrame, method: str = "join", spec: ExperimentSpec = DEFAULT_SPEC, salt_buckets: int = 32
 ) -> DataFrame:
     """Number of the first converting session per (user, arm).
 
-    Sessions are numbered per user over all the user's sessions, ordered by
-    timestamp then session id; a user seen in both arms is numbered across arms.
+    Sessions are numbered per user over all the user's sessions, ordered by timestamp
+    then session id (NULLs first); a user seen in both arms is numbered across arms, NULL
+    user ids are one user. The number is one more than the user's sessions strictly
+    before the first converting one, so repeated rows of a session share its number.
 
-    ``method="join"`` (default) is skew-safe and combinable (see module doc); when
-    the session has AQE's skew-join handling switched off it salts instead
-    (``method="salted"``): each session goes to one of ``salt_buckets`` buckets by a
-    hash of its id and the (small) key side is repeated per bucket, so a hot user is
-    spread over that many tasks regardless of runtime statistics.
-    ``method="window"`` is the direct ``row_number`` form, for small data and tests.
+    ``method="join"`` (default) is skew-safe and combinable (see module doc): AQE splits a
+    hot user's partition. ``method="salted"`` spreads every user over ``salt_buckets``
+    buckets by a hash of the session id and repeats the (small) key side per bucket, for
+    clusters that run without AQE. ``method="window"`` is the direct ``row_number`` form,
+    for small data and tests.
     """
     n = normal(clean_df, spec).select("user_id", "test_group", "session_timestamp", "session_id", "conversion")
     if method == "window":
@@ -99,30 +88,25 @@ def first_conversion(
         )
     if method not in ("join", "salted"):
         raise ValueError(f"unknown method {method!r}")
-    salted = method == "salted" or not _aqe_splits_skew(clean_df.sparkSession)
-    first_key = (
-        n.filter(F.col("conversion") == 1)
-        .groupBy("user_id", "test_group")
-        .agg(F.min(F.struct(F.col("session_timestamp").alias("ts"), F.col("session_id").alias("sid"))).alias("k"))
-    )
+    place = F.struct(F.col("session_timestamp").alias("ts"), F.col("session_id").alias("sid"))
+    first_key = n.filter(F.col("conversion") == 1).groupBy("user_id", "test_group").agg(F.min(place).alias("k"))
     # The count is grouped by one struct (user, arm, conversion key) rather than by the
     # join key, so it gets its own exchange fed by per-task partial counts, and AQE
     # may split a hot user's join partition over many tasks without adding a shuffle
     # (it declines to split when the next operator would reuse the join's user_id
     # partitioning, which would leave that user's count to one task).
-    first_key = first_key.select("user_id", F.struct("user_id", "test_group", "k").alias("fk"))
-    visits = n.select("user_id", "session_timestamp", "session_id")
-    keys = ["user_id"]
-    if salted:
-        visits = visits.withColumn("salt", F.pmod(F.xxhash64("session_id"), F.lit(salt_buckets)))
+    first_key = first_key.select(F.col("user_id").alias("key_user"), F.struct("user_id", "test_group", "k").alias("fk"))
+    visits = n.select("user_id", place.alias("place"))
+    same_user = F.col("user_id").eqNullSafe(F.col("key_user"))
+    if method == "salted":
+        visits = visits.withColumn("salt", F.pmod(F.xxhash64("place.sid"), F.lit(salt_buckets)))
         buckets = F.sequence(F.lit(0), F.lit(salt_buckets - 1)).cast("array<bigint>")
-        first_key = first_key.withColumn("salt", F.explode(buckets))
-        keys = ["user_id", "salt"]
+        first_key = first_key.withColumn("key_salt", F.explode(buckets))
+        same_user = same_user & (F.col("salt") == F.col("key_salt"))
     return (
-        visits.join(first_key, keys)
-        .filter(_before_or_at(F.col("session_timestamp"), F.col("session_id"), F.col("fk.k")))
+        visits.join(first_key, same_user)
         .groupBy("fk")
-        .agg(F.count("*").alias("session_of_first_conversion"))
+        .agg((F.count_if(F.col("place") < F.col("fk.k")) + 1).alias("session_of_first_conversion"))
         .select("fk.user_id", "fk.test_group", "session_of_first_conversion")
     )
 

@@ -23,11 +23,15 @@ from .clean import normal
 CONFOUNDERS = ("device_type", "cookie_segment", "country")
 
 
+# Sorts behind every label, so a NULL level is never the reference.
+_NULL_LEVEL = "\U0010ffff"
+
+
 def covariate_cells(
     clean_df: DataFrame, covariates: Sequence[str], outcome: str = "conversion", spec: ExperimentSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """Sessions and successes per (arm, covariates) cell."""
-    n = normal(clean_df, spec)
+    """Sessions with a known outcome and successes per (arm, covariates) cell."""
+    n = normal(clean_df, spec).filter(F.col(outcome).isNotNull())
     return n.groupBy("test_group", *covariates).agg(
         F.count("*").alias("n"), F.sum(F.col(outcome).cast("bigint")).alias("x")
     )
@@ -39,64 +43,76 @@ def logit_model(
     outcome: str = "conversion",
     max_iter: int = 50,
     spec: ExperimentSpec = DEFAULT_SPEC,
-    max_levels: int = 1000,
 ) -> DataFrame:
     """Logistic regression of the outcome on the treatment indicator plus dummy-coded
-    confounders (reference level: the first in sort order), fitted with
+    confounders (reference level: the first in sort order; NULL is a level), fitted with
     ``pyspark.ml`` GLM (binomial, logit, IRLS) on weighted covariate cells.
 
-    The covariate levels name the design columns, so they are read to the driver;
-    more than ``max_levels`` levels of one covariate is refused (a categorical
-    confounder, not an identifier)."""
-    from pyspark.ml.feature import VectorAssembler
+    ``converged`` tells whether the fit settled within ``max_iter`` rounds; ``separated``
+    marks a term whose rows have one outcome only, so that its estimate has no finite
+    value and the figures printed are those of the last round. Without residual degrees
+    of freedom there are no standard errors (NULL).
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    cells = covariate_cells(clean_df, covariates, outcome, spec).cache()
+    cells = covariate_cells(clean_df, covariates, outcome, spec).select(
+        (F.col("test_group") == spec.treatment).cast("double").alias("treated"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit(_NULL_LEVEL)).alias(c) for c in covariates],
+        (F.col("x") / F.col("n").cast("double")).alias("rate"),
+        F.col("n").cast("double").alias("weight"),
+        "n",
+        "x",
+    )
+    cells = cells.persist()
     try:
-        # level lists come from the aggregated cells (bounded by the cell count)
-        counts = cells.select(*[F.count_distinct(c).alias(c) for c in covariates]).first() if covariates else None
-        for c in covariates:
-            if counts[c] > max_levels:
-                raise ValueError(f"{c} has {counts[c]} levels (> {max_levels}); use a categorical confounder")
-        level_rows = cells.select(
-            *[F.sort_array(F.collect_set(c)).alias(c) for c in covariates]
-        ).first()
-        features: list[tuple[str, object]] = [
-            (f"treatment_{spec.treatment}", (F.col("test_group") == spec.treatment).cast("double"))
-        ]
+        # descending order and dropLast leave out the first level in sort order
+        coded, levels = cells, {}
+        inputs = ["treated"]
+        if covariates:
+            indexed = StringIndexer(inputCols=list(covariates), outputCols=[f"{c}__i" for c in covariates], stringOrderType="alphabetDesc")
+            encoder = OneHotEncoder(inputCols=[f"{c}__i" for c in covariates], outputCols=[f"{c}__v" for c in covariates], dropLast=True)
+            coder = Pipeline(stages=[indexed, encoder]).fit(cells)
+            coded = coder.transform(cells)
+            levels = dict(zip(covariates, coder.stages[0].labelsArray, strict=True))
+            inputs += [f"{c}__v" for c in covariates if len(levels[c]) > 1]
+        design = VectorAssembler(inputCols=inputs, outputCol="features").transform(coded)
+        model = GeneralizedLinearRegression(
+            family="binomial", link="logit", labelCol="rate", weightCol="weight", maxIter=max_iter, tol=1e-12, regParam=0.0
+        ).fit(design)
+        terms = [(f"treatment_{spec.treatment}", "treated", "1.0")]
         for c in covariates:
-            for level in (level_rows[c] or [])[1:]:
-                features.append((f"{c}={level}", (F.col(c) == F.lit(level)).cast("double")))
-        design = cells.select(
-            *[expr.alias(f"f{i}") for i, (_, expr) in enumerate(features)],
-            (F.col("x") / F.col("n").cast("double")).alias("rate"),
-            F.col("n").cast("double").alias("weight"),
-        )
-        assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(
-            design
-        )
-        glm = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="rate", weightCol="weight", maxIter=max_iter, regParam=0.0
+            terms += [(f"{c}={'NULL' if level == _NULL_LEVEL else level}", c, level) for level in levels[c][:-1]]
+        names = [t[0] for t in terms] + ["intercept"]
+        estimates = [float(v) for v in model.coefficients] + [float(model.intercept)]
+        summary = model.summary
+        errors: list[float | None] = [None] * len(names)
+        if summary.residualDegreeOfFreedom > 0:
+            errors = [float(v) for v in summary.coefficientStandardErrors]
+        settled = summary.numIterations < max_iter
+        table = clean_df.sparkSession.createDataFrame(
+            [(n, b, e, settled) for n, b, e in zip(names, estimates, errors, strict=True)], "term string, b double, se double, converged boolean"
         )
-        model = glm.fit(assembled)
-        names = [name for name, _ in features] + ["intercept"]
-        coefs = list(model.coefficients) + [model.intercept]
-        try:
-            ses = [float(v) for v in model.summary.coefficientStandardErrors]
-            zs = [float(v) for v in model.summary.tValues]
-        except Exception:  # no residual degrees of freedom (tiny or saturated input): no inference
-            ses = zs = [None] * len(coefs)
-        rows = [(name, float(b), se, z) for name, b, se, z in zip(names, coefs, ses, zs)]
+        # outcomes within each term's rows: from the cells again, one row a term
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("l")) for c in ("treated", *covariates)]))
+        margins = cells.select(pairs.alias("t"), "n", "x").groupBy("t.c", "t.l").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        by_term = clean_df.sparkSession.createDataFrame(terms, "term string, c string, l string")
+        flagged = by_term.join(margins, ["c", "l"]).select("term", ((F.col("x") == 0) | (F.col("x") == F.col("n"))).alias("separated"))
+        flags = {r["term"]: r["separated"] for r in flagged.collect()}
     finally:
         cells.unpersist()
-    table = clean_df.sparkSession.createDataFrame(rows, "term string, b double, se double, z double")
-    return table.select(
+    known = clean_df.sparkSession.createDataFrame([(n, flags.get(n, False)) for n in names], "term string, separated boolean")
+    tested = table.join(known, "term").withColumn("z", F.col("b") / F.nullif(F.col("se"), F.lit(0.0))).withColumn("p", two_sided_p("z"))
+    return tested.select(
         "term",
         rnd("b", 6).alias("coefficient"),
         rnd("se", 6).alias("std_error"),
         rnd("z", 4).alias("z_value"),
-        rnd(two_sided_p("z"), 6).alias("p_value"),
+        rnd("p", 6).alias("p_value"),
         rnd(F.exp("b"), 6).alias("odds_ratio"),
+        "converged",
+        "separated",
     )
 
 
@@ -115,8 +131,8 @@ def interaction(
     is_b = F.col("test_group") == spec.treatment
     y = F.col(outcome).cast("double")
     per = n.groupBy(dim).agg(
-        F.count_if(is_a).cast("double").alias("n_a"),
-        F.count_if(is_b).cast("double").alias("n_b"),
+        F.count_if(is_a & y.isNotNull()).cast("double").alias("n_a"),
+        F.count_if(is_b & y.isNotNull()).cast("double").alias("n_b"),
         F.coalesce(F.sum(F.when(is_a, y)), F.lit(0.0)).alias("x_a"),
         F.coalesce(F.sum(F.when(is_b, y)), F.lit(0.0)).alias("x_b"),
     ).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))

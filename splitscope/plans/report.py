@@ -27,16 +27,36 @@ from ..spec import DEFAULT_SPEC, ExperimentSpec
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` under the checkpoint folder and return a DataFrame reading it back."""
+    """Write ``df`` under the checkpoint folder and return a DataFrame reading it back.
+
+    With ``partition_by`` rows are first rebalanced by that column (AQE splits a large
+    value over several tasks), so each value gets a few files of good size rather than one
+    from every scan task.
+    """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/splitscope/{name}-{uuid.uuid4().hex[:12]}"
+    path = _fresh_path(spark, name)
+    _write(df, path, partition_by)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/splitscope/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _write(df: DataFrame, path: str, partition_by: str | None) -> None:
+    if partition_by:
+        df = df.hint("rebalance", F.col(partition_by))
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    # read back with the written schema: partition values keep their type
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder this module wrote, through the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def prepared_clean(sessions: DataFrame, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
@@ -71,10 +91,12 @@ def profiles(
         avg_d("filters_applied").alias("f"),
         avg_d("time_on_dashboard_clean").alias("t"),
         avg_d("page_load_time_clean").alias("l"),
+        *[F.grouping(d).alias(f"in_{d}") for d in dims],
     )
-    # which dimension a row belongs to: the one column that is not aggregated away
-    dim_name = F.coalesce(*[F.when(F.col(d).isNotNull(), F.lit(d)) for d in dims])
-    dim_value = F.coalesce(*[F.col(d) for d in dims])
+    # which dimension a row belongs to: the one column that is not aggregated away (its
+    # value may itself be NULL)
+    dim_name = F.coalesce(*[F.when(F.col(f"in_{d}") == 0, F.lit(d)) for d in dims])
+    dim_value = F.coalesce(*[F.when(F.col(f"in_{d}") == 0, F.col(d)) for d in dims])
     return grouped.select(
         dim_name.alias("dimension"),
         dim_value.alias("value"),
@@ -139,20 +161,28 @@ def run_report(
 ) -> dict[str, DataFrame]:
     """Run the analyses over a once-materialized cleaned table.
 
-    With ``out_dir`` each (small) result is written as Parquet to ``out_dir/<name>``;
-    the returned DataFrames read those files. Without it they stay lazy.
+    With ``out_dir`` each (small) result is written as Parquet to ``out_dir/<name>``, the
+    returned DataFrames read those files, and the cleaned copy is deleted at the end.
+    Without it the results stay lazy and read the copy, which then stays.
     """
-    c = prepared_clean(sessions, spec)
+    path = _fresh_path(spark, "clean_sessions")
+    clean = ops.clean(sessions, spec)
+    _write(clean, path, "year_month")
+    c = spark.read.schema(clean.schema).parquet(path)
     todo = analyses(spec)
     results = {}
-    for name in names or list(todo):
-        df = todo[name](c)
+    try:
+        for name in names or list(todo):
+            df = todo[name](c)
+            if out_dir:
+                target = f"{out_dir.rstrip('/')}/{name}"
+                # written as planned: AQE coalesces these small outputs into few files and keeps
+                # the range-partitioned order; coalesce(1) would run the final aggregation in one
+                # task, repartition(1) would drop the order
+                df.write.mode("overwrite").parquet(target)
+                df = spark.read.parquet(target)
+            results[name] = df
+    finally:
         if out_dir:
-            path = f"{out_dir.rstrip('/')}/{name}"
-            # written as planned: AQE coalesces these small outputs into few files and keeps
-            # the range-partitioned order; coalesce(1) would run the final aggregation in one
-            # task, repartition(1) would drop the order
-            df.write.mode("overwrite").parquet(path)
-            df = spark.read.parquet(path)
-        results[name] = df
+            _drop(spark, path)
     return results

@@ -20,6 +20,7 @@ RECOMMENDED_CONF: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -40,25 +41,24 @@ def build_session(master: str = "local[8]", app: str = "splitscope", conf: dict[
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder (``spark.checkpoint.dir``).
 
-    Only a local-mode session (tests, a laptop) without one gets a scratch folder;
-    on a cluster the folder must be shared by all executors, so a missing setting
-    is an error rather than a silent machine-local path.
+    Asked for only where a job writes intermediate tables. A session whose executors are
+    threads of the driver (``local[...]``: tests, a laptop) gets a scratch folder where it
+    names none; on any cluster, a local one included, the folder must be shared by all
+    executors, so a missing setting is an error rather than a silent machine-local path.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or S3)")
-    path = tempfile.mkdtemp(prefix="splitscope-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or S3)")
+        current = tempfile.mkdtemp(prefix="splitscope-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)
+    return current

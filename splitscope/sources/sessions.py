@@ -40,22 +40,29 @@ CSV_COLUMNS = (
 _CSV_RENAMES = {"timestamp": "session_timestamp", "group": "group_id"}
 
 
-def _csv_schema() -> T.StructType:
+def csv_schema() -> T.StructType:
+    """Types of the published CSV, in its column order."""
     by_name = {f.name: f for f in SESSION_SCHEMA.fields}
     return T.StructType(
         [T.StructField(name, by_name[_CSV_RENAMES.get(name, name)].dataType, True) for name in CSV_COLUMNS]
     )
 
 
+def csv_to_sessions(df: DataFrame) -> DataFrame:
+    """Columns of the published CSV under the names of ``SESSION_SCHEMA``; batch and stream."""
+    return df.withColumnsRenamed(_CSV_RENAMES).select(*[f.name for f in SESSION_SCHEMA.fields])
+
+
 def read_sessions_csv(spark: SparkSession, path: str, timestamp_format: str | None = None) -> DataFrame:
-    """Load the session CSV (header as published) with an explicit schema, then rename."""
-    reader = spark.read.schema(_csv_schema()).option("header", True).option("mode", "FAILFAST")
+    """Load the session CSV (header as published) with an explicit schema, then rename.
+
+    The header is checked against the schema (``enforceSchema=false``): a file with other
+    or permuted columns fails instead of loading values under wrong names.
+    """
+    reader = spark.read.schema(csv_schema()).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
     if timestamp_format:
         reader = reader.option("timestampNTZFormat", timestamp_format)
-    df = reader.csv(path)
-    for old, new in _CSV_RENAMES.items():
-        df = df.withColumnRenamed(old, new)
-    return df.select(*[f.name for f in SESSION_SCHEMA.fields])
+    return csv_to_sessions(reader.csv(path))
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:

@@ -100,23 +100,5 @@ class RoiAssumptions:
     monthly_maintenance: float = 5_000.0
     months: int = 12
 
-    def as_dict(self) -> dict[str, float]:
-        return {
-            "monthly_sessions": self.monthly_sessions,
-            "order_value": self.order_value,
-            "implementation_cost": self.implementation_cost,
-            "monthly_maintenance": self.monthly_maintenance,
-            "months": float(self.months),
-        }
-
 
 DEFAULT_ROI = RoiAssumptions()
-
-
-@dataclass(frozen=True)
-class Scenario:
-    """A named row filter for sensitivity analysis (SQL predicate on the clean frame)."""
-
-    name: str
-    predicate: str
-

@@ -26,18 +26,22 @@ from pyspark.sql import functions as F
 from ..functions.exprs import normal_quantile, normal_sf, rnd
 from ..operators.clean import clean, normal
 from ..session import ensure_checkpoint_dir
-from ..sources.sessions import SESSION_SCHEMA
+from ..sources.sessions import SESSION_SCHEMA, csv_schema, csv_to_sessions
 from ..spec import DEFAULT_SPEC, ExperimentSpec
 
 
 def stream_sessions(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of session files with the declared schema."""
-    reader = spark.readStream.schema(SESSION_SCHEMA).format(fmt)
+    """Streaming read of session files with the declared schema; CSV files as ``read_sessions_csv``
+    reads them (published header, checked in every file)."""
+    reader = spark.readStream.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.schema(csv_schema()).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    else:
+        reader = reader.schema(SESSION_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    stream = reader.load(path)
+    return csv_to_sessions(stream) if fmt == "csv" else stream
 
 
 def live_arm_totals(

@@ -5,8 +5,13 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from splitscope.functions import chi2_critical, chi2_critical_col, normal_cdf, rnd
-from splitscope.functions.exprs import CHI2_CRITICAL_05
+from splitscope.functions import chi2_critical_col, chi2_sf, normal_cdf, rnd
+
+# Chi-square critical values as printed in standard tables, (df, alpha).
+PRINTED = {
+    (1, 0.05): 3.841, (2, 0.05): 5.991, (3, 0.05): 7.815, (4, 0.05): 9.488, (5, 0.05): 11.070, (10, 0.05): 18.307,
+    (30, 0.05): 43.773, (100, 0.05): 124.342, (120, 0.05): 146.567, (1, 0.01): 6.635, (4, 0.01): 13.277, (40, 0.01): 63.691,
+}
 
 
 def test_normal_cdf_accuracy(spark):
@@ -17,13 +22,29 @@ def test_normal_cdf_accuracy(spark):
 
 
 def test_critical_values(spark):
-    # the printed table agrees with the computed values
-    for df_, v in enumerate(CHI2_CRITICAL_05, start=1):
-        assert abs(chi2_critical(df_, 0.05) - v) < 6e-4, df_
-    df = spark.createDataFrame([(1,), (4,), (40,)], "k int")
-    got = [r.c for r in df.select(chi2_critical_col("k", 0.01).alias("c")).collect()]
-    assert got == [round(chi2_critical(1, 0.01), 3), round(chi2_critical(4, 0.01), 3), round(chi2_critical(40, 0.01), 3)]
-    assert abs(got[0] - 6.635) < 1e-3 and abs(got[1] - 13.277) < 1e-3
+    for alpha in (0.05, 0.01):
+        ks = [k for k, a in PRINTED if a == alpha]
+        rows = spark.createDataFrame([(k,) for k in ks], "k int").select("k", chi2_critical_col("k", alpha).alias("c")).collect()
+        for r in rows:
+            assert abs(r.c - PRINTED[r.k, alpha]) < 1.1e-3, r
+
+
+def _tail(x, k):
+    """Even df: a Poisson sum, term by term in logarithms."""
+    return math.fsum(math.exp(-x / 2 + i * math.log(x / 2) - math.lgamma(i + 1)) for i in range(k // 2))
+
+
+def test_tail_and_critical_value_at_large_df(spark):
+    cases = [(2000.0, 2000), (2500.0, 2000), (1400.0, 1400), (1487.0, 1400), (120.0, 120), (1.0, 2000), (9000.0, 2000)]
+    rows = spark.createDataFrame(cases, "x double, k int").select("x", "k", chi2_sf("x", "k").alias("p")).collect()
+    for r in rows:
+        assert math.isclose(r.p, _tail(r.x, r.k), rel_tol=1e-9, abs_tol=1e-300), r
+    # odd df lie between their even neighbours
+    odd = spark.createDataFrame([(2000.0, k) for k in (2000, 2001, 2002)], "x double, k int").select(chi2_sf("x", "k").alias("p")).collect()
+    assert odd[0].p < odd[1].p < odd[2].p
+    for k in (1400, 2000):
+        c = spark.range(1).select(chi2_critical_col(F.lit(k), 0.05).alias("c")).first().c
+        assert abs(_tail(c, k) - 0.05) < 1e-5
 
 
 def test_rounding_is_half_away_from_zero_on_decimals(spark):
@@ -33,28 +54,15 @@ def test_rounding_is_half_away_from_zero_on_decimals(spark):
     assert math.copysign(1.0, out[-1]) == 1.0
 
 
-def test_rounding_passes_through_values_beyond_decimal_range(spark):
-    vals = [1e30, -1e30, float("inf"), float("nan"), None, 123.456]
+def test_one_rounding_rule_for_all_magnitudes(spark):
+    vals = [1e30, -1e30, 1.5e27, 123456789012.345, float("inf"), float("nan"), None, 123.456]
     out = [r.x for r in spark.createDataFrame([(v,) for v in vals], "v double").select(rnd("v", 2).alias("x")).collect()]
-    assert out[0] == 1e30 and out[1] == -1e30 and out[2] == float("inf")
-    assert math.isnan(out[3]) and out[4] is None and out[5] == 123.46
+    assert out[:4] == [1e30, -1e30, 1.5e27, 123456789012.35] and out[4] == float("inf")
+    assert math.isnan(out[5]) and out[6] is None and out[7] == 123.46
 
 
-def test_verdict_falls_back_to_p_value_beyond_the_table(spark):
+def test_verdict_follows_the_critical_value(spark):
     from splitscope.operators.randomization import rejects
 
-    df = spark.createDataFrame(
-        [(200.0, 9.0, None, 0.001), (150.0, 200.0, None, 0.9), (10.0, 9.488, 9.488, 0.04)],
-        "stat double, dof_unused double, critical_value double, p_value double",
-    )
-    assert [r.r for r in df.select(rejects(0.05).alias("r")).collect()] == [True, False, True]
-
-
-def test_logit_refuses_identifier_like_covariates(spark):
-    import pytest
-
-    import splitscope as ss
-
-    c = ss.clean(ss.load_test_sessions(spark, "/root/testdata/sf0.001"))
-    with pytest.raises(ValueError, match="levels"):
-        ss.logit_model(c, covariates=("session_id",), max_levels=50)
+    df = spark.createDataFrame([(2200.0, 2105.1), (2000.0, 2105.1), (10.0, 9.488)], "stat double, critical_value double")
+    assert [r.r for r in df.select(rejects().alias("r")).collect()] == [True, False, True]

@@ -80,15 +80,9 @@ def test_hot_user_partition_is_split_in_the_join(spark):
                 spark.conf.set(k, v)
 
 
-def test_salted_join_agrees_and_is_used_without_aqe_skew_handling(spark):
+def test_salted_join_agrees(spark):
     c = _skewed(spark)
     ref = sorted(ss.first_conversion(c, "window").collect())
-    assert sorted(ss.first_conversion(c, "salted", salt_buckets=8).collect()) == ref
-    old = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
-    try:
-        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
-        df = ss.first_conversion(c)  # default method falls back to salting
-        assert "xxhash64(session_id" in df._jdf.queryExecution().optimizedPlan().toString()
-        assert sorted(df.collect()) == ref
-    finally:
-        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
+    df = ss.first_conversion(c, "salted", salt_buckets=8)
+    assert "xxhash64(" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(df.collect()) == ref
