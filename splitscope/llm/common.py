@@ -104,6 +104,13 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def slices(batches, rows: int = 1024):
+    """The arrays or record batches cut into shorter ones, so that what a task makes of one stays small."""
+    for b in batches:
+        for lo in range(0, max(len(b), 1), rows):
+            yield b.slice(lo, rows)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string column in a row, and the offsets of its texts (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import materialize, ship, text_bytes, unit
+from splitscope.llm.common import materialize, ship, slices, text_bytes, unit
 
 UNKNOWN = "und"
 _WINDOW = 1 << 19  # bytes worked on at once
@@ -158,7 +158,7 @@ def train(
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             last = held.value
-            for batch in batches:
+            for batch in slices(batches):
                 names = np.array(batch.column(0).to_pylist(), dtype=object)
                 data, offsets = text_bytes(lowered(batch.column(1)))
                 text = np.repeat(np.arange(len(names)), np.diff(offsets))
@@ -198,7 +198,7 @@ def with_language(docs: DataFrame, model: Ppm, *, to: str = "lang_pred", score:
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.value
-        for texts in batches:
+        for texts in slices(batches):
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             n = len(texts)
             name = np.full(n, UNKNOWN, dtype=object)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import run_hashes, ship, text_bytes
+from splitscope.llm.common import run_hashes, ship, slices, text_bytes
 
 _WINDOW = 1 << 20  # bytes of text worked on at once
 
@@ -94,7 +94,7 @@ def word_vectors(docs: DataFrame, shape: Shape = Shape()) -> tuple[np.ndarray, n
         where, sign = shape.index()
         table, count = np.zeros(size), np.zeros(shape.buckets)
         seen = False
-        for batch in batches:
+        for batch in slices(batches):
             for _, _, word, text in batches_of(batch.column(0), shape.buckets):
                 seen = True
                 count += np.bincount(word, minlength=shape.buckets)
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, learn:
     held = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = held.value.pooled(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
@@ -275,7 +275,7 @@ def with_quality(docs: DataFrame, model: Quality, *, to: str = "score") -> DataF
     held = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pa.array(held.value.score(texts), pa.float64())
 
     return docs.withColumn(to, F.arrow_udf(score, "double")(F.col("text")))
