@@ -53,7 +53,6 @@ def logit_model(
     value and the figures printed are those of the last round. Without residual degrees
     of freedom there are no standard errors (NULL).
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
@@ -71,12 +70,15 @@ def logit_model(
         coded, levels = cells, {}
         inputs = ["treated"]
         if covariates:
-            indexed = StringIndexer(inputCols=list(covariates), outputCols=[f"{c}__i" for c in covariates], stringOrderType="alphabetDesc")
-            encoder = OneHotEncoder(inputCols=[f"{c}__i" for c in covariates], outputCols=[f"{c}__v" for c in covariates], dropLast=True)
-            coder = Pipeline(stages=[indexed, encoder]).fit(cells)
-            coded = coder.transform(cells)
-            levels = dict(zip(covariates, coder.stages[0].labelsArray, strict=True))
-            inputs += [f"{c}__v" for c in covariates if len(levels[c]) > 1]
+            indexer = StringIndexer(inputCols=list(covariates), outputCols=[f"{c}__i" for c in covariates], stringOrderType="alphabetDesc")
+            fitted = indexer.fit(cells)
+            levels = dict(zip(covariates, fitted.labelsArray, strict=True))
+            coded = fitted.transform(cells)
+        varied = [c for c in covariates if len(levels[c]) > 1]
+        if varied:
+            encoder = OneHotEncoder(inputCols=[f"{c}__i" for c in varied], outputCols=[f"{c}__v" for c in varied], dropLast=True)
+            coded = encoder.fit(coded).transform(coded)
+            inputs += [f"{c}__v" for c in varied]
         design = VectorAssembler(inputCols=inputs, outputCol="features").transform(coded)
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol="rate", weightCol="weight", maxIter=max_iter, tol=1e-12, regParam=0.0

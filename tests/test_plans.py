@@ -17,12 +17,12 @@ def _plan(df):
 
 @pytest.mark.parametrize("name", ["kpi_lift", "distribution_percentiles", "funnel", "findings", "metric_comparison"])
 def test_single_scan(spark, name):
-    df = entry.queries()[name](spark, SF01)
+    df = entry._QUERIES[name](spark, SF01)
     assert pi.scan_count(df) == 1, _plan(df)
 
 
 def test_no_python_evaluation_anywhere(spark):
-    for name, q in entry.queries().items():
+    for name, q in entry._QUERIES.items():
         if name == "logit_model":
             continue
         plan = _plan(q(spark, SF01))
@@ -30,13 +30,13 @@ def test_no_python_evaluation_anywhere(spark):
 
 
 def test_first_conversion_has_no_window(spark):
-    df = entry.queries()["first_conversion"](spark, SF01)
+    df = entry._QUERIES["first_conversion"](spark, SF01)
     assert "Window" not in _plan(df)
 
 
 def test_windows_only_on_aggregated_rows(spark):
     # every Window in every default plan sits above an aggregate
-    for name, q in entry.queries().items():
+    for name, q in entry._QUERIES.items():
         if name in ("logit_model", "clean_sessions"):
             continue
         for chain in pi.window_inputs(q(spark, SF01)):

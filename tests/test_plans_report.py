@@ -17,7 +17,7 @@ def test_sql_views_run_report_sql(spark):
     view = spark.table("vw_dashboard_clean")
     assert {"test_group", "group_id", "conversion", "conversion_flag", "data_quality"} <= set(view.columns)
     assert view.count() == c.count() and view.filter("test_group <> group_id OR conversion_flag <> conversion").isEmpty()
-    worst = spark.sql("SELECT max_by(country, time_on_dashboard_sec) AS c, COUNT_IF(data_quality = 'Normal') AS n FROM vw_dashboard_clean").first()
+    worst = spark.sql("SELECT max_by(country, time_on_dashboard_clean) AS c, COUNT_IF(data_quality = 'Normal') AS n FROM vw_dashboard_clean").first()
     assert worst.n == c.filter("data_quality = 'Normal'").count() and worst.c is not None
     summary = spark.sql("SELECT * FROM vw_group_summary").collect()
     assert summary == ss.group_summary(c).collect()
