@@ -11,7 +11,7 @@ from .temporal import daily_trend, hourly_trend, monthly_trend, weekday_trend
 from .business import findings, recommend, roi
 from .inference import chi2_outcome, correlations, metric_comparison, power_analysis, sensitivity, simpson_check
 from .inference import stratified_test, ztest
-from .model import covariate_cells, interaction, logit_model
+from .model import covariate_cells, driver_model, interaction, logit_model
 
 __all__ = [
     "clean",
@@ -64,5 +64,6 @@ __all__ = [
     "ztest",
     "covariate_cells",
     "interaction",
+    "driver_model",
     "logit_model",
 ]

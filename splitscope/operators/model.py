@@ -37,6 +37,68 @@ def covariate_cells(
     )
 
 
+def _fit(design: DataFrame, max_iter: int) -> tuple[list[float], list[float | None], bool]:
+    """Weighted binomial fit of ``rate`` on ``features``: estimates with the intercept last,
+    standard errors (None without residual degrees of freedom), whether it settled."""
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    model = GeneralizedLinearRegression(
+        family="binomial", link="logit", labelCol="rate", weightCol="weight", maxIter=max_iter, tol=1e-12, regParam=0.0
+    ).fit(design)
+    estimates = [float(v) for v in model.coefficients] + [float(model.intercept)]
+    summary = model.summary
+    errors: list[float | None] = [None] * len(estimates)
+    if summary.residualDegreeOfFreedom > 0:
+        errors = [float(v) for v in summary.coefficientStandardErrors]
+    return estimates, errors, summary.numIterations < max_iter
+
+
+def driver_model(clean_df: DataFrame, max_iter: int = 50, spec: ExperimentSpec = DEFAULT_SPEC) -> DataFrame:
+    """Logistic regression of conversion on its drivers: widgets, filters, half minutes on the
+    dashboard (whole ones), device, arm, and the arm x device interaction.
+
+    Reference device: the first in sort order. Sessions are reduced to one row per
+    combination of these values first, so the fit's rows are bounded by the values, not by
+    the sessions. Rows with an unknown value of any of them are left out.
+    """
+    from pyspark.ml.feature import VectorAssembler
+
+    half_minutes = F.floor(F.col("time_on_dashboard_clean").cast("double") / 30)
+    known = normal(clean_df, spec).select(
+        (F.col("test_group") == spec.treatment).cast("double").alias("treated"),
+        "device_type",
+        F.col("widgets_viewed").cast("double").alias("widgets"),
+        F.col("filters_applied").cast("double").alias("filters"),
+        half_minutes.cast("double").alias("half_minutes"),
+        F.col("conversion").cast("bigint").alias("y"),
+    ).dropna()
+    keys = ["treated", "device_type", "widgets", "filters", "half_minutes"]
+    cells = known.groupBy(*keys).agg(F.count("*").cast("double").alias("weight"), (F.sum("y") / F.count("*").cast("double")).alias("rate")).persist()
+    try:
+        devices = [r[0] for r in cells.select("device_type").distinct().orderBy("device_type").collect()][1:]
+        named = {f"treatment_{spec.treatment}": F.col("treated"), **{c: F.col(c) for c in ("widgets", "filters", "half_minutes")}}
+        for d in devices:
+            named[f"device_type={d}"] = (F.col("device_type") == d).cast("double")
+            named[f"treatment_{spec.treatment}:device_type={d}"] = F.col("treated") * (F.col("device_type") == d).cast("double")
+        design = cells.select("rate", "weight", *[c.alias(f"f{i}") for i, c in enumerate(named.values())])
+        assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(named))], outputCol="features").transform(design)
+        estimates, errors, settled = _fit(assembled, max_iter)
+    finally:
+        cells.unpersist()
+    rows = [(n, b, e, settled) for n, b, e in zip([*named, "intercept"], estimates, errors, strict=True)]
+    table = clean_df.sparkSession.createDataFrame(rows, "term string, b double, se double, converged boolean")
+    tested = table.withColumn("z", F.col("b") / F.nullif(F.col("se"), F.lit(0.0))).withColumn("p", two_sided_p("z"))
+    return tested.select(
+        "term",
+        rnd("b", 6).alias("coefficient"),
+        rnd("se", 6).alias("std_error"),
+        rnd("z", 4).alias("z_value"),
+        rnd("p", 6).alias("p_value"),
+        rnd(F.exp("b"), 6).alias("odds_ratio"),
+        "converged",
+    )
+
+
 def logit_model(
     clean_df: DataFrame,
     covariates: Sequence[str] = CONFOUNDERS,
@@ -54,7 +116,6 @@ def logit_model(
     of freedom there are no standard errors (NULL).
     """
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
 
     cells = covariate_cells(clean_df, covariates, outcome, spec).select(
         (F.col("test_group") == spec.treatment).cast("double").alias("treated"),
@@ -80,19 +141,11 @@ def logit_model(
             coded = encoder.fit(coded).transform(coded)
             inputs += [f"{c}__v" for c in varied]
         design = VectorAssembler(inputCols=inputs, outputCol="features").transform(coded)
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="rate", weightCol="weight", maxIter=max_iter, tol=1e-12, regParam=0.0
-        ).fit(design)
+        estimates, errors, settled = _fit(design, max_iter)
         terms = [(f"treatment_{spec.treatment}", "treated", "1.0")]
         for c in covariates:
             terms += [(f"{c}={'NULL' if level == _NULL_LEVEL else level}", c, level) for level in levels[c][:-1]]
         names = [t[0] for t in terms] + ["intercept"]
-        estimates = [float(v) for v in model.coefficients] + [float(model.intercept)]
-        summary = model.summary
-        errors: list[float | None] = [None] * len(names)
-        if summary.residualDegreeOfFreedom > 0:
-            errors = [float(v) for v in summary.coefficientStandardErrors]
-        settled = summary.numIterations < max_iter
         table = clean_df.sparkSession.createDataFrame(
             [(n, b, e, settled) for n, b, e in zip(names, estimates, errors, strict=True)], "term string, b double, se double, converged boolean"
         )

@@ -143,6 +143,7 @@ def analyses(spec: ExperimentSpec = DEFAULT_SPEC) -> dict[str, Callable[[DataFra
         "metric_comparison": lambda c: ops.metric_comparison(c, spec=spec),
         "correlations": lambda c: ops.correlations(c, spec=spec),
         "logit_model": lambda c: ops.logit_model(c, spec=spec),
+        "driver_model": lambda c: ops.driver_model(c, spec=spec),
         "device_interaction": lambda c: ops.interaction(c, spec=spec),
         "power_by_segment": lambda c: ops.power_analysis(c, spec=spec),
         "sensitivity": lambda c: ops.sensitivity(c, spec=spec),
