@@ -109,6 +109,7 @@ def slices(batches, rows: int = 1024):
     for b in batches:
         for lo in range(0, max(len(b), 1), rows):
             yield b.slice(lo, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -144,14 +144,12 @@ def train(
     spark = docs.sparkSession
     ship(spark)
     known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)))
-    per = known.groupBy(F.col(lang).alias("_lang")).count().select("_lang", (F.lit(float(docs_per_language)) / F.col("count")).alias("_part"))
-    sample = materialize(
-        known.select(F.col(lang).alias("_lang"), "doc_id", "text")
-        .join(per, "_lang")
-        .filter(unit(F.lit(seed), F.col("doc_id")) < F.col("_part"))
-        .select("_lang", "text"),
-        "langid-sample",
-    )
+    # one number a language: as a literal, so that no text crosses an exchange for it
+    share = {r["_lang"]: docs_per_language / r["count"] for r in known.groupBy(F.col(lang).alias("_lang")).count().collect()}
+    pairs = [F.lit(x) for l in sorted(share) for x in (l, share[l])]
+    part = F.try_element_at(F.create_map(*pairs), F.col(lang)) if pairs else F.lit(None).cast("double")
+    sample = known.filter(unit(F.lit(seed), F.col("doc_id")) < part).select(F.col(lang).alias("_lang"), "text")
+    sample = materialize(sample, "langid-sample")
     model: Ppm | None = None
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)

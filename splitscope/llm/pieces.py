@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from splitscope.llm.common import Kept, ship
 
 SPACE = "▁"  # stands for a blank inside pieces
-_CACHE = 100_000  # words, and parts of words, in each half of what a worker keeps; more would only save time
+_CACHE = 60_000  # words, and parts of words, in each half of what a worker keeps; more would only save time
 _ROWS = 512  # texts turned into one Arrow array
 _FIRST = operator.itemgetter(0)
 
