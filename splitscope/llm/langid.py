@@ -130,7 +130,7 @@ class Ppm:
 
 
 def train(
-    docs: DataFrame, lang: str = "lang", *, learn: Column | None = None, order: int = 4, docs_per_language: int = 600, rounds: int = 2, margin: float = 0.5, stretch: int = 64, seed: int = 42
+    docs: DataFrame, lang: str = "lang", *, learn: Column | None = None, order: int = 4, docs_per_language: int = 600, rounds: int = 2, margin: float = 0.5, least: float = 0.5, stretch: int = 64, seed: int = 42
 ) -> Ppm:
     """Fit the trees on about ``docs_per_language`` documents of each language.
 
@@ -138,8 +138,12 @@ def train(
     hashed key falls below its share, so reruns agree. Texts are lower-cased and taken
     whole. Documents quote other languages, so after the first of ``rounds`` each round
     learns only from the stretches (of ``stretch`` bytes) that the last round's trees code
-    shortest in their own document's language, by ``margin`` bits a byte. Rows with a null text or language are not learned from. The
-    trees pass through the driver; their size is bounded by the sample.
+    shortest in their own document's language, by ``margin`` bits a byte. A language near
+    another has few such stretches or none: where they hold less than the share ``least``
+    of its sample's bytes, it learns from all that no other language codes shorter, and
+    where these hold less too, from its whole sample, so no language of the sample is
+    lost. Rows with a null text or language are not learned from. The trees pass through
+    the driver; their size is bounded by the sample.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -163,7 +167,7 @@ def train(
                 for lo in range(0, len(data), _WINDOW):
                     own = text[lo : lo + _WINDOW]
                     codes = grams(data, offsets[own], lo, lo + len(own), order)
-                    use = np.ones(len(own), bool)
+                    rank = np.zeros(len(own), np.int32)  # 0: ahead by the margin, 1: not behind, 2: the others
                     if last is not None:
                         # bits of every stretch of ``stretch`` bytes of a text
                         piece = (np.arange(lo, lo + len(own)) - offsets[own]) // stretch
@@ -172,12 +176,28 @@ def train(
                         size = np.diff(np.append(np.flatnonzero(cut), len(own)))
                         mine = np.array(last.languages, dtype=object)[None, :] == names[own[cut]][:, None]
                         ahead = np.where(mine, np.inf, bits).min(axis=1) - np.where(mine, bits, np.inf).min(axis=1)
-                        use = (ahead >= margin * size)[np.cumsum(cut) - 1]
+                        rank = (2 - (ahead >= 0) - (ahead >= margin * size)).astype(np.int32)[np.cumsum(cut) - 1]
                     for name in sorted(set(names[own])):
-                        found, n = np.unique(codes[use & (names[own] == name)], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
-
-        counted = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+                        for r in range(3):
+                            found, n = np.unique(codes[(rank == r) & (names[own] == name)], return_counts=True)
+                            if len(found):
+                                yield pa.RecordBatch.from_arrays(
+                                    [pa.array([name] * len(found), pa.string()), pa.array(np.full(len(found), r, np.int32)), pa.array(found.astype(np.int64)), pa.array(n)],
+                                    names=["lang", "rank", "code", "n"],
+                                )
+
+        counted = sample.mapInArrow(count, "lang string, rank int, code bigint, n bigint").groupBy("lang", "rank", "code").agg(F.sum("n").alias("n"))
+        if model is not None:
+            counted = materialize(counted, "langid-counts")
+            sizes = {(r["lang"], r["rank"]): r["n"] for r in counted.groupBy("lang", "rank").agg(F.sum("n").alias("n")).collect()}
+            last = {}  # of each language the last rank it learns from
+            for l in {l for l, _ in sizes}:
+                own = np.cumsum([sizes.get((l, r), 0) for r in range(3)])
+                last[l] = int(np.flatnonzero(own >= least * own[-1])[0])
+            pairs = [F.lit(x) for l in sorted(last) for x in (l, last[l])]
+            if pairs:
+                counted = counted.filter(F.col("rank") <= F.try_element_at(F.create_map(*pairs), F.col("lang")))
+        counted = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
         model = Ppm.train({l: (g["code"].to_numpy(np.uint64), g["n"].to_numpy(np.float64)) for l, g in counted.groupby("lang")}, order)
     return model
 

@@ -100,6 +100,24 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs, clashing):
     assert empty.languages == [] and {r["lang_pred"] for r in langid.with_language(odd_docs, empty).collect()} == {"und"}
 
 
+def test_languages_near_one_another_are_all_learned(spark):
+    a, b = "the cat and the dog were in the house of the old king by the sea", "der hund und die katze sind im haus des alten am meer gewesen"
+    same = [(a, "x"), (a, "y")]
+    near = [(a, "x"), (a.replace("king", "kyng"), "y")]  # no stretch is ahead by the margin, or few are
+    for own in (same, near, [*same, (b, "de")], [*near, (b, "de")]):
+        docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(own * 20)], "doc_id long, text string, lang string")
+        model = langid.train(docs)
+        assert model.languages == sorted(l for _, l in own)
+        for r in langid.with_language(docs, model).collect():
+            equal = own[:2] == same and r["text"] == a
+            assert r["lang_pred"] == ("x" if equal else r["lang"]) and r["score"] >= 0.5
+    # stretches quoted from another language are still not learned from
+    docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([(b * 3, "de"), (a * 3, "en"), (a * 3 + " " + b, "en")] * 20)], "doc_id long, text string, lang string")
+    codes = langid.grams(np.frombuffer(b"gewesen", np.uint8), np.zeros(7, int), 0, 7, 4)[4:]
+    once, twice = (langid.train(docs, rounds=n).costs(codes).sum(axis=0) for n in (1, 2))
+    assert twice[1] > once[1] + 8
+
+
 def test_held_out_language_accuracy(spark):
     from splitscope.llm.queries import op8_language_id
 
