@@ -239,9 +239,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, max_bits: int = 3, seed:
     labels = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     classed = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = classed.groupBy("label").agg(F.min("least").alias("component_id"))
-    classed = classed.join(ids, "label").select("fp", "component_id")
+    classed = classed.join(ids, "label").select("fp", "label", "component_id")
     return prints.join(classed, "fp").select(
-        "doc_id", "mark", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("fp").alias("_fp")
+        "doc_id", "mark", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("fp").alias("_fp"), F.col("label").alias("_label")
     )
 
 
@@ -249,12 +249,12 @@ def deduplicated(docs: DataFrame, *, width: int = 3, max_bits: int = 3, seed: in
     """``docs`` with one row left of each near-duplicate class: that of the smallest doc_id.
 
     Among rows with that doc_id the least hash of the text decides, and of rows that agree
-    in both one stays. A class whose doc_ids are all null keeps one row by hash and fingerprint.
+    in both one stays. Classes are told apart by a fingerprint of theirs, not by that
+    doc_id: unlike texts under one doc_id are two classes, and each keeps its row.
     """
     found = near_duplicates(docs, width=width, max_bits=max_bits, seed=seed)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("mark").alias("m"))
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
-    kept = found.groupBy(group.alias("g")).agg(F.min(order).alias("o")).select(F.col("o.d").alias("_d"), F.col("o.m").alias("_m"), F.col("o.n").alias("_n")).distinct()
+    kept = found.groupBy("_label").agg(F.min(order).alias("o")).select(F.col("o.d").alias("_d"), F.col("o.m").alias("_m"), F.col("o.n").alias("_n")).distinct()
     marked = docs.withColumns({"_mark": F.xxhash64("text"), "_key": F.coalesce(F.col("doc_id"), F.lit(0)), "_null": F.col("doc_id").isNull()})
     marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_null", "_mark").orderBy("_mark"))).filter("_nth = 1")
     kept = kept.select(F.coalesce("_d", F.lit(0)).alias("_key"), F.col("_n").alias("_null"), F.col("_m").alias("_mark"))

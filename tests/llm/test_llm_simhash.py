@@ -94,6 +94,16 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs, clashing):
     assert simhash.deduplicated(no_docs).count() == 0
 
 
+def test_unlike_texts_under_one_id_both_stay(spark):
+    x, y = "the quick brown fox jumps over the lazy dog", "ein ganz anderer text ohne gemeinsame worte"
+    assert _classes([simhash.fingerprint(x), simhash.fingerprint(y)], 3) == [0, 1]
+    for i in (5, None):
+        docs = spark.createDataFrame([(i, x), (i, y), (9, x), (9, y), (i, y)], "doc_id long, text string")
+        assert sorted((str(r["doc_id"]), r["text"]) for r in simhash.deduplicated(docs).collect()) == sorted([(str(i or 9), x), (str(i or 9), y)])
+    nulls = spark.createDataFrame([(None, x), (None, y), (None, x)], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.deduplicated(nulls).collect()) == sorted([x, y])
+
+
 def test_linked_checks_chain_and_distance():
     ring = simhash.Ring(3)
     kinds = np.arange(len(ring.kinds))
