@@ -102,6 +102,29 @@ def likeness(a: Column, b: Column, *, bins: int = 256) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (equal / F.lit(float(bins)) - F.lit(chance)) / F.lit(1 - chance)))
 
 
+def range_number(docs: DataFrame, *, range_rows: int = 2048) -> Column:
+    """Number of a row's range of ids, rising with doc_id, about ``range_rows`` rows in each.
+
+    The bounds are approximate quantiles of the ids themselves, so ids may lie as unevenly
+    as they like; only rows of one id always share a range. Null ids have negative
+    numbers, by the hash of ``text``.
+    """
+    ranges = max(1, math.ceil(docs.count() / range_rows))
+    mark = F.xxhash64("text")
+    number = F.lit(0)
+    if ranges > 1:
+        # lists go in as one literal: an expression for each of their items would be slow to plan
+        shares = F.split(F.lit(",".join(repr(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+        found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 8 * ranges))).alias("b")).first()["b"]
+        bounds = sorted(set(found or []))
+        if bounds:
+            table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+            steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+            # binary search for the number of bounds below the id; beyond the end get() is null
+            number = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+    return F.when(F.col("doc_id").isNull(), -1 - F.pmod(mark, F.lit(ranges))).otherwise(number).cast("long")
+
+
 def with_next(docs: DataFrame, carried: list[str], *, range_rows: int = 2048) -> DataFrame:
     """``docs`` with ``next``, a struct of the ``carried`` columns of the next row in descending doc_id.
 
@@ -111,12 +134,8 @@ def with_next(docs: DataFrame, carried: list[str], *, range_rows: int = 2048) ->
     range numbers are ordered as a whole. Equal doc_ids follow by the hash of ``text``; null
     doc_ids come last, in ranges by that hash.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    ranges = max(1, math.ceil(n / range_rows))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
     mark = F.xxhash64("text")
-    number = F.when(F.col("doc_id").isNull(), -1 - F.pmod(mark, F.lit(ranges))).otherwise(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)))
-    number = number.cast("long")
+    number = range_number(docs, range_rows=range_rows)
     # the first row of each range by its key alone, so that only these rows' texts move for it
     first = docs.groupBy(number.alias("_range")).agg(F.max(F.struct("doc_id", F.bitwise_not(mark).alias("m"))).alias("k"))
     down = Window.orderBy(F.col("_range").desc())

@@ -73,6 +73,19 @@ def test_next_row_across_ranges(spark):
         assert got == {a: f"t{b}" for a, b in zip(down, [*down[1:], down[0]])}
 
 
+def test_ranges_follow_the_ids(spark):
+    clustered = [*range(4000), 2**50]
+    signed = [-(2**63), 2**63 - 1, *[(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for i in range(1, 3000)]]
+    for ids in (clustered, signed):
+        docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+        rows = docs.select("doc_id", minhash.range_number(docs, range_rows=100).alias("r")).collect()
+        numbers = [r["r"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+        assert numbers == sorted(numbers) and max(numbers.count(k) for k in set(numbers)) <= 200
+        down = sorted(ids, reverse=True)
+        got = {r["doc_id"]: r["next"]["text"] for r in minhash.with_next(docs, ["text"], range_rows=100).collect()}
+        assert got == {a: f"t{b}" for a, b in zip(down, [*down[1:], down[0]])}
+
+
 def test_equal_texts_empty_tables_and_plan(spark, clashing, no_docs):
     same = spark.createDataFrame([(i, "a b c d e f g") for i in range(5)], "doc_id long, text string")
     assert same.select(minhash.fingerprint(F.col("text")).alias("f")).distinct().count() == 1
