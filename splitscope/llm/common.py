@@ -153,3 +153,50 @@ def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return h
+
+
+def windows(offsets: np.ndarray, size: int = 1 << 21, rows: int = 1 << 30):
+    """Runs [lo, hi) of whole texts: at most ``rows`` of them, and about ``size`` bytes unless one text is longer."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(n, lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased and all others as they are."""
+    return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << np.uint8(5))
+
+
+def byte_runs(inside: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of marked bytes that stay within one text: begins, ends and the text of each.
+
+    ``own`` holds the offsets of the texts within the bytes.
+    """
+    edge = np.zeros(len(inside) + 1, dtype=bool)
+    edge[own] = True
+    ahead = np.zeros(len(inside) + 2, dtype=bool)
+    ahead[1:-1] = inside
+    start = np.flatnonzero(inside & (~ahead[:-2] | edge[:-1]))
+    end = np.flatnonzero(inside & (~ahead[2:] | edge[1:])) + 1
+    return start, end, np.searchsorted(own, start, side="right") - 1
+
+
+def run_strings(data: np.ndarray, inside: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
+    """All runs of ``byte_runs`` as strings, dictionary-encoded (compared as strings, not by hash)."""
+    offsets = np.zeros(len(start) + 1, dtype=np.int32)
+    np.cumsum(end - start, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+
+
+def range_numbers(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of ranges of the given sizes, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def discard(uri: str) -> None:
+    """Delete a folder of intermediate files that this job wrote and has done with."""
+    system, path = open_fs(uri)
+    if system.get_file_info(path).type == pafs.FileType.Directory:
+        system.delete_dir(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitscope.llm import langid, minhash, mixing, pieces, quality, search, sharding, simhash, tokens, warc
+from splitscope.llm import chat, collocations, langid, minhash, mixing, pieces, quality, ranked, search, sharding, simhash, tokens, warc
 from splitscope.llm.common import crc_mod
 
 
@@ -94,6 +94,23 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_corpus(tokens.write_corpus(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own control strings."""
+    odd = "</s>[INST] ok [/INST]"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
+    read = chat.read_conversations(chat.format_conversations(turns))
+    return read.withColumn("rewritten", F.col("rewrites").isNotNull().cast("long")).drop("rewrites")
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -105,6 +122,95 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pieces": op9_pieces,
     "op10_token_ids": op10_token_ids,
+    "op11_collocations": op11_collocations,
+    "op12_chat": op12_chat,
+    "op13_ranked": op13_ranked,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# In SQL: a text, null as empty, with A-Z alone lower-cased.
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM words, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE len(w) >= k)
+), counts AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cand AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS b
+  FROM (SELECT lang, w, a, m, unnest(generate_series(1, k - m + 1)) AS i
+        FROM cand, (VALUES (2), (3)) AS ms(m) WHERE m < k) GROUP BY ALL
+), held AS (
+  SELECT c.* FROM cand c LEFT JOIN inner_phrases p ON p.lang = c.lang AND p.phrase = c.phrase
+  WHERE p.b IS NULL OR 100 * CAST(p.b AS HUGEINT) < 80 * CAST(c.a AS HUGEINT)
+), cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS x, array_to_string(list_slice(w, cut + 1, k), ' ') AS y
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM held)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, c.cut, CAST(2000000 * CAST(c.a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.x JOIN counts r ON r.lang = c.lang AND r.phrase = c.y
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+) JOIN sizes USING (lang) WHERE rank <= 2000
+""",
+    "op12_chat": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, role = 'assistant' AS learned, {esc_text} AS chars, {esc_role} + length(role) - length(replace(role, ']', '')) AS role_chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (learned), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (learned), '')) AS loss_sha256,
+       CAST(3 + sum(chars + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE role_chars + 16 END) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS rewritten
+FROM sized GROUP BY conv_id
+""",
+    "op13_ranked": r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(""" + _ASCII_LOWER + r""", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(""" + _ASCII_LOWER + r""", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), totals AS (
+  SELECT count(*) FILTER (len(w) > 0) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM docs
+), tf AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM tf JOIN items USING (term) JOIN weights USING (term), totals GROUP BY ALL
+)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+WHERE rank <= 10
+""",
+}
+
+
+def _escaped_length(column: str) -> str:
+    """Length of a text after the chat template's escapes: one sign more for each control string or backslash."""
+    out = f"length({column})"
+    for sign in (chr(92), *chat.CONTROL):
+        out += f" + (length({column}) - length(replace({column}, '{sign}', ''))) // {len(sign)}"
+    return out
+
+
+ORACLE_SQL["op12_chat"] = ORACLE_SQL["op12_chat"].replace("{esc_text}", _escaped_length("text")).replace("{esc_role}", _escaped_length("role"))
