@@ -36,7 +36,8 @@ _BREAK = np.isin(np.arange(256), list(BREAKS))
 _WORD = ~(_BREAK | np.isin(np.arange(256), list(BLANKS)))
 EMPTY = 255  # a slot no phrase has written yet
 _PROBES = 4
-_STATE = "lang string, phrase string, k int, since int, total long, reach int"
+# A counted phrase: its language, a tab, its words; and (since * 16 + k) * 256 + reach in one number.
+_STATE = "key string, total long, meta int"
 
 
 # ------------------------------------------------------------------ hashes and slots
@@ -91,7 +92,7 @@ def _codes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Partial counts (lang, phrase, k, since, c) of the phrases that scan ``step`` counts.
+    """Partial counts (key, total, meta) of the phrases that scan ``step`` counts, not reached yet.
 
     k 0 counts all words of a language; words count in the first cycle; a longer phrase
     counts in the ``shards`` scans from ``since`` on, the one after its subphrases' last reach.
@@ -117,10 +118,9 @@ def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
         def counts(lang_no: np.ndarray, parts: list[np.ndarray], n: np.ndarray, since: np.ndarray, words=words) -> pa.RecordBatch:
             strings = [words.dictionary.take(pa.array(p)) for p in parts]
             phrase = pc.binary_join_element_wise(*strings, " ") if len(parts) > 1 else strings[0] if parts else pa.array([""] * len(n), pa.string())
-            k = pa.array(np.full(len(n), len(parts), dtype=np.int32))
-            return pa.RecordBatch.from_arrays(
-                [names.dictionary.take(pa.array(lang_no)).cast(pa.string()), phrase, k, pa.array(since.astype(np.int32)), pa.array(n)], names=["lang", "phrase", "k", "since", "c"]
-            )
+            key = pc.binary_join_element_wise(names.dictionary.take(pa.array(lang_no)).cast(pa.string()), phrase, "\t")
+            meta = (since.astype(np.int32) * 16 + len(parts)) * 256 + EMPTY
+            return pa.RecordBatch.from_arrays([key, pa.array(n), pa.array(meta)], names=["key", "total", "meta"])
 
         if step < shards:
             n = np.bincount(code, minlength=len(word))
@@ -155,7 +155,7 @@ def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
 # ------------------------------------------------------------------ the job
 
 
-def count_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, shards: int = 4, slots: int = 1 << 24) -> DataFrame:
+def count_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, shards: int = 3, slots: int = 1 << 24) -> DataFrame:
     """(lang, phrase, k, total): phrases of 1 to ``longest`` words that occur ``least`` times or more.
 
     ``docs`` needs lang and text. Rows of k 0 hold all words of a language. Counts are those
@@ -165,8 +165,8 @@ def count_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, shards:
     """
     spark = docs.sparkSession
     ship(spark)
-    if shards * longest >= EMPTY:
-        raise ValueError("too many scans for one byte a slot")
+    if shards * longest >= EMPTY or longest > 15:
+        raise ValueError("too many scans for one byte a slot, or phrases too long")
     folder = scratch(spark, "phrases")
     dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     # equal texts of one language go on by a number of their task, so that copies spread over the shards
@@ -183,19 +183,21 @@ def count_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, shards:
                 yield from scan_texts(batch.column(0), batch.column(1), shared.value, step, shards, longest)
 
         fresh = texts.filter(F.col("shard") == step % shards).select("lang", "text")
-        fresh = fresh.mapInArrow(scan, "lang string, phrase string, k int, since int, c long").withColumn("reach", F.lit(None).cast("int"))
+        fresh = fresh.mapInArrow(scan, _STATE)
         if before is not None:
-            fresh = fresh.unionByName(before.withColumnRenamed("total", "c"))
-        state = fresh.groupBy("lang", "phrase", "k").agg(F.min("since").alias("since"), F.sum("c").alias("total"), F.min("reach").alias("reach"))
-        state = state.withColumn("reach", F.coalesce("reach", F.when((F.col("total") >= least) & F.col("k").between(1, longest - 1), F.lit(step))))
-        over = F.col("since") + shards - 1 <= step
-        state = state.withColumn("over", over.cast("int")).filter(~over | (F.col("total") >= least) | (F.col("k") == 0))
+            fresh = fresh.unionByName(before)
+        k, since, reach = (F.shiftright("meta", 8).bitwiseAND(15), F.shiftright("meta", 12), F.col("meta").bitwiseAND(255))
+        now = (F.col("total") >= least) & k.between(1, longest - 1) & (reach == EMPTY)
+        state = fresh.groupBy("key").agg(F.sum("total").alias("total"), F.min("meta").alias("meta"))
+        state = state.withColumn("meta", F.when(now, F.col("meta") - EMPTY + step).otherwise(F.col("meta")))
+        over = since + shards - 1 <= step
+        state = state.withColumn("over", over.cast("int")).filter(~over | (F.col("total") >= least) | (k == 0))
         state.write.partitionBy("over").parquet(f"{folder}/step-{step}")
         if before is not None:
             discard(f"{folder}/step-{step - 1}/over=0")
         shared.unpersist()
         state = spark.read.schema(_STATE + ", over int").parquet(f"{folder}/step-{step}")
-        new = _mark(state.filter((F.col("reach") == step) & (F.col("k") < longest)).select("lang", "phrase"), slots)
+        new = _mark(state.filter(reach == step).select(*_named()), slots)
         table[new[table[new] == EMPTY]] = step
         before = state.filter("over = 0").drop("over")
         step += 1
@@ -208,7 +210,13 @@ def count_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, shards:
     out = steps[0]
     for more in steps[1:]:
         out = out.unionByName(more)
-    return out.select("lang", "phrase", "k", "total")
+    return out.select(*_named(), F.shiftright("meta", 8).bitwiseAND(15).alias("k"), "total")
+
+
+def _named() -> list[Column]:
+    """Language and phrase of a key: words hold no tab, a language may."""
+    phrase = F.substring_index("key", "\t", -1)
+    return [F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase")]
 
 
 def _mark(phrases: DataFrame, slots: int) -> np.ndarray:
@@ -234,7 +242,7 @@ def _words(i: int | Column, n: int | Column, phrase: str = "phrase") -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), i, n), " ")
 
 
-def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int = 2000, share: int = 80, shards: int = 4, slots: int = 1 << 24, buckets: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int = 2000, share: int = 80, shards: int = 3, slots: int = 1 << 24, buckets: int = 64) -> DataFrame:
     """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score.
 
     ``docs`` needs lang (null: ``und``) and text (null: empty). A-Z are lower-cased; pieces end

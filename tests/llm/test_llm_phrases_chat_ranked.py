@@ -58,7 +58,7 @@ def phrase_docs(spark):
     rows = []
     for i in range(160):
         n = int(rng.integers(0, 40))
-        rows.append((i, " ".join(rng.choice(words[: int(rng.integers(3, 13))], n)), ["en", "de", None, "und"][i % 4], "s", n))
+        rows.append((i, " ".join(rng.choice(words[: int(rng.integers(3, 13))], n)), ["en", "d\te", None, "und"][i % 4], "s", n))
     rows += [(500 + i, "new york city hall. new york", "en", "s", 28) for i in range(40)]
     rows += [(7, None, "en", None, None), (None, "", None, None, 0), (8, " \t.,\n", "xx", None, 5)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -92,9 +92,11 @@ def test_scans_count_each_active_phrase_for_one_cycle(texts, shards):
         batches = list(collocations.scan_texts(pa.array(["x"] * len(part), pa.string()), pa.array(part, pa.string()), table, step, shards, 4))
         for b in batches:
             for row in b.to_pylist():
-                key = (row["k"], row["phrase"])
-                total[key] += row["c"]
-                assert since.setdefault(key, row["since"]) == row["since"]
+                lang, phrase = row["key"].split("\t")
+                key = (row["meta"] >> 8 & 15, phrase)
+                total[key] += row["total"]
+                assert lang == "x" and row["meta"] & 255 == collocations.EMPTY
+                assert since.setdefault(key, row["meta"] >> 12) == row["meta"] >> 12
         for (k, p), n in total.items():
             if 1 <= k < 4 and n >= least and (k, p) not in reach:
                 reach[k, p] = step
