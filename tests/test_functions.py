@@ -5,7 +5,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from splitscope.functions import chi2_critical_col, chi2_sf, normal_cdf, rnd
+from splitscope.functions import chi2_critical_col, chi2_sf, normal_cdf, normal_sf, rnd, two_sided_p
 
 # Chi-square critical values as printed in standard tables, (df, alpha).
 PRINTED = {
@@ -18,7 +18,42 @@ def test_normal_cdf_accuracy(spark):
     zs = [-6.0, -3.3, -1.96, -1.0, -0.1, 0.0, 0.1, 1.0, 1.6449, 1.96, 3.3, 6.0]
     rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_cdf("z").alias("p")).collect()
     for r in rows:
-        assert abs(r.p - NormalDist().cdf(r.z)) <= 1.5e-7
+        assert abs(r.p - NormalDist().cdf(r.z)) <= 1e-15
+
+
+def test_normal_tail_has_small_relative_error(spark):
+    """Also far out, on both sides of the handover from series to fraction, and at every sixth decimal of a p-value."""
+    zs = [i / 500 for i in range(4001)] + [2.9999999, 3.0, 3.0000001, 8.5, 12.0, 20.0, 37.0]
+    frame = spark.createDataFrame([(z,) for z in zs], "z double")
+    rows = frame.select("z", normal_sf("z").alias("p"), normal_sf(-F.col("z")).alias("q"), rnd(two_sided_p("z"), 6).alias("r")).collect()
+    for r in rows:
+        want = math.erfc(r.z / math.sqrt(2)) / 2
+        assert math.isclose(r.p, want, rel_tol=2e-12), r
+        assert math.isclose(r.q, 1 - want, rel_tol=1e-15), r
+        assert r.r == round(2 * want + 1e-18, 6), r
+    odd = spark.createDataFrame([(math.inf,), (-math.inf,), (60.0,), (None,), (math.nan,)], "z double").select(normal_sf("z").alias("p")).collect()
+    assert [r.p for r in odd[:4]] == [0.0, 1.0, 0.0, None] and (odd[4].p is None or math.isnan(odd[4].p))
+
+
+def _odd_tail(x, k):
+    """Odd df by downward recurrence from the closed form."""
+    return math.erfc(math.sqrt(x / 2)) + math.fsum(math.exp((i - 0.5) * math.log(x / 2) - x / 2 - math.lgamma(i + 0.5)) for i in range(1, (k - 1) // 2 + 1))
+
+
+def test_chi_square_tail_has_small_relative_error(spark):
+    cases = [(x / 4, k) for x in range(1, 200, 7) for k in (1, 2, 3, 4, 5, 8, 9, 31)] + [(300.0, 1), (900.0, 3)]
+    rows = spark.createDataFrame(cases, "x double, k int").select("x", "k", chi2_sf("x", "k").alias("p")).collect()
+    for r in rows:
+        want = _tail(r.x, r.k) if r.k % 2 == 0 else _odd_tail(r.x, r.k)
+        assert math.isclose(r.p, want, rel_tol=1e-11), r
+
+
+def test_critical_values_solve_the_tail(spark):
+    for alpha in (0.999, 0.5, 0.1, 0.001, 1e-9):
+        rows = spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 20, 77, 400)], "k int").select("k", chi2_critical_col("k", alpha).alias("c")).collect()
+        for r in rows:
+            tail = _tail if r.k % 2 == 0 else _odd_tail
+            assert tail(r.c + 6e-4, r.k) < alpha and (r.c < 1e-3 or tail(r.c - 6e-4, r.k) > alpha), (alpha, r)
 
 
 def test_critical_values(spark):
