@@ -53,7 +53,7 @@ def once(value: Column, f) -> Column:
 
 # Where the power series of the normal tail hands over to its continued fraction, and the
 # terms of each; with these both hold a relative error below 1e-12 there and less elsewhere.
-_HANDOVER, _SERIES, _FRACTION = 3.0, 40, 40
+_HANDOVER, _SERIES, _FRACTION = 3.0, 40, 60
 
 
 def _upper_tail(z: Column) -> Column:
@@ -63,13 +63,15 @@ def _upper_tail(z: Column) -> Column:
     positive; above it ``phi(z) / (z + 1/(z + 2/(z + 3/(...))))``.
     """
     density = F.exp(z * z * F.lit(-0.5)) * F.lit(1.0 / math.sqrt(2.0 * math.pi))
-    square = z * z
-    series = F.lit(1.0)
-    for k in range(2 * _SERIES + 1, 1, -2):
-        series = F.lit(1.0) + square / F.lit(float(k)) * series
-    fraction = z
-    for k in range(_FRACTION, 0, -1):
-        fraction = z + F.lit(float(k)) / fraction
+    # loops rather than written-out terms: the plan stays small, and there is a tail for each result row only
+    term = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(_SERIES)),
+        term,
+        lambda acc, k: F.struct((acc["t"] * z * z / (k * 2 + 1)).alias("t"), (acc["s"] + acc["t"] * z * z / (k * 2 + 1)).alias("s")),
+        lambda acc: acc["s"],
+    )
+    fraction = F.aggregate(F.sequence(F.lit(_FRACTION), F.lit(1)), z, lambda acc, k: z + k / acc)
     return F.when(z < F.lit(_HANDOVER), F.lit(0.5) - density * z * series).otherwise(density / fraction)
 
 
