@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,41 +43,79 @@ def exact_percentiles(
     keys: Sequence[str],
     metrics: Sequence[tuple[str, str]],
     probs: Sequence[float],
+    ranges: int = 16,
 ) -> DataFrame:
     """Exact percentiles (linear interpolation, as ``percentile``) and means per key and metric.
 
-    Scale plan: a ``percentile`` aggregate merges every task's value->count map for a
-    group in one reducer task, and with two arms that is two tasks for the whole
-    table. Instead the value histogram is an ordinary aggregation keyed by
-    (key, metric, value), spread over all reducers; its size is bounded by the
-    metric's distinct values, and cumulative counts over it (a window per key and
-    metric, ordered by value) locate the order statistics.
+    Distributed selection. A ``percentile`` aggregate merges every task's value->count map for a
+    group in one reducer task, and a window by group sorts it in one; with two arms that is
+    two tasks for the whole table, however many values a metric has. Instead:
+
+    1. the value histogram is an ordinary aggregation keyed by (key, metric, value), spread
+       over all reducers;
+    2. approximate quantiles of its values cut each group into ``ranges`` ranges of about
+       equally many distinct values;
+    3. the ranges' row counts, at most ``ranges`` numbers a group, give by prefix sum how
+       many rows lie below each range, and so which ranges hold the wanted ranks;
+    4. only those ranges' values are sorted, each range by itself, to find the ranks in it.
+
+    The cuts only decide who sorts what: results are exact wherever they fall. Cuts and wanted
+    ranks are broadcast: a few numbers for each group that the report itself prints.
 
     Output: ``keys``, ``metric`` (label), ``n``, ``q`` (array, one entry per prob), ``mean``.
     """
+    part = [*keys, "metric"]
     stack_args = ", ".join(f"'{label}', CAST({c} AS DOUBLE)" for label, c in metrics)
     long = df.select(*keys, F.expr(f"stack({len(metrics)}, {stack_args}) AS (metric, value)")).filter(
         F.col("value").isNotNull()
     )
-    hist = long.groupBy(*keys, "metric", "value").agg(F.count("*").alias("c"))
-    part = [*keys, "metric"]
-    upto = Window.partitionBy(*part).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumns(
-        {"first_index": F.sum("c").over(upto) - F.col("c"), "n": F.sum("c").over(Window.partitionBy(*part))}
+    hist = long.groupBy(*part, "value").agg(F.count("*").alias("c"))
+
+    def beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+        """``left`` with the columns of the few rows of ``right``; NULL keys meet."""
+        named = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
+        same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])
+        return left.join(F.broadcast(named), same).drop(*[f"_{c}" for c in on])
+
+    # the cuts name the count too, so that all readers of the histogram share one exchange
+    cuts = F.percentile_approx(F.when(F.col("c") > 0, F.col("value")), [i / ranges for i in range(1, ranges)], 16 * ranges)
+    cut = beside(hist, hist.groupBy(*part).agg(cuts.alias("_cuts")), part)
+
+    def place(lo: int, hi: int) -> str:
+        """How many cuts lie below the value, ``lo`` to ``hi`` of them: a binary search."""
+        mid = (lo + hi) // 2
+        return str(lo) if lo == hi else f"CASE WHEN _cuts[{mid}] < value THEN {place(mid + 1, hi)} ELSE {place(lo, mid)} END"
+
+    ranged = cut.withColumn("_range", F.expr(place(0, ranges - 1))).drop("_cuts")
+    # rows of each range, and the wanted ranks: both ends of each prob's position
+    per_range = ranged.groupBy(*part, "_range").agg(F.sum("c").alias("c"), F.sum(F.col("value") * F.col("c")).alias("s"))
+    group = per_range.groupBy(*part).agg(
+        F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("mean"), F.array_sort(F.collect_list(F.struct("_range", "c"))).alias("_counts")
     )
-    aggs = [F.max("n").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean")]
-    for i, p in enumerate(probs):
+    ranks = []
+    for p in probs:
         pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
-        # value at sorted index i = the largest value whose first index is <= i
-        aggs.append(F.max(F.when(F.col("first_index") <= F.floor(pos), F.col("value"))).alias(f"lo{i}"))
-        aggs.append(F.max(F.when(F.col("first_index") <= F.ceil(pos), F.col("value"))).alias(f"hi{i}"))
-    per = hist.groupBy(*part).agg(*aggs)
+        ranks += [F.floor(pos), F.ceil(pos)]
+    below = F.expr("transform(_counts, (x, i) -> struct(x._range, aggregate(slice(_counts, 1, i), 0L, (a, y) -> a + y.c) AS below, x.c))")
+    wanted = (
+        group.withColumn("_ranks", F.array(*ranks))
+        .withColumn("_at", F.explode(below))
+        .select(*part, "n", "mean", "_at._range", "_at.below", F.filter("_ranks", lambda r: (r >= F.col("_at.below")) & (r < F.col("_at.below") + F.col("_at.c"))).alias("_ranks"))
+        .filter(F.size("_ranks") > 0)
+    )
+    upto = Window.partitionBy(*part, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = beside(ranged, wanted, [*part, "_range"]).withColumn("_end", F.col("below") + F.sum("c").over(upto))
+    per = held.groupBy(*part).agg(
+        F.max("n").alias("n"),
+        F.max("mean").alias("mean"),
+        *[F.min(F.when(F.col("_end") > r, F.col("value"))).alias(f"v{i}") for i, r in enumerate(ranks)],
+    )
     qs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
         lo, hi = F.floor(pos), F.ceil(pos)
-        interp = (hi - pos) * F.col(f"lo{i}") + (pos - lo) * F.col(f"hi{i}")
-        qs.append(F.when((hi == lo) | (F.col(f"lo{i}") == F.col(f"hi{i}")), F.col(f"lo{i}")).otherwise(interp))
+        at_lo, at_hi = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
+        qs.append(F.when((hi == lo) | (at_lo == at_hi), at_lo).otherwise((hi - pos) * at_lo + (pos - lo) * at_hi))
     return per.select(*part, "n", F.array(*qs).alias("q"), "mean")
 
 
@@ -89,10 +128,9 @@ def distribution(
 ) -> DataFrame:
     """Percentiles (linear interpolation) and mean per arm and metric, in one pass.
 
-    Exact by default through the distributed value histogram of ``exact_percentiles``
-    (its size is bounded by the metrics' distinct values: two-decimal clamped metrics
-    and small counts). ``approx_accuracy`` switches to ``percentile_approx`` (small
-    fixed-size sketches) for metrics without such a bound.
+    Exact by default through the distributed selection of ``exact_percentiles``, whatever
+    the number of a metric's values. ``approx_accuracy`` switches to ``percentile_approx``
+    (small fixed-size sketches).
     """
     n = normal(clean_df, spec)
     names = [_PCT_NAMES.get(round(p, 2), f"p{int(round(p * 100))}") for p in probs]

@@ -22,7 +22,7 @@ def _nodes(df: DataFrame):
         name = node.nodeName()
         if name == "AdaptiveSparkPlan":
             return [node.executedPlan()]
-        if name in ("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+        if name in ("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage", "ResultQueryStage"):
             return [node.plan()]
         if name == "ReusedExchange":
             return []

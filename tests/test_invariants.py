@@ -233,3 +233,26 @@ def test_first_conversion_join_equals_row_number(spark, rows):
     ref = sorted(ss.first_conversion(c, "window").collect())
     assert sorted(ss.first_conversion(c, "join").collect()) == ref
     assert sorted(ss.first_conversion(c, "salted", salt_buckets=3).collect()) == ref
+
+
+def test_percentiles_of_a_metric_with_very_many_values(spark):
+    """10^5 distinct doubles, heavily skewed, with negative, repeated and NULL values and a NULL key."""
+    from pyspark.sql import functions as F
+
+    from splitscope.operators.distribution import exact_percentiles
+
+    u = (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) + 1) / F.lit(1_000_004.0)
+    x = F.exp(-F.log(u) * 3) * F.when(F.col("id") % 5 == 0, -1.0).otherwise(1.0)
+    x = F.when(F.col("id") % 7 == 0, 1.5).when(F.col("id") % 1009 == 0, None).otherwise(x)
+    arm = F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "B")
+    df = spark.range(150_000).select(arm.alias("arm"), x.alias("x"), (F.col("id") % 2).alias("y"))
+    assert df.select("x").distinct().count() > 100_000
+    probs = [0.0, 0.001, 0.1, 0.25, 0.5, 0.75, 0.95, 0.9999, 1.0]
+    want = {r.arm: r for r in df.groupBy("arm").agg(F.percentile("x", probs).alias("x"), F.percentile("y", probs).alias("y"), F.avg("x").alias("m"), F.count("x").alias("n")).collect()}
+    for ranges in (64, 3):
+        got = exact_percentiles(df, ["arm"], [("x", "x"), ("y", "y")], probs, ranges).collect()
+        assert len(got) == 6
+        for r in got:
+            assert [round(v, 9) for v in r.q] == [round(v, 9) for v in want[r.arm][r.metric]], r
+            assert r.metric == "y" or (r.n == want[r.arm].n and abs(r.mean / want[r.arm].m - 1) < 1e-9)
+    assert exact_percentiles(df.limit(0), ["arm"], [("x", "x")], probs).count() == 0

@@ -18,9 +18,16 @@ def _plan(df):
 @pytest.mark.parametrize("name", ["kpi_lift", "distribution_percentiles", "funnel", "findings", "metric_comparison"])
 def test_single_scan(spark, name):
     df = entry._QUERIES[name](spark, SF01)
+    df.collect()  # the plan that ran: exchanges that read the same are one there
     assert pi.scan_count(df) == 1, _plan(df)
 
 
+def test_percentiles_sort_ranges_not_groups(spark):
+    plan = _plan(entry._QUERIES["distribution_percentiles"](spark, SF01))
+    windows = re.findall(r"windowspecdefinition\((.*?) ASC NULLS FIRST", plan)
+    assert windows and all("_range" in w for w in windows), windows
+
+
 def test_no_python_evaluation_anywhere(spark):
     for name, q in entry._QUERIES.items():
         if name == "logit_model":
