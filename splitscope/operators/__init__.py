@@ -5,13 +5,14 @@ from .randomization import balance, chi_square, contingency, observed_cells, qua
 from .summary import group_summary, kpi_lift, prep_summary, quality_breakdown
 from .distribution import binned, distribution, exact_percentiles, histogram, level_counts, rate_by_level, time_buckets
 from .funnel import funnel
-from .journey import first_conversion, sessions_to_conversion, touch_attribution, user_rollup, user_summary
+from .journey import chain_attribution, first_conversion, first_rows, sessions_to_conversion, touch_attribution, touch_transitions
+from .journey import user_rollup, user_summary
 from .segments import country_profile, device_lift_share, device_profile, profile, segment_lift, segment_profile
 from .temporal import daily_trend, hourly_trend, monthly_trend, weekday_trend
 from .business import findings, recommend, roi
 from .inference import chi2_outcome, correlations, metric_comparison, power_analysis, sensitivity, simpson_check
 from .inference import stratified_test, ztest
-from .model import covariate_cells, driver_model, interaction, logit_model
+from .model import adjusted_effect, covariate_cells, driver_model, firth_model, interaction, interaction_test, logit_model
 
 __all__ = [
     "clean",
@@ -66,4 +67,10 @@ __all__ = [
     "interaction",
     "driver_model",
     "logit_model",
+    "firth_model",
+    "adjusted_effect",
+    "interaction_test",
+    "chain_attribution",
+    "touch_transitions",
+    "first_rows",
 ]

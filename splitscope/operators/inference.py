@@ -346,11 +346,15 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
     * ``all_sessions``: every row, quality ignored;
     * ``normal_only``: the analysis population;
     * ``excluding_anomalies``: Normal and (clamped) Outlier rows;
-    * ``first_session_per_user``: Normal rows, each user's first session only.
-
-    One pass: a per-user aggregation holds the conditional counts of the row-level
-    scenarios and the user's first Normal session (``min_by``, no per-user sort);
-    a global aggregation sums them and ``stack`` gives one row per scenario.
+    * ``first_session_per_user``: Normal rows, each user's first session only;
+    * ``user_clustered``: ``normal_only`` with a standard error that takes the user, not the
+      session, as the unit that varies: the delta method on the users' sums (sessions n,
+      outcomes y), ``K/(K-1) sum((y - r n)^2) / (sum n)^2`` per arm of K users and rate r.
+
+    A per-user aggregation holds the conditional counts of all scenarios and the time of the
+    user's first Normal session, all in fixed-width buffers, so it is hashed and never sorts
+    sessions. Only the sessions at that time are looked at again, to settle ties by id. Global
+    aggregations sum both, and ``stack`` gives one row per scenario.
     """
     q = F.col("data_quality")
     is_normal = normal_predicate("page_load_time_raw", "time_on_dashboard_raw", spec)
@@ -367,9 +371,9 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
         for side, label in (("a", spec.control), ("b", spec.treatment)):
             hit = cond & (arm == label) & y.isNotNull()
             aggs += [F.count_if(hit).alias(f"{name}__n_{side}"), F.sum(F.when(hit, y)).alias(f"{name}__x_{side}")]
-    # each user's first Normal session (order: timestamp, then id): combinable min_by
-    key = F.struct(F.col("session_timestamp").alias("ts"), F.col("session_id").alias("sid"))
-    aggs.append(F.min_by(F.struct(arm.alias("arm"), y.alias("y")), F.when(is_normal, key)).alias("first"))
+    aggs.append(F.min(F.when(is_normal, F.col("session_timestamp"))).alias("first_ts"))
+    # a user without a time among the Normal sessions: those with unknown time come first
+    aggs.append(F.count_if(is_normal & F.col("session_timestamp").isNull()).alias("untimed"))
     # one pass: per-user partial sums (a hot user is pre-aggregated map-side), then totals
     per_user = clean_df.groupBy("user_id").agg(*aggs)
     totals = []
@@ -379,21 +383,46 @@ def sensitivity(clean_df: DataFrame, outcome: str = "conversion", spec: Experime
                 F.sum(f"{name}__n_{side}").alias(f"{name}__n_{side}"),
                 F.coalesce(F.sum(f"{name}__x_{side}"), F.lit(0)).alias(f"{name}__x_{side}"),
             ]
+    # moments of the users' sums, for the clustered error
+    for side in ("a", "b"):
+        sessions_, hits = F.col(f"normal_only__n_{side}").cast("double"), F.coalesce(f"normal_only__x_{side}", F.lit(0)).cast("double")
+        totals += [
+            F.count_if(sessions_ > 0).cast("double").alias(f"users_{side}"),
+            F.sum(sessions_ * sessions_).alias(f"nn_{side}"),
+            F.sum(sessions_ * hits).alias(f"ny_{side}"),
+            F.sum(hits * hits).alias(f"yy_{side}"),
+        ]
+    starts = per_user.filter("first_ts IS NOT NULL OR untimed > 0").select(
+        F.col("user_id").alias("key_user"), F.when(F.col("untimed") == 0, F.col("first_ts")).alias("key_ts")
+    )
+    visits = clean_df.filter(is_normal).select("user_id", "session_timestamp", "session_id", arm.alias("arm"), y.alias("y"))
+    at_start = visits.join(starts, F.col("user_id").eqNullSafe(F.col("key_user")) & F.col("session_timestamp").eqNullSafe(F.col("key_ts")))
+    firsts = at_start.groupBy("user_id").agg(F.min_by(F.struct("arm", "y"), "session_id").alias("first"))
+    first_totals = []
     for side, label in (("a", spec.control), ("b", spec.treatment)):
         first_hit = (F.col("first.arm") == label) & F.col("first.y").isNotNull()
-        totals += [
+        first_totals += [
             F.count_if(first_hit).alias(f"first_session_per_user__n_{side}"),
             F.coalesce(F.sum(F.when(first_hit, F.col("first.y"))), F.lit(0)).alias(f"first_session_per_user__x_{side}"),
         ]
-    wide = per_user.agg(*totals)
+    # one row beside one row
+    one = F.lit(1).alias("_one")
+    wide = per_user.agg(*totals).withColumn("_one", one).join(firsts.agg(*first_totals).withColumn("_one", one), "_one")
+    for side in ("a", "b"):
+        k, total = F.col(f"users_{side}"), F.nullif(F.col(f"normal_only__n_{side}").cast("double"), F.lit(0.0))
+        rate = F.col(f"normal_only__x_{side}") / total
+        spread = F.col(f"yy_{side}") - 2 * rate * F.col(f"ny_{side}") + rate * rate * F.col(f"nn_{side}")
+        wide = wide.withColumn(f"var_{side}", k / F.nullif(k - 1, F.lit(0.0)) * spread / (total * total))
     names = [*row_scenarios, "first_session_per_user"]
-    stack_args = ", ".join(
-        f"'{nm}', {nm}__n_a, {nm}__n_b, {nm}__x_a, {nm}__x_b" for nm in names
-    )
-    counts = wide.selectExpr(f"stack({len(names)}, {stack_args}) AS (scenario, n_a, n_b, x_a, x_b)").filter(
+    stacked = [f"'{nm}', {nm}__n_a, {nm}__n_b, {nm}__x_a, {nm}__x_b, CAST(NULL AS DOUBLE)" for nm in names]
+    stacked.append("'user_clustered', normal_only__n_a, normal_only__n_b, normal_only__x_a, normal_only__x_b, sqrt(var_a + var_b)")
+    counts = wide.selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) AS (scenario, n_a, n_b, x_a, x_b, se_clustered)").filter(
         (F.col("n_a") > 0) & (F.col("n_b") > 0)
     )
-    return _with_proportions(counts, spec.alpha).select(
+    by_user = F.col("scenario") == "user_clustered"
+    tested = _with_proportions(counts, spec.alpha)
+    tested = tested.withColumn("z", F.when(by_user, (F.col("p_b") - F.col("p_a")) / F.nullif(F.col("se_clustered"), F.lit(0.0))).otherwise(F.col("z")))
+    return tested.withColumn("p_one", normal_sf("z")).select(
         "scenario",
         "n_a",
         "n_b",

@@ -46,6 +46,22 @@ def exchange_count(df: DataFrame) -> int:
     return sum(1 for n in _nodes(df) if n.nodeName() in ("Exchange", "ShuffleExchange"))
 
 
+def aggregate_inputs(df: DataFrame, name: str) -> list[str]:
+    """For each aggregate node of that name, the names of the nodes below it, down to the next join or aggregate."""
+    out = []
+    for n in _nodes(df):
+        if n.nodeName() != name:
+            continue
+        names, cur = [], n
+        while cur.children().size():
+            cur = cur.children().apply(0)
+            names.append(cur.nodeName())
+            if "Join" in names[-1] or "Aggregate" in names[-1]:
+                break
+        out.append(" > ".join(names))
+    return out
+
+
 def window_inputs(df: DataFrame) -> list[str]:
     """For each Window node, the node names below it down to the first exchange or aggregate."""
     out = []

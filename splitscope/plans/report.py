@@ -147,6 +147,10 @@ def analyses(spec: ExperimentSpec = DEFAULT_SPEC) -> dict[str, Callable[[DataFra
         "device_interaction": lambda c: ops.interaction(c, spec=spec),
         "power_by_segment": lambda c: ops.power_analysis(c, spec=spec),
         "sensitivity": lambda c: ops.sensitivity(c, spec=spec),
+        "firth_model": lambda c: ops.firth_model(c, spec=spec),
+        "interaction_test": lambda c: ops.interaction_test(c, spec=spec),
+        "adjusted_effect": lambda c: ops.adjusted_effect(c, spec=spec),
+        "chain_attribution": lambda c: ops.chain_attribution(c, spec=spec),
         "roi_by_segment": lambda c: ops.roi(c, spec=spec),
         "segment_recommendation": lambda c: ops.recommend(c, spec=spec),
         "findings": lambda c: ops.findings(c, spec),

@@ -1,5 +1,6 @@
 from .sessions import (
     CSV_COLUMNS,
+    CSV_TIME,
     SESSION_SCHEMA,
     conform,
     load_test_sessions,
@@ -7,10 +8,12 @@ from .sessions import (
     read_sessions_csv,
     sessions_from_events,
     write_sessions,
+    write_sessions_csv,
 )
 
 __all__ = [
     "CSV_COLUMNS",
+    "CSV_TIME",
     "SESSION_SCHEMA",
     "conform",
     "load_test_sessions",
@@ -18,4 +21,5 @@ __all__ = [
     "read_sessions_csv",
     "sessions_from_events",
     "write_sessions",
+    "write_sessions_csv",
 ]

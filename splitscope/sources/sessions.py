@@ -65,6 +65,16 @@ def read_sessions_csv(spark: SparkSession, path: str, timestamp_format: str | No
     return csv_to_sessions(reader.csv(path))
 
 
+# Session times in written CSV files, to the microsecond.
+CSV_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def write_sessions_csv(df: DataFrame, path: str) -> None:
+    """Write a session table as CSV with the published header, column order and names; times as ``CSV_TIME``."""
+    published = {name: _CSV_RENAMES.get(name, name) for name in CSV_COLUMNS}
+    df.select(*[F.col(own).alias(name) for name, own in published.items()]).write.mode("overwrite").option("header", True).option("timestampNTZFormat", CSV_TIME).csv(path)
+
+
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Load a Parquet session table (column names of ``SESSION_SCHEMA``).
 
