@@ -231,7 +231,8 @@ def with_language(docs: DataFrame, model: Ppm, *, to: str = "lang_pred", score:
                 per_byte = np.where(letters, least / np.maximum(np.diff(offsets), 1), 0.0)
             yield pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(sure), pa.array(per_byte)], names=["name", "score", "bits"])
 
-    found = F.arrow_udf(predict, "struct<name: string, score: double, bits: double>")(F.col("text"))
+    # as nondeterministic: the optimizer then never evaluates it twice, below and above a filter on its result
+    found = F.arrow_udf(predict, "struct<name: string, score: double, bits: double>").asNondeterministic()(F.col("text"))
     keep = [c for c in docs.columns if c not in (to, score, bits)]
     return docs.withColumn("_found", found).select(
         *keep, F.col("_found.name").alias(to), F.col("_found.score").alias(score), F.col("_found.bits").alias(bits)

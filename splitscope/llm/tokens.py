@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import Kept, open_fs, put_file, scratch, ship
+from splitscope.llm.common import Kept, byte_runs, open_fs, put_file, range_numbers, run_strings, scratch, ship, text_bytes, windows
 
 MAGIC = b"DACIDS01"
 WIDTHS = (8, 8, 16)
@@ -131,8 +132,7 @@ def write_ids(out, doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
 
 # ------------------------------------------------------------------ encoding
 
-_SPLIT = re.compile("[ \t\n\r]+")
-_ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f]")
+_IN_WORD = ~np.isin(np.arange(256), list(b" \t\n\r"))  # other white space stays in words, which then go to the library
 _BEYOND_LATIN = re.compile("[^\x21-\x7e\xa1-\u012f\u0131-\u024f]")
 _CACHE_WORDS = 500_000  # in each half of what a worker keeps; more would only save time
 _SIGNS = frozenset(".,;:!?-")
@@ -156,7 +156,8 @@ class Encoder:
     pattern doesn't match), a text's ids are its words' ids in order, so each distinct
     word is encoded once and kept; the memory kept is bounded, which only costs time.
     Words of plain Latin letters, digits and signs go to the library's model directly,
-    all others through its whole chain. Other tokenizer files encode whole texts.
+    all others through its whole chain. Texts that hold an added token of the file, such as
+    an end mark, and all texts of other tokenizer files are encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -165,7 +166,6 @@ class Encoder:
         with open(path) as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
         before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -178,6 +178,9 @@ class Encoder:
             and not before[1]["use_regex"]
             and not before[1]["add_prefix_space"]
         )
+        # texts that hold one of the file's added tokens are left to the library whole
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_word &= all(not t["normalized"] for t in spec.get("added_tokens", []))
         if self.by_word:
             self.pieces = regex.compile(PATTERN)
         self.code = "H" if self.type.itemsize == 2 else "I"
@@ -208,21 +211,46 @@ class Encoder:
             return self._piece(head) + self._piece(last)
         return b"".join([self._piece(p) for p in self.pieces.findall(word)])
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as an array of ``type`` in bytes."""
-        if not self.by_word:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
-        words = [w for w in _SPLIT.split(text) if w] if _ODD_SPACE.search(text) else text.split()
-        kept = self.words
-        kept.turn()
-        self.known.turn()
+    def whole(self, text: str) -> bytes:
+        """The ids of a text by the library alone, as an array of ``type`` in bytes."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
+
+    def _ids(self, word: str) -> bytes:
         try:
-            return b"".join([kept[w] for w in words])
+            return self.words[word]
         except KeyError:
-            for w in words:
-                if w not in kept and w not in kept.older:
-                    kept[w] = self._word(w)
-            return b"".join([kept[w] for w in words])
+            got = self.words[word] = self._word(word)
+            return got
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as arrays of ``type`` in bytes; nulls have none.
+
+        The words of a run of texts are dictionary-encoded, so each distinct one is looked up
+        once; a text's ids are then gathered from those of its words.
+        """
+        texts = texts.fill_null("")
+        if not self.by_word:
+            yield from (self.whole(t) for t in texts.to_pylist())
+            return
+        by_library = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            by_library |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        data, offsets = text_bytes(texts)
+        for lo, hi in windows(offsets):
+            part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            inside = _IN_WORD[part]
+            start, end, text = byte_runs(inside, own)
+            words = run_strings(part, inside, start, end)
+            self.words.turn()
+            self.known.turn()
+            found = [self._ids(w) for w in words.dictionary.to_pylist()]
+            size = np.array([len(x) for x in found], dtype=np.int64) // self.type.itemsize
+            code = words.indices.to_numpy(zero_copy_only=False)
+            ids = np.frombuffer(b"".join(found), dtype=self.type)[range_numbers((np.cumsum(size) - size)[code], size[code])]
+            cut = np.zeros(hi - lo + 1, dtype=np.int64)
+            np.cumsum(np.bincount(text, weights=size[code], minlength=hi - lo), out=cut[1:], casting="unsafe")
+            for i in range(hi - lo):
+                yield self.whole(texts[lo + i].as_py()) if by_library[lo + i] else ids[cut[i] : cut[i + 1]].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -270,8 +298,8 @@ def write_corpus(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, fol
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = code.encode(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), code.encode(batch.column(1)), strict=True):
+                ids += end
                 doc_ids.append(doc_id)
                 found.append(ids)
                 lengths.append(len(ids) // code.type.itemsize)

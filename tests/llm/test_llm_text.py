@@ -184,16 +184,25 @@ def test_held_out_quality_accuracy(spark):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t, tokens.Encoder(WORDS)
+    return Tokenizer.from_file(WORDS), tokens.Encoder(WORDS)
+
+
+_SIGNS = st.text(alphabet=st.sampled_from(list("aZé ßÄ'streI\t\n\r.,!?09½²ªḰΣςİıŉ日😀́‍\xa0\x0b\x1c\x85 -_<|>endoftx")), max_size=40)
 
 
 @settings(max_examples=300, deadline=None, derandomize=True)
-@given(st.text(alphabet=st.sampled_from(list("aZé ßÄ'streI\t\n\r.,!?09½²ªḰΣςİıŉ日😀́‍\xa0\x0b\x1c\x85 -_<|>endoftx")), max_size=40))
-def test_encoder_equals_the_library(library, text):
+@given(st.lists(_SIGNS | st.builds("{}{}{}".format, _SIGNS, st.sampled_from(["<|endoftext|>", "<|startoftext|>", " <|endoftext|> "]), _SIGNS), max_size=5))
+def test_encoder_equals_the_library(library, texts):
+    """The library as its file sets it up: special tokens in a text are single ids."""
     t, own = library
-    assert np.frombuffer(own.encode(text), dtype=own.type).tolist() == t.encode(text, add_special_tokens=False).ids
+    got = [np.frombuffer(x, dtype=own.type).tolist() for x in own.encode(pa.array([*texts, None], pa.string()))]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts] + [[]]
+
+
+def test_special_tokens_in_a_text(library):
+    _, own = library
+    (ids,) = own.encode(pa.array(["a <|endoftext|> b"]))
+    assert np.frombuffer(ids, dtype=own.type).tolist() == [320, 49407, 321]
 
 
 def test_codes_are_directly_addressable():
