@@ -248,7 +248,7 @@ class Encoder:
             code = words.indices.to_numpy(zero_copy_only=False)
             ids = np.frombuffer(b"".join(found), dtype=self.type)[range_numbers((np.cumsum(size) - size)[code], size[code])]
             cut = np.zeros(hi - lo + 1, dtype=np.int64)
-            np.cumsum(np.bincount(text, weights=size[code], minlength=hi - lo), out=cut[1:], casting="unsafe")
+            np.cumsum(np.bincount(text, weights=size[code], minlength=hi - lo).astype(np.int64), out=cut[1:])
             for i in range(hi - lo):
                 yield self.whole(texts[lo + i].as_py()) if by_library[lo + i] else ids[cut[i] : cut[i + 1]].tobytes()
 

@@ -159,6 +159,29 @@ def test_search_of_empty_tables(spark, no_docs, odd_docs, clashing):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_language_stage_rejects_noise_and_foreign_texts(spark):
+    """Planted letter noise and texts of languages no label names go; every other document stays."""
+    import random
+
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{SF01}/documents.parquet")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 200, 1000, 5000)]
+    texts += [
+        "Ez egy magyar nyelvű szöveg, amelyet a modell sohasem látott, és amelyet el kellene utasítania.",
+        "Это русский текст, который модель никогда не видела, поэтому его следует отбросить.",
+        "Tämä on suomenkielinen teksti, jota malli ei ole koskaan nähnyt, joten se pitäisi hylätä.",
+        "日本語の文章はこのモデルには未知のものであり、取り除かれるべきです。",
+    ]
+    planted = spark.createDataFrame([(-1 - i, t, None, "planted", len(t)) for i, t in enumerate(texts)], source.schema)
+    stage = corpus_pipeline.language(spark, source.unionByName(planted), SF01)
+    plan = stage._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+    ids = {r["doc_id"] for r in stage.select("doc_id").collect()}
+    assert min(ids) >= 0 and len(ids) >= 0.999 * source.count()
+
+
 def test_pipeline_stages(spark, odd_docs, no_docs, clashing):
     import corpus_pipeline
 
@@ -176,8 +199,9 @@ def test_pipeline_stages(spark, odd_docs, no_docs, clashing):
     ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for _, d in kept]
     # language: what is left is what the model is sure of
     model = langid.train(kept[0][0], learn=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    sure = langid.with_language(kept[0][0], model).filter("lang_pred <> 'und' AND score >= 0.5")
-    assert ids[0] == {r["doc_id"] for r in sure.collect()}
+    sure = [r for r in langid.with_language(kept[0][0], model).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5]
+    assert ids[0] == {r["doc_id"] for r in sure if (r["bits_per_byte"] - 8) * len(r["text"].encode()) <= 64}
+    assert len(ids[0]) >= 0.999 * source.count()
     # quality: labelled junk goes, labelled clean text stays
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
     assert sum(labels.get(i) == 0 for i in ids[1]) <= 2
