@@ -20,11 +20,17 @@ from splitscope.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: rejects documents without a letter and those no language is sure of
-    (score below one half); the others carry the language found."""
+    """Language ID: rejects documents without a letter, those no language is sure of (score
+    below one half), and those that their language's trees code longer than the text itself.
+
+    A byte takes 8 bits as it stands, so trees that spend more on a text know nothing of
+    it: noise, or a language not learned. Very short texts get 64 bits more, about what an
+    odd name or key in them costs. The others carry the language found."""
     model = langid.train(docs, learn=crc_mod(F.col("doc_id"), 4) != 2)
     found = langid.with_language(docs, model, to="_lang", score="_score", bits="_bits")
-    return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= 0.5)).withColumn("lang", F.col("_lang")).select(*docs.columns)
+    size = F.octet_length("text")
+    own = (F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= 0.5) & (F.col("_bits") * size <= 8 * size + 64)
+    return found.filter(own).withColumn("lang", F.col("_lang")).select(*docs.columns)
 
 
 def clean_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
