@@ -116,7 +116,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """All bytes of an Arrow string column in a row, and the offsets of its texts (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.fill_null("").cast(pa.large_string())
+    return text_bytes_of(column.fill_null("").cast(pa.large_string()))
+
+
+def text_bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a large string or large binary array without nulls."""
     n = len(column)
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, dtype=np.int64, count=column.offset + n + 1)[column.offset :]

@@ -17,18 +17,19 @@ import functools
 import heapq
 import math
 import operator
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import Kept, ship
+from splitscope.llm.common import Kept, range_numbers, run_strings, ship, text_bytes, text_bytes_of, windows
 
 SPACE = "▁"  # stands for a blank inside pieces
+_SIGN = "\ud800"  # stands for that sign itself where a text holds it; no text has lone surrogates
 _CACHE = 60_000  # words, and parts of words, in each half of what a worker keeps; more would only save time
 _ROWS = 512  # texts turned into one Arrow array
 _FIRST = operator.itemgetter(0)
@@ -91,6 +92,7 @@ class Lattice:
         self.parts: Kept = Kept(_CACHE)
         self.words: Kept = Kept(_CACHE)
         self.several: dict[str, Best] = {}
+        self.raw = pa.array([bytes([x]) if isinstance(x, int) else x.replace(SPACE, " ").encode() for x in self.text], pa.binary())
 
     def edges(self, part: str) -> tuple[list[list[tuple[float, int, float, tuple[int, ...]]]], float]:
         """Forward pass: for each position the pieces that end there, and the best score of all.
@@ -116,7 +118,7 @@ class Lattice:
                     if through > best[end]:
                         best[end] = through
             if not into[i + 1] or into[i + 1][-1][1] != i:  # the character is no piece
-                raw = (SPACE if part[i] == "\0" else part[i]).encode()
+                raw = (SPACE if part[i] == _SIGN else part[i]).encode()
                 through = here + self.byte_score * len(raw)
                 into[i + 1].append((through, i, self.byte_score * len(raw), tuple([self.bytes[b] for b in raw])))
                 best[i + 1] = max(best[i + 1], through)
@@ -159,6 +161,13 @@ class Lattice:
 
     def _word(self, word: str) -> tuple[bytes, float, float]:
         """Ids and score of a word's best segmentation, and the loss to its second."""
+        try:
+            return self.words[word]
+        except KeyError:
+            got = self.words[word] = self._best(word.replace(SPACE, _SIGN).replace(" ", SPACE))
+            return got
+
+    def _best(self, word: str) -> tuple[bytes, float, float]:
         found = []
         for part in self._cuts(word):
             try:
@@ -178,59 +187,83 @@ class Lattice:
         if got is None:
             if len(self.several) > _CACHE // 20:
                 self.several.clear()
-            got = self.several[word] = merge([self.search(p, self.n) for p in self._cuts(word)], self.n)
+            got = self.several[word] = merge([self.search(p, self.n) for p in self._cuts(word.replace(SPACE, _SIGN).replace(" ", SPACE))], self.n)
         return got
 
-    def encode(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The best ids (unsigned 32 bits in bytes) and the n best segmentations.
+    def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+        """Per text its best ids (unsigned 32 bits in bytes) and its n best segmentations.
 
         Each of these is a score with its changes to the best one, in order: place in the
-        best ids, number of ids replaced, ids in their stead.
+        best ids, number of ids replaced, ids in their stead. The words of a run of texts are
+        dictionary-encoded, so each distinct one is looked up once.
         """
-        text = (" " + text).replace(SPACE, "\0").replace(" ", SPACE) if text else ""
-        names = _WORD.findall(text) if self.by_word else [text] if text else []
-        kept = self.words
-        kept.turn()
-        self.parts.turn()
+        data, offsets = text_bytes(texts)
+        for lo, hi in windows(offsets):
+            part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            # a blank before every text that is not empty; a word is a run of blanks with what follows
+            filled = np.flatnonzero(np.diff(own))
+            part = np.insert(part, own[filled], 32)
+            own = own + np.searchsorted(filled, np.arange(hi - lo + 1))
+            begin = np.zeros(len(part), dtype=bool)
+            if self.by_word:
+                blank = part == 32
+                begin[1:] = blank[1:] & ~blank[:-1]
+            begin[own[filled]] = True
+            start = np.flatnonzero(begin)
+            text = np.searchsorted(own, start, side="right") - 1
+            words = run_strings(part, np.ones(len(part), bool), start, np.append(start[1:], len(part)))
+            self.words.turn()
+            self.parts.turn()
+            names = words.dictionary.to_pylist()
+            found = [self._word(w) for w in names]
+            code = words.indices.to_numpy(zero_copy_only=False)
+            size = np.array([len(f[0]) // 4 for f in found], dtype=np.int64)
+            score, loss = (np.array([f[i] for f in found])[code] if found else np.zeros(0) for i in (1, 2))
+            flat = np.frombuffer(b"".join([f[0] for f in found]), dtype="<u4")
+            ids = flat[range_numbers((np.cumsum(size) - size)[code], size[code])]
+            at = np.concatenate([[0], np.cumsum(size[code])])
+            first = np.searchsorted(text, np.arange(hi - lo + 1))
+            total = np.bincount(text, weights=score, minlength=hi - lo)
+            # only the words with the least losses can differ within the n best
+            order = np.lexsort((loss, text))
+            place = np.arange(len(order)) - first[text[order]]
+            few = np.sort(order[place < self.n - 1])
+            few_first = np.searchsorted(text[few], np.arange(hi - lo + 1))
+            for i in range(hi - lo):
+                begin_, end_ = at[first[i]], at[first[i + 1]]
+                own_few = few[few_first[i] : few_first[i + 1]].tolist()
+                lists = {k: self.nbest(names[code[k]]) for k in own_few}
+                ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+                for k in own_few:
+                    mine = lists[k]
+                    both = [(lost + mine[0][0] - s, (*chosen, (k, c)) if c else chosen) for lost, chosen in ways for c, (s, _) in enumerate(mine)]
+                    both.sort(key=_FIRST)
+                    ways = both[: self.n]
+                best = float(total[i])
+                yield ids[begin_:end_].tobytes(), [(best - lost, [(int(at[k] - begin_), int(size[code[k]]), lists[k][c][1]) for k, c in chosen]) for lost, chosen in ways]
+
+    def decode(self, raw: pa.Array) -> pa.Array:
+        """The texts of ids (unsigned 32 bits in bytes); bytes that are no valid UTF-8 become
+        replacement signs, null gives null."""
+        none = raw.is_null()
+        raw = raw.fill_null(b"").cast(pa.large_binary())
+        cut = np.frombuffer(raw.buffers()[1], dtype=np.int64, count=raw.offset + len(raw) + 1)[raw.offset :] // 4
+        held = raw.buffers()[2]
+        ids = np.frombuffer(held, dtype="<u4", count=len(held) // 4)[cut[0] : cut[-1]] if held is not None else np.zeros(0, "<u4")
+        pieces = self.raw.take(pa.array(ids.astype(np.int64))).cast(pa.large_binary())
+        data, offsets = text_bytes_of(pieces)
+        own = offsets[cut - cut[0]]
+        # the blank put before each text goes
+        filled = np.flatnonzero(np.diff(own))
+        extra = own[filled][data[own[filled]] == 32]
+        own = own - np.searchsorted(extra, own)
+        data = np.delete(data, extra)
+        out = pa.Array.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(np.ascontiguousarray(own)), pa.py_buffer(data)])
         try:
-            words = [kept[w] for w in names]
-        except KeyError:
-            for w in names:
-                if w not in kept and w not in kept.older:
-                    kept[w] = self._word(w)
-            words = [kept[w] for w in names]
-        total = sum([w[1] for w in words])
-        ids = b"".join([w[0] for w in words])
-        # only the words with the least losses can differ within the n best
-        loss = [w[2] for w in words]
-        last = heapq.nsmallest(self.n - 1, loss)[-1] if self.n > 1 and words else -1.0
-        below = [k for k, x in enumerate(loss) if x < last]
-        few = sorted(below + [k for k, x in enumerate(loss) if x == last][: self.n - 1 - len(below)])
-        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        lists = {k: self.nbest(names[k]) for k in few}
-        for k in few:
-            own = lists[k]
-            both = [(lost + own[0][0] - s, (*chosen, (k, c)) if c else chosen) for lost, chosen in ways for c, (s, _) in enumerate(own)]
-            both.sort(key=_FIRST)
-            ways = both[: self.n]
-        starts = {k: sum([len(w[0]) for w in words[:k]]) // 4 for k in few}
-        return ids, [(total - lost, [(starts[k], len(words[k][0]) // 4, lists[k][c][1]) for k, c in chosen]) for lost, chosen in ways]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that are no valid UTF-8 become replacement signs."""
-        if not len(ids):
-            return ""
-        text = self.text
-        found = [text[i] for i in ids.tolist()]
-        try:
-            out = "".join(found)
-        except TypeError:
-            out = b"".join([bytes([x]) if isinstance(x, int) else x.replace(SPACE, " ").encode() for x in found]).decode("utf-8", "replace")
-            return out.removeprefix(" ")
-        return out.replace(SPACE, " ").removeprefix(" ")
-
-
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+            out = out.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+        return pc.if_else(none, pa.scalar(None, pa.string()), out)
 
 
 def changed(ids: np.ndarray, changes: list[tuple[int, int, tuple[int, ...]]]) -> np.ndarray:
@@ -270,8 +303,7 @@ def with_pieces(docs: DataFrame, model: str, *, n: int = 4, to: str = "pieces")
         for texts in batches:
             for lo in range(0, len(texts), _ROWS):
                 found = []
-                for t in texts.slice(lo, _ROWS):
-                    ids, nbest = own.encode(t.as_py() or "")
+                for ids, nbest in own.encode(texts.slice(lo, _ROWS)):
                     found.append({"ids": ids, "nbest": [{"score": s, "changes": [{"at": a, "n": k, "ids": list(new)} for a, k, new in c]} for s, c in nbest]})
                 yield pa.array(found, kind)
 
@@ -286,6 +318,6 @@ def decoded(docs: DataFrame, model: str, ids: str, *, to: str = "decoded") -> Da
         own = lattice(model, 1)
         for raw in batches:
             for lo in range(0, len(raw), _ROWS):
-                yield pa.array([None if not r.is_valid else own.decode(np.frombuffer(r.as_py(), dtype="<u4")) for r in raw.slice(lo, _ROWS)], pa.string())
+                yield own.decode(raw.slice(lo, _ROWS))
 
     return docs.withColumn(to, F.arrow_udf(run, "string")(F.col(ids)))

@@ -253,7 +253,7 @@ def vocabulary():
 
 
 def _all_paths(own, text, n):
-    text = (" " + text).replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE) if text else ""
+    text = (" " + text).replace(pieces.SPACE, pieces._SIGN).replace(" ", pieces.SPACE) if text else ""
     into, _ = own.edges(text)
     out = []
 
@@ -271,13 +271,31 @@ def _all_paths(own, text, n):
 @settings(max_examples=120, deadline=None, derandomize=True)
 @given(st.text(alphabet=st.sampled_from(list("theranGoué 日\n.▁😀x")), max_size=9))
 def test_n_best_against_all_paths(vocabulary, text):
-    ids, nbest = vocabulary.encode(text)
+    ((ids, nbest),) = vocabulary.encode(pa.array([text]))
     best = np.frombuffer(ids, "<u4")
     want = _all_paths(vocabulary, text, 4)
     assert [s for s, _ in nbest] == pytest.approx([s for s, _ in want])
     found = [tuple(pieces.changed(best, c).tolist()) for _, c in nbest]
     assert len(set(found)) == len(found) and found[0] == tuple(best.tolist())
-    assert all(vocabulary.decode(np.array(f, dtype="<u4")) == text for f in found)
+    raw = pa.array([np.array(f, dtype="<u4").tobytes() for f in found], pa.binary())
+    assert vocabulary.decode(raw).to_pylist() == [text] * len(found)
+
+
+@settings(max_examples=80, deadline=None, derandomize=True)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from([*"ab the▁\0 \n日é😀\ufffd"]), max_size=25), max_size=6))
+def test_every_text_comes_back_from_its_pieces(vocabulary, texts):
+    """Also the sign that stands for blanks in pieces, and the character of number 0; alone or in a run of texts."""
+    column = pa.array(texts, pa.string())
+    found = list(vocabulary.encode(column))
+    assert found == [next(iter(vocabulary.encode(pa.array([t], pa.string())))) for t in texts]
+    raw = pa.array([None if t is None else ids for t, (ids, _) in zip(texts, found, strict=True)], pa.binary())
+    assert vocabulary.decode(raw).to_pylist() == texts
+    assert vocabulary.decode(raw.slice(1)).to_pylist() == texts[1:]
+
+
+def test_ids_of_broken_characters_decode_to_replacement_signs(vocabulary):
+    raw = pa.array([np.array([vocabulary.bytes[0xE2], vocabulary.bytes[0x41]], "<u4").tobytes(), b""], pa.binary())
+    assert vocabulary.decode(raw).to_pylist() == ["\ufffdA", ""]
 
 
 def test_pieces_of_odd_rows(spark, odd_docs, no_docs, clashing):
