@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from splitscope.llm.common import materialize, ship, slices, text_bytes, unit
 
 UNKNOWN = "und"
-_WINDOW = 1 << 19  # bytes worked on at once
+_WINDOW = 1 << 18  # bytes worked on at once
 
 
 def lowered(texts: pa.Array) -> pa.Array:

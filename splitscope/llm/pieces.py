@@ -190,6 +190,13 @@ class Lattice:
             got = self.several[word] = merge([self.search(p, self.n) for p in self._cuts(word.replace(SPACE, _SIGN).replace(" ", SPACE))], self.n)
         return got
 
+    def forget(self) -> None:
+        """Give back what is kept of words at the end of a task: the worker lives on, also in other jobs."""
+        for kept in (self.words, self.parts):
+            kept.clear()
+            kept.older = {}
+        self.several.clear()
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
         """Per text its best ids (unsigned 32 bits in bytes) and its n best segmentations.
 
@@ -306,6 +313,7 @@ def with_pieces(docs: DataFrame, model: str, *, n: int = 4, to: str = "pieces")
                 for ids, nbest in own.encode(texts.slice(lo, _ROWS)):
                     found.append({"ids": ids, "nbest": [{"score": s, "changes": [{"at": a, "n": k, "ids": list(new)} for a, k, new in c]} for s, c in nbest]})
                 yield pa.array(found, kind)
+        own.forget()
 
     return docs.withColumn(to, F.arrow_udf(run, ENCODED)(F.col("text")))
 
