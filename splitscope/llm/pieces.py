@@ -7,8 +7,14 @@ takes these scores as its heuristic: they are exact, so paths leave the search i
 order of their total score, and the n-th to leave is the n-th best segmentation.
 
 Where no piece of the vocabulary holds two neighbouring characters, every path has a cut
-between them. The lattice falls apart there, so each distinct part is searched once and
-the n best of a text follow from the n best of its parts, without loss.
+between them. The lattice falls apart there, and the n best of a text follow from the n
+best of its words, without loss.
+
+The forward pass runs over all distinct words of a run of texts at once, as arrays: the
+vocabulary's trie is a sorted table of transitions, and all positions that are equally far
+from the begin of their part are settled together. It also gives the second-best score of
+each word. The words of a text that lose least by their second way are the only ones in
+which its n best can differ; the A* search runs on these.
 """
 
 from __future__ import annotations
@@ -17,7 +23,6 @@ import functools
 import heapq
 import math
 import operator
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import Kept, range_numbers, run_strings, ship, text_bytes, text_bytes_of, windows
+from splitscope.llm.common import range_numbers, run_strings, ship, text_bytes, text_bytes_of, windows
 
 SPACE = "▁"  # stands for a blank inside pieces
 _SIGN = "\ud800"  # stands for that sign itself where a text holds it; no text has lone surrogates
-_CACHE = 60_000  # words, and parts of words, in each half of what a worker keeps; more would only save time
+_CACHE = 3_000  # words whose n best a worker keeps within a task; more would only save time
+_SIGNS = 1 << 18  # characters of words in one forward pass
 _ROWS = 512  # texts turned into one Arrow array
 _FIRST = operator.itemgetter(0)
 
@@ -48,6 +54,12 @@ def merge(lists: list[Best], n: int) -> Best:
     return out
 
 
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class Lattice:
     """A SentencePiece vocabulary as a lattice: pieces, log-probabilities, byte pieces.
 
@@ -89,8 +101,23 @@ class Lattice:
         self.joined = {p[k : k + 2] for p in self.vocabulary for k in range(len(p) - 1)}
         # a text can be cut before every run of blanks if no piece goes from another sign to a blank
         self.by_word = not any(j[1] == SPACE and j[0] != SPACE for j in self.joined)
-        self.parts: Kept = Kept(_CACHE)
-        self.words: Kept = Kept(_CACHE)
+        # the same trie as a table: (state, sign) to the next state; what ends in a state, or -1
+        states: dict[tuple[int, str], int] = {}
+        ends: list[tuple[int, int, float]] = []
+        for piece, (i, score) in self.vocabulary.items():
+            at = 0
+            for sign in piece:
+                at = states.setdefault((at, sign), len(states) + 1)
+            ends.append((at, i, score))
+        keys = np.array([(at << 21) | ord(sign) for at, sign in states], dtype=np.int64)
+        order = np.argsort(keys)
+        self._keys, self._next = keys[order], np.array(list(states.values()), dtype=np.int32)[order]
+        self._id, self._score = np.full(len(states) + 1, -1, dtype=np.int32), np.zeros(len(states) + 1)
+        for at, i, score in ends:
+            self._id[at], self._score[at] = i, score
+        self._longest = max(map(len, self.vocabulary))
+        self._pairs = np.sort(np.array([(ord(a) << 21) | ord(b) for a, b in self.joined] or [-1], dtype=np.int64))
+        self._byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)], dtype=np.int32)
         self.several: dict[str, Best] = {}
         self.raw = pa.array([bytes([x]) if isinstance(x, int) else x.replace(SPACE, " ").encode() for x in self.text], pa.binary())
 
@@ -159,42 +186,113 @@ class Lattice:
         cuts += [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined]
         return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
 
-    def _word(self, word: str) -> tuple[bytes, float, float]:
-        """Ids and score of a word's best segmentation, and the loss to its second."""
-        try:
-            return self.words[word]
-        except KeyError:
-            got = self.words[word] = self._best(word.replace(SPACE, _SIGN).replace(" ", SPACE))
-            return got
-
-    def _best(self, word: str) -> tuple[bytes, float, float]:
-        found = []
-        for part in self._cuts(word):
-            try:
-                got = self.parts[part]
-            except KeyError:
-                two = self.search(part, 2)
-                got = array("I", two[0][1]).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf
-                self.parts[part] = got
-            found.append(got)
-        if len(found) == 1:
-            return found[0]
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
+    def best(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words (UTF-8 bytes with offsets): ids in a row, number of ids, score of the best
+        way, and the loss to the second (infinite where there is none)."""
+        own = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        signs = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        signs[signs == ord(SPACE)] = ord(_SIGN)
+        signs[signs == 32] = ord(SPACE)
+        # parts: words cut where no piece joins two signs
+        cut = np.ones(len(signs), dtype=bool)
+        cut[1:] = ~_found(self._pairs, (signs[:-1] << 21) | signs[1:])[1]
+        cut[own[:-1][np.diff(own) > 0]] = True
+        first = np.append(np.flatnonzero(cut), len(signs))
+        done = [self._forward(signs[first[lo] : first[hi]], first[lo : hi + 1] - first[lo]) for lo, hi in windows(first, _SIGNS)]
+        ids, size, score, loss = (np.concatenate([d[i] for d in done] or [np.zeros(0, np.int64)]) for i in range(4))
+        word = np.searchsorted(own, first[:-1], side="right") - 1
+        n = len(offsets) - 1
+        least = np.full(n, math.inf)
+        np.minimum.at(least, word, loss)
+        return ids, np.bincount(word, weights=size, minlength=n).astype(np.int64), np.bincount(word, weights=score, minlength=n), least
+
+    def _forward(self, signs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward pass over parts, none of them empty: ids in a row, and of each part number
+        of ids, best score, loss to the second. Of equal paths the one of ``search`` wins."""
+        n, parts = len(signs), len(own) - 1
+        part = np.repeat(np.arange(parts), np.diff(own))
+        stop = own[part + 1]
+        # all pieces in all parts: walk the trie from every position at once
+        at, state, depth = np.arange(n), np.zeros(n, dtype=np.int64), 0
+        single = np.zeros(n, dtype=bool)
+        begins, lengths, states = [], [], []
+        while len(at):
+            j, hit = _found(self._keys, (state << 21) | signs[at + depth])
+            at, state, depth = at[hit], self._next[j[hit]].astype(np.int64), depth + 1
+            held = self._id[state] >= 0
+            begins.append(at[held])
+            lengths.append(np.full(len(begins[-1]), depth))
+            states.append(state[held])
+            if depth == 1:
+                single[begins[0]] = True
+            more = at + depth < stop[at]
+            at, state = at[more], state[more]
+        raw = np.flatnonzero(~single)  # signs that are no piece: their bytes
+        char = np.where(signs[raw] == ord(_SIGN), ord(SPACE), signs[raw])
+        width = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
+        state, begin = np.concatenate(states), np.concatenate([*begins, raw])
+        length = np.concatenate([*lengths, np.ones(len(raw), np.int64)])
+        score = np.concatenate([self._score[state], self.byte_score * width])
+        name = np.concatenate([self._id[state].astype(np.int64), -1 - np.arange(len(raw))])
+        # nodes: the places before, between and behind the signs of each part; by distance from
+        # its begin, then place, then longer pieces first
+        distance = begin + length - own[part[begin]]
+        source = begin + part[begin]
+        order = np.argsort(((distance * (n + parts) + source + length) * (self._longest + 1)) - length)
+        distance, source, score, name = distance[order], source[order], score[order], name[order]
+        target = source + length[order]
+        fresh = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+        step = np.searchsorted(distance, np.arange(1, distance[-1] + 2))
+        group = np.searchsorted(fresh, step)
+        best, second = np.full(n + parts, -math.inf), np.full(n + parts, -math.inf)
+        back = np.zeros(n + parts, dtype=np.int64)
+        best[own[:-1] + np.arange(parts)] = 0
+        for lo, hi, a, b in zip(step[:-1].tolist(), step[1:].tolist(), group[:-1].tolist(), group[1:].tolist(), strict=True):
+            begin, own_score, edge = source[lo:hi], score[lo:hi], fresh[a:b] - lo
+            through = best[begin] + own_score
+            top = np.maximum.reduceat(through, edge)
+            # of equal ones the last, which begins last
+            same = np.where(through == np.repeat(top, np.diff(np.append(edge, hi - lo))), np.arange(hi - lo), -1)
+            chosen = np.maximum.reduceat(same, edge)
+            through[chosen] = second[begin[chosen]] + own_score[chosen]
+            node = target[lo + edge]
+            best[node], second[node], back[node] = top, np.maximum.reduceat(through, edge), lo + chosen
+        # back along the best paths of all parts
+        last = own[1:] + np.arange(parts)
+        node, which, taken, whose = last, np.arange(parts), [], []
+        while len(which):
+            edge = back[node]
+            taken.append(edge)
+            whose.append(which)
+            node = source[edge]
+            more = node > own[which] + which
+            node, which = node[more], which[more]
+        taken, whose = np.concatenate(taken[::-1]), np.concatenate(whose[::-1])
+        taken = taken[np.argsort(whose, kind="stable")]
+        name = name[taken]
+        size = np.ones(len(name), dtype=np.int64)
+        size[name < 0] = width[-1 - name[name < 0]]
+        ids = np.repeat(name, size)
+        spread = np.flatnonzero(ids < 0)
+        if len(spread):
+            char, wide = char[-1 - ids[spread]], width[-1 - ids[spread]]
+            k = spread - np.repeat(np.cumsum(size) - size, size)[spread]
+            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[wide] | (char >> (6 * (wide - 1)))
+            ids[spread] = self._byte_ids[np.where(k == 0, lead, 0x80 | ((char >> (6 * np.maximum(wide - 1 - k, 0))) & 0x3F))]
+        counts = np.bincount(np.sort(whose), weights=size, minlength=parts).astype(np.int64)
+        return ids.astype("<u4"), counts, best[last], best[last] - second[last]
 
     def nbest(self, word: str) -> Best:
         """The n best segmentations of a word."""
         got = self.several.get(word)
         if got is None:
-            if len(self.several) > _CACHE // 20:
+            if len(self.several) > _CACHE:
                 self.several.clear()
             got = self.several[word] = merge([self.search(p, self.n) for p in self._cuts(word.replace(SPACE, _SIGN).replace(" ", SPACE))], self.n)
         return got
 
     def forget(self) -> None:
         """Give back what is kept of words at the end of a task: the worker lives on, also in other jobs."""
-        for kept in (self.words, self.parts):
-            kept.clear()
-            kept.older = {}
         self.several.clear()
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
@@ -219,14 +317,10 @@ class Lattice:
             start = np.flatnonzero(begin)
             text = np.searchsorted(own, start, side="right") - 1
             words = run_strings(part, np.ones(len(part), bool), start, np.append(start[1:], len(part)))
-            self.words.turn()
-            self.parts.turn()
-            names = words.dictionary.to_pylist()
-            found = [self._word(w) for w in names]
+            names = words.dictionary
             code = words.indices.to_numpy(zero_copy_only=False)
-            size = np.array([len(f[0]) // 4 for f in found], dtype=np.int64)
-            score, loss = (np.array([f[i] for f in found])[code] if found else np.zeros(0) for i in (1, 2))
-            flat = np.frombuffer(b"".join([f[0] for f in found]), dtype="<u4")
+            flat, size, score, loss = self.best(*text_bytes(names))
+            score, loss = score[code], loss[code]
             ids = flat[range_numbers((np.cumsum(size) - size)[code], size[code])]
             at = np.concatenate([[0], np.cumsum(size[code])])
             first = np.searchsorted(text, np.arange(hi - lo + 1))
@@ -239,7 +333,7 @@ class Lattice:
             for i in range(hi - lo):
                 begin_, end_ = at[first[i]], at[first[i + 1]]
                 own_few = few[few_first[i] : few_first[i + 1]].tolist()
-                lists = {k: self.nbest(names[code[k]]) for k in own_few}
+                lists = {k: self.nbest(names[code[k]].as_py()) for k in own_few}
                 ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
                 for k in own_few:
                     mine = lists[k]
@@ -308,11 +402,13 @@ def with_pieces(docs: DataFrame, model: str, *, n: int = 4, to: str = "pieces")
         change = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
         kind = pa.struct([("ids", pa.binary()), ("nbest", pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])))])
         for texts in batches:
-            for lo in range(0, len(texts), _ROWS):
-                found = []
-                for ids, nbest in own.encode(texts.slice(lo, _ROWS)):
-                    found.append({"ids": ids, "nbest": [{"score": s, "changes": [{"at": a, "n": k, "ids": list(new)} for a, k, new in c]} for s, c in nbest]})
-                yield pa.array(found, kind)
+            found = []
+            for ids, nbest in own.encode(texts):
+                found.append({"ids": ids, "nbest": [{"score": s, "changes": [{"at": a, "n": k, "ids": list(new)} for a, k, new in c]} for s, c in nbest]})
+                if len(found) == _ROWS:
+                    yield pa.array(found, kind)
+                    found = []
+            yield pa.array(found, kind)
         own.forget()
 
     return docs.withColumn(to, F.arrow_udf(run, ENCODED)(F.col("text")))

@@ -307,3 +307,18 @@ def test_pieces_of_odd_rows(spark, odd_docs, no_docs, clashing):
         assert 1 <= len(scores) <= 3 and scores == sorted(scores, reverse=True)
         assert (r["text"] or len(r["ids"]) == 0) and (r["text"] or scores == [0.0])
     assert pieces.with_pieces(no_docs, MODEL).count() == 0
+
+
+def test_forward_pass_of_many_words_against_the_search_of_each(vocabulary):
+    words = ["", " the", " thermodynamics", "   ", " a▁b", " \x00", " héllo", " 日本語テキスト", " \U0001f600\U0001f600", " " + "ab" * 300, " x", "퟿", " the"]
+    raw = [w.encode() for w in words]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    ids, size, score, loss = vocabulary.best(data, offsets)
+    end = np.cumsum(size)
+    for i, w in enumerate(words):
+        two = vocabulary.nbest(w)[:2]
+        assert ids[end[i] - size[i] : end[i]].tolist() == list(two[0][1])
+        assert score[i] == pytest.approx(two[0][0])
+        assert loss[i] == pytest.approx(two[0][0] - two[1][0], abs=1e-9) if len(two) > 1 else loss[i] == math.inf
+    ids, size, score, loss = vocabulary.best(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    assert len(ids) == len(size) == len(score) == len(loss) == 0
