@@ -36,7 +36,7 @@ from splitscope.llm.common import range_numbers, run_strings, ship, text_bytes,
 SPACE = "▁"  # stands for a blank inside pieces
 _SIGN = "\ud800"  # stands for that sign itself where a text holds it; no text has lone surrogates
 _CACHE = 3_000  # words whose n best a worker keeps within a task; more would only save time
-_SIGNS = 1 << 18  # characters of words in one forward pass
+_SIGNS = 1 << 17  # characters of words in one forward pass
 _ROWS = 512  # texts turned into one Arrow array
 _FIRST = operator.itemgetter(0)
 
