@@ -131,6 +131,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": r"""
+WITH payloads AS (
+  SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+), digests AS (
+  -- base32: every 5 hexadecimal digits are 20 bits, four signs of 5 bits
+  SELECT payload, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest
+  FROM (SELECT payload, sha1(payload) AS h FROM (SELECT DISTINCT payload FROM payloads))
+), numbered AS (
+  SELECT page_id, payload, row_number() OVER w AS nth, first_value(page_id) OVER w AS top FROM payloads
+  WINDOW w AS (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN top END AS refers_to
+FROM numbered JOIN digests USING (payload)
+""",
     "op11_collocations": rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
