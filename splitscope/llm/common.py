@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -104,12 +105,29 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+@functools.cache
+def _trim():
+    """malloc_trim of the C library, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda keep: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, also in other jobs,
+    and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches, rows: int = 1024):
     """The arrays or record batches cut into shorter ones, so that what a task makes of one stays small."""
     for b in batches:
         for lo in range(0, max(len(b), 1), rows):
             yield b.slice(lo, rows)
-        pa.default_memory_pool().release_unused()
+        give_back()
+    give_back()
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import range_numbers, run_strings, ship, text_bytes, text_bytes_of, windows
+from splitscope.llm.common import give_back, range_numbers, run_strings, ship, text_bytes, text_bytes_of, windows
 
 SPACE = "▁"  # stands for a blank inside pieces
 _SIGN = "\ud800"  # stands for that sign itself where a text holds it; no text has lone surrogates
@@ -294,6 +294,7 @@ class Lattice:
     def forget(self) -> None:
         """Give back what is kept of words at the end of a task: the worker lives on, also in other jobs."""
         self.several.clear()
+        give_back()
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
         """Per text its best ids (unsigned 32 bits in bytes) and its n best segmentations.

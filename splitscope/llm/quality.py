@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from splitscope.llm.common import run_hashes, ship, slices, text_bytes
 
-_WINDOW = 1 << 20  # bytes of text worked on at once
+_WINDOW = 1 << 19  # bytes of text worked on at once
 
 # Bytes by kind: 0 white space, 1 part of a word, 2 a sign that is a token of its own.
 _KIND = np.full(256, 1, dtype=np.int8)
