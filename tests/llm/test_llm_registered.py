@@ -1,0 +1,87 @@
+"""The registered queries over a whole small table, against SQL or brute force."""
+
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+import tokenizers
+import xxhash
+from llm_tables import SF01
+from splitscope.llm import queries
+from splitscope.llm.queries import tokenizer_path
+
+SF = SF01.replace("sf0.01", "sf0.001")
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_registered_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    rel = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(rel.columns)
+    assert Counter(map(tuple, got.select(*rel.columns).collect())) == Counter(rel.fetchall())
+
+
+def test_op1_sizes_and_amounts(spark, texts):
+    rows = queries.op1_mixing(spark, SF).collect()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
+    assert {r["doc_id"]: r["size"] for r in rows} == size
+    assert all(0 <= r["taken"] <= 3 * r["size"] and r["target"] <= 3 * r["source_size"] + 1e-6 for r in rows)
+    assert sum({(r["source_size"], r["target"]): r["target"] for r in rows}.values()) <= sum(size.values()) + 1e-3
+
+
+def test_op2_fingerprints_and_classes(spark, texts):
+    rows = {r["doc_id"]: r for r in queries.op2_simhash(spark, SF).collect()}
+    bits = {}
+    for i, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        bits[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert {i: r["fingerprint"] for i, r in rows.items()} == {i: f"{b:016x}" for i, b in bits.items()}
+    least = {i: i for i in bits}
+    moved = True
+    while moved:
+        moved = False
+        for i in bits:
+            for j in bits:
+                if (bits[i] ^ bits[j]).bit_count() <= 3 and least[j] < least[i]:
+                    least[i], moved = least[j], True
+    assert {i: r["component_id"] for i, r in rows.items()} == least
+
+
+def test_op4_sizes_counts_and_slots(spark, texts):
+    rows = queries.op4_sharding(spark, SF).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()}
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(24)) or len(rows) < 24
+    assert max(counts.values()) - min(counts.get(s, 0) for s in range(24)) <= 1
+    for s, n in counts.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n))
+
+
+def test_op9_texts_come_back(spark, texts):
+    rows = queries.op9_pieces(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and all(r["round_trip"] for r in rows)
+    assert all(list(r["scores"]) == sorted(r["scores"], reverse=True) for r in rows)
+
+
+def test_op10_ids_of_the_library(spark, texts):
+    library = tokenizers.Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rows = {r["doc_id"]: r for r in queries.op10_token_ids(spark, SF).collect()}
+    start = 0
+    for i in sorted(texts):
+        ids = [*library.encode(texts[i], add_special_tokens=False).ids, 2]
+        raw = b"".join(x.to_bytes(4, "little") for x in ids)
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(raw))
+        start += len(ids)
+    assert len(rows) == len(texts)
