@@ -2,10 +2,13 @@
 
 The words of each source form one stream, packed into blocks of fixed length. Output
 shards have a fixed number of slots; how many of them each source fills is drawn per
-shard from a multinomial (the whole part of the expected count is certain, the rest is
-drawn). The n-th slot of a source takes block ``perm(n mod blocks)`` of its stream, where
-``perm`` is a pseudorandom permutation of the block numbers, another one for each pass
-over the source. Slots and blocks meet in a join by block number.
+shard. The counts are those of multinomial draws by the targets' shares, one for each
+shard, given that over all shards they add up to the slots the sources' targets call for:
+then no draw can fall on a source whose blocks are used up, no slot stays empty, and each
+source comes as near its target as whole blocks allow. The n-th slot of a source takes
+block ``perm(n mod blocks)`` of its stream, where ``perm`` is a pseudorandom permutation of
+the block numbers, another one for each pass over the source. Slots and blocks meet in a
+join by block number.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitscope.llm.common import WORD, materialize, ship, word_count
+from splitscope.llm.sharding import draw_row
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -79,16 +83,29 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     )
 
 
-def shard_counts(expected: np.ndarray, shards: int, shard: int, seed: int) -> np.ndarray:
-    """Slots of each source in one shard: whole part of the expected count, the rest multinomial."""
-    mean = expected / shards
-    whole = np.floor(mean)
-    rest = mean - whole
-    total = float(rest.sum())
-    extra = math.floor((shard + 1) * total + 1e-9) - math.floor(shard * total + 1e-9)
-    if extra <= 0:
-        return whole.astype(np.int64)
-    return whole.astype(np.int64) + np.random.default_rng([seed, shard]).multinomial(extra, rest / total)
+def shard_counts(slots: list[int], shards: int, first: int, last: int, seed: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """Per shard from ``first`` to ``last``: slots of each source, and those of all shards before it.
+
+    ``slots`` are the sources' slots in all ``shards``, whose sizes differ by one at most.
+    The range of shards is halved again and again, and what each half takes of every
+    source is drawn without replacement (multinomial draws, given their sums), with a
+    generator seeded by the range: tasks that meet the same range draw the same numbers,
+    and none draws for shards it does not need.
+    """
+    edge = lambda s: s * sum(slots) // shards
+
+    def halves(lo: int, hi: int, counts: list[int], before: list[int]) -> Iterator[tuple[int, list[int], list[int]]]:
+        if hi <= first or lo > last:
+            return
+        if hi - lo == 1:
+            yield lo, counts, before
+            return
+        mid = (lo + hi) // 2
+        left = draw_row(np.random.default_rng([seed, lo, hi]), counts, edge(mid) - edge(lo))
+        yield from halves(lo, mid, left, before)
+        yield from halves(mid, hi, [c - n for c, n in zip(counts, left, strict=True)], [c + n for c, n in zip(before, left, strict=True)])
+
+    yield from halves(0, shards, slots, [0] * len(slots))
 
 
 class Mix:
@@ -164,23 +181,22 @@ def mix(
     sizes = np.array([r["source_size"] for r in known], dtype=np.float64)
     blocks = np.ceil(sizes / block).astype(np.int64)
     expected = np.array([r["target"] for r in known], dtype=np.float64) * blocks / np.maximum(sizes, 1)
-    shards = max(1, math.ceil(float(expected.sum()) / shard_slots))
+    wanted = [int(n) for n in np.minimum(np.rint(expected).astype(np.int64), blocks * cap)]
+    shards = max(1, math.ceil(sum(wanted) / shard_slots))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard in b["id"]:
-                n = shard_counts(expected, shards, int(shard), seed)
-                yield pd.DataFrame({"shard": shard, "source_no": np.arange(len(n)), "slots": n, "_from": np.cumsum(n) - n, "_all": n.sum(), "_blocks": blocks})
+            if len(b):
+                for shard, counts, before in shard_counts(wanted, shards, int(b["id"].min()), int(b["id"].max()), seed):
+                    n = np.array(counts, dtype=np.int64)
+                    yield pd.DataFrame({"shard": shard, "source_no": np.arange(len(n)), "slots": n, "_first": before, "_from": np.cumsum(n) - n, "_all": n.sum(), "_blocks": blocks})
 
-    drawn = spark.range(shards).mapInPandas(draw, "shard bigint, source_no bigint, slots bigint, _from bigint, _all bigint, _blocks bigint").filter("slots > 0")
-    earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = spark.range(shards).mapInPandas(draw, "shard bigint, source_no bigint, slots bigint, _first bigint, _from bigint, _all bigint, _blocks bigint").filter("slots > 0")
     key: Column = F.xxhash64(F.lit(seed), "source_no", "pass_no")
     slots = (
-        drawn.withColumn("_nth", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
-        .repartition(max(1, shards // 16), "shard")
+        drawn.repartition(max(1, shards // 16), "shard")
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        .withColumn("_nth", F.col("_nth") + F.col("_i"))
-        .filter(F.col("_nth") < F.col("_blocks") * F.lit(cap))
+        .withColumn("_nth", F.col("_first") + F.col("_i"))
         .withColumn("pass_no", F.expr("_nth div _blocks"))
         .withColumn("block", place(F.col("_nth") % F.col("_blocks"), F.col("_blocks"), key))
         .withColumn("slot", place(F.col("_from") + F.col("_i"), F.col("_all"), F.xxhash64(F.lit(seed + 1), "shard")))

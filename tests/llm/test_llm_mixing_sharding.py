@@ -38,11 +38,25 @@ def test_permutation_is_a_bijection():
 
 
 def test_shard_counts_add_up():
-    expected = np.array([10.5, 0.25, 3.75, 100.0])
-    counts = [mixing.shard_counts(expected, 7, s, 42) for s in range(7)]
-    assert sum(c.sum() for c in counts) == int(expected.sum())
-    assert (abs(sum(counts) - expected) < 7).all()
-    assert all((c >= np.floor(expected / 7)).all() for c in counts)
+    slots = [10, 0, 3, 100, 1]
+    rows = list(mixing.shard_counts(slots, 7, 0, 6, 42))
+    assert [r[0] for r in rows] == list(range(7))
+    assert [sum(c) for c in zip(*(r[1] for r in rows), strict=True)] == slots
+    sizes = [sum(r[1]) for r in rows]
+    assert max(sizes) - min(sizes) <= 1
+    for s, _, before in rows:
+        assert before == [sum(r[1][i] for r in rows[:s]) for i in range(len(slots))]
+    assert list(mixing.shard_counts(slots, 7, 3, 4, 42)) == rows[3:5]  # any task draws the same
+    assert list(mixing.shard_counts([], 1, 0, 0, 42)) == [(0, [], [])]
+
+
+def test_every_count_is_drawn():
+    # 64 shards of 100 slots, a fifth, a tenth and the rest: spread as draws without replacement are
+    slots = [1280, 640, 4480]
+    got = np.array([c for seed in range(40) for _, c, _ in mixing.shard_counts(slots, 64, 0, 63, seed)])
+    for i, share in enumerate((0.2, 0.1, 0.7)):
+        assert got[:, i].mean() == pytest.approx(100 * share)
+        assert got[:, i].var() == pytest.approx(100 * share * (1 - share) * 6300 / 6399, rel=0.12)
 
 
 def test_mix_against_brute_force(spark):
@@ -66,6 +80,10 @@ def test_mix_against_brute_force(spark):
     assert all(len(v) == 1 for v in slots.values())
     taken = [next(iter(v)) for v in slots.values()]
     assert len(taken) == len(set(taken))
+    # no shard has a hole
+    for shard in {s["shard"] for s in spans}:
+        own = {slot for of, slot in slots if of == shard}
+        assert own == set(range(len(own)))
     for no in {r["source_no"] for r in got.values()}:
         own = [r for r in got.values() if r["source_no"] == no]
         assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.15)
