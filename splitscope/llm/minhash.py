@@ -102,26 +102,35 @@ def likeness(a: Column, b: Column, *, bins: int = 256) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (equal / F.lit(float(bins)) - F.lit(chance)) / F.lit(1 - chance)))
 
 
-def range_number(docs: DataFrame, *, range_rows: int = 2048) -> Column:
+def range_number(docs: DataFrame, *, range_rows: int = 2048, most_bounds: int = 4096) -> Column:
     """Number of a row's range of ids, rising with doc_id, about ``range_rows`` rows in each.
 
     The bounds are approximate quantiles of the ids themselves, so ids may lie as unevenly
-    as they like; only rows of one id always share a range. Null ids have negative
-    numbers, by the hash of ``text``.
+    as they like; only rows of one id always share a range. At most ``most_bounds`` of
+    them go into the plan: where more ranges are wanted, the ids between two bounds are
+    parted evenly by value. Null ids have negative numbers, by the hash of ``text``.
     """
     ranges = max(1, math.ceil(docs.count() / range_rows))
     mark = F.xxhash64("text")
     number = F.lit(0)
     if ranges > 1:
+        shares = min(ranges, most_bounds)
+        parts = math.ceil(ranges / shares)
         # lists go in as one literal: an expression for each of their items would be slow to plan
-        shares = F.split(F.lit(",".join(repr(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
-        found = docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 8 * ranges))).alias("b")).first()["b"]
-        bounds = sorted(set(found or []))
-        if bounds:
+        wanted = F.split(F.lit(",".join(repr(i / shares) for i in range(1, shares))), ",").cast("array<double>")
+        found = docs.agg(F.percentile_approx("doc_id", wanted, F.lit(max(10_000, 8 * shares))).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+        if found["b"]:
+            bounds = sorted({max(found["lo"] - 1, -(1 << 63)), *found["b"], found["hi"]})
             table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
             steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
             # binary search for the number of bounds below the id; beyond the end get() is null
-            number = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+            below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+            number = below
+            if parts > 1:
+                edge = lambda at: F.get(table, at).cast("double")
+                inside = lambda at: (F.col("doc_id").cast("double") - edge(at - 1)) / F.nullif(edge(at) - edge(at - 1), F.lit(0.0))
+                part = lambda at: F.coalesce(F.least(F.lit(parts - 1), F.floor(inside(at) * parts).cast("int")), F.lit(0))
+                number = _let(below.cast("int"), lambda at: at.cast("long") * parts + part(at))
     return F.when(F.col("doc_id").isNull(), -1 - F.pmod(mark, F.lit(ranges))).otherwise(number).cast("long")
 
 
@@ -130,26 +139,26 @@ def with_next(docs: DataFrame, carried: list[str], *, range_rows: int = 2048) ->
 
     After the last row comes the first. Rows are cut into ranges of ids of about
     ``range_rows`` rows, each ordered by itself; only the first row of each range meets the
-    last row of the range before it, so no task holds more than a range, and only the
-    range numbers are ordered as a whole. Equal doc_ids follow by the hash of ``text``; null
-    doc_ids come last, in ranges by that hash.
+    last row of the range before it, so no task holds more than a range. Ranges find the next
+    one in blocks of 1,024 of them; only the blocks are ordered as a whole. Texts move once:
+    the first rows are taken from the exchange that the ranges are ordered from. Equal doc_ids
+    follow by the hash of ``text``; null doc_ids come last, in ranges by that hash.
     """
-    mark = F.xxhash64("text")
     number = range_number(docs, range_rows=range_rows)
-    # the first row of each range by its key alone, so that only these rows' texts move for it
-    first = docs.groupBy(number.alias("_range")).agg(F.max(F.struct("doc_id", F.bitwise_not(mark).alias("m"))).alias("k"))
-    down = Window.orderBy(F.col("_range").desc())
+    ranges = docs.select(number.alias("_range")).distinct().withColumn("_block", F.shiftright("_range", 10))
+    blocks = ranges.groupBy("_block").agg(F.max("_range").alias("_top"))
+    down = Window.orderBy(F.col("_block").desc())
     every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    turn = first.select(
-        "_range",
-        F.coalesce(F.lead("k").over(down), F.first("k").over(every)).alias("k"),
-    ).select("_range", F.col("k.doc_id").alias("_head_id"), F.bitwise_not("k.m").alias("_head_mark"))
-    rows = docs.select("doc_id", *carried, mark.alias("_mark"))
-    same = rows["doc_id"].eqNullSafe(turn["_head_id"]) & (rows["_mark"] == turn["_head_mark"])
-    donors = turn.join(rows, same).groupBy("_range").agg(*[F.first(c).alias(f"_head_{c}") for c in carried])
-
-    base = docs.select("doc_id", *carried, mark.alias("_mark"), number.alias("_range"))
+    blocks = blocks.withColumn("_below", F.coalesce(F.lead("_top").over(down), F.first("_top").over(every)))
+    within = Window.partitionBy("_block").orderBy(F.col("_range").desc())
+    turn = ranges.withColumn("_then", F.lead("_range").over(within)).join(blocks, "_block").select("_range", F.coalesce("_then", "_below").alias("_then"))
+
+    base = docs.select("doc_id", *carried, F.xxhash64("text").alias("_mark"), number.alias("_range"))
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "_mark")
+    # not by row_number() = 1, which would be limited before the exchange: another exchange then
+    heads = base.withColumn("_head", F.lag("_mark").over(order).isNull()).filter("_head")
+    heads = heads.select(F.col("_range").alias("_then"), *[F.col(c).alias(f"_head_{c}") for c in carried])
+    donors = turn.join(heads, "_then").drop("_then")
     ordered = base.withColumns({"_last": F.lead("_mark").over(order).isNull(), **{f"_next_{c}": F.lead(c).over(order) for c in carried}})
     following = F.struct(*[F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"_next_{c}")).alias(c) for c in carried])
     return ordered.join(donors, "_range").withColumn("next", following).select("doc_id", *carried, "next")

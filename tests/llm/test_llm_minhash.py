@@ -86,6 +86,29 @@ def test_ranges_follow_the_ids(spark):
         assert got == {a: f"t{b}" for a, b in zip(down, [*down[1:], down[0]])}
 
 
+def test_few_bounds_part_the_ids_between_them(spark):
+    ids = [-(2**63), 2**63 - 1, *range(-500, 2500), *range(10**6, 10**9, 10**7)]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    numbers = {}
+    for most in (2, 5, 4096):
+        rows = docs.select("doc_id", minhash.range_number(docs, range_rows=50, most_bounds=most).alias("r")).collect()
+        numbers[most] = [r["r"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+        assert numbers[most] == sorted(numbers[most])
+    # a range is never larger than what lies between two bounds
+    assert max(numbers[5].count(k) for k in set(numbers[5])) <= len(ids) / 5 * 1.1
+    assert len(set(numbers[4096])) > 50
+
+
+def test_texts_move_once(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('t', id, ' '), 40) AS text")
+    out = minhash.with_next(docs, ["text"], range_rows=100)
+    out.write.format("noop").mode("overwrite").save()
+    out.collect()
+    plan = _plan(out)
+    final = plan.split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+
+
 def test_equal_texts_empty_tables_and_plan(spark, clashing, no_docs):
     same = spark.createDataFrame([(i, "a b c d e f g") for i in range(5)], "doc_id long, text string")
     assert same.select(minhash.fingerprint(F.col("text")).alias("f")).distinct().count() == 1
