@@ -42,6 +42,8 @@ _ROLE = re.compile(r"\[ROLE ((?:[^\\\]]|\\.)*)\] ", re.DOTALL)
 @functools.lru_cache(maxsize=256)
 def escape(text: str) -> str:
     """A text without control strings: a backslash after the first sign of each, and backslashes doubled."""
+    if "<" not in text and "[" not in text and "\\" not in text:
+        return text
     return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
@@ -114,11 +116,16 @@ def locate(render: Render, turns: Sequence[Turn], learned: Sequence[str] = ("ass
             break
         if role in learned:
             probes = [render([*past, (role, x)]) for x in "ab"]
-            head = _shared(*probes)
-            tail = _shared(*(x[head:][::-1] for x in probes))
-            begin, end = head, len(out) - tail
+            if not all(x.startswith(last) for x in probes):
+                rewrites = i
+                break
+            # what is added is short, the output before it may be long
+            added = [x[len(last) :] for x in probes]
+            head = _shared(*added)
+            tail = _shared(*(x[head:][::-1] for x in added))
+            begin, end = len(last) + head, len(out) - tail
             # a template whose marks depend on the text shows no place for it
-            if head < len(last) or end < begin or out[:head] != probes[0][:head] or not out.endswith(probes[0][len(probes[0]) - tail :]):
+            if end < begin or out[len(last) : begin] != added[0][:head] or not out.endswith(added[0][len(added[0]) - tail :]):
                 rewrites = i
                 break
             loss.append((begin - len(base), end - len(base)))
@@ -216,14 +223,31 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, I
             pass
 
 
-def _blocks(render: Render, turns: Iterator[Turn], learned: Sequence[str], block: int, context: int) -> Iterator[Located]:
-    """A conversation's turns located in blocks, so that prefixes of bounded length are rendered.
+def _blocks(render: Render, turns: Iterator[Turn], learned: Sequence[str], block: int, context: int | None = None) -> Iterator[Located]:
+    """A conversation's turns located by rendering all its prefixes, and cut into parts of ``block`` turns.
 
-    The first block has no history. A later one has the conversation's first turn and the
-    ``context`` turns before it for history; its first turn must add the same text after
-    this history as after the whole block before, else the template looks further back
-    than that, which is reported as rewriting.
+    Every turn is rendered after the whole conversation before it. A conversation in which the
+    template rewrites history is one part: the last output whole, without loss spans.
+
+    With ``context``, prefixes of bounded length are rendered instead, which only shows what a
+    template does that looks no further back: the first block has no history, a later one has
+    the conversation's first turn and the ``context`` turns before it. Its first turn must add
+    the same text after this history as after the whole block before, else that is reported
+    as rewriting.
     """
+    if context is None:
+        own = list(turns)
+        whole = locate(render, own, learned)
+        if whole.rewrites is not None:
+            yield whole
+            return
+        loss = iter(whole.loss)
+        for lo in range(0, len(own), block):
+            spans = whole.spans[lo : lo + block]
+            begin, end = spans[0][0], spans[-1][1]
+            mine = [next(loss) for role, _ in own[lo : lo + block] if role in learned]
+            yield Located(whole.text[begin:end], *([(x - begin, y - begin) for x, y in some] for some in (spans, mine)), None)
+        return
     past: list[Turn] = []
     lead: list[Turn] = []
     at = 0
@@ -242,21 +266,23 @@ def _blocks(render: Render, turns: Iterator[Turn], learned: Sequence[str], block
 
 
 def format_conversations(
-    turns: DataFrame, render: Render = inst_template, *, learned: Sequence[str] = ("assistant",), folder: str | None = None, block: int = 32, context: int = 2
+    turns: DataFrame, render: Render = inst_template, *, learned: Sequence[str] = ("assistant",), folder: str | None = None, block: int = 32, context: int | None = None
 ) -> DataFrame:
     """Render the conversations of ``turns`` (conv_id, turn, role, text) and write them to Parquet files.
 
     A file's row is a part of a conversation (``block`` turns; nearly all have one): conv_id,
     part, its text, the spans of its turns and of its learned texts (code points within the
     part), and ``rewrites``, the number of the first turn at which the template rewrote
-    history, else null. Returns the manifest: file, folder, parts. Null roles and texts are
+    history, else null; such a conversation is one part. Returns the manifest: file, folder, parts. Null roles and texts are
     empty, null turns come first, equal turn numbers go by role and text, repeated rows count
     each; rows of null conv_id are one conversation. Extra columns are ignored; an empty
     table gives no files.
 
     Rows that already stand together cross the exchange as one compressed run. A task
-    streams its conversations from sorted runs and holds one block of turns; a conversation is never
-    held whole. Files are put in place whole, so a repeated task writes the same names again.
+    streams its conversations from sorted runs and holds one of them. Each turn is rendered
+    after all turns before it, so the work grows with the square of a conversation's turns;
+    ``context`` bounds it for templates known to look no further back (see ``_blocks``).
+    Files are put in place whole, so a repeated task writes the same names again.
     """
     spark = turns.sparkSession
     ship(spark)

@@ -216,6 +216,27 @@ def test_conversations_written_and_read_back(spark):
     assert shown[1][-1] == 1 and shown[1][2] == 0
 
 
+def test_long_conversations_are_rendered_after_their_whole_past(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>") for i in range(100)]
+    turns = [(r, t) for _, _, r, t in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def far(turns):  # a turn repeats the one 40 turns before it
+        return "".join(f"<{r}>{t}|{turns[i - 40][1] if i >= 40 else ''}" for i, (r, t) in enumerate(turns))
+
+    def late(turns):  # a second turn in the middle of a later block goes once that many follow
+        return "".join(f"<{r}>{t}" for i, (r, t) in enumerate(turns) if i != 1 or len(turns) < 51)
+
+    parts = list(chat._blocks(far, iter(turns), ("assistant",), 32))
+    assert len(parts) == 4 and "".join(p.text for p in parts) == far(turns) and all(p.rewrites is None for p in parts)
+    assert [p.text[a:b] for p in parts for a, b in p.loss] == [t for r, t in turns if r == "assistant"]
+    found = list(chat._blocks(late, iter(turns), ("assistant",), 32))
+    assert [(p.text, p.loss, p.rewrites) for p in found] == [(late(turns), [], 50)]
+    manifest = chat.format_conversations(df, lambda turns: late([(r, chat.escape(t)) for r, t in turns]))
+    shown = chat.read_conversations(manifest, read_turns=lambda text: iter([("", text)])).first()
+    assert (shown["rewrites"], shown["loss_chars"], shown["n_turns"]) == (50, 0, 1)
+
+
 # ------------------------------------------------------------------ ranked search
 
 
