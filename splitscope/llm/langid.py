@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.llm.common import materialize, ship, slices, text_bytes, unit
+from splitscope.session import ensure_short_batches
 
 UNKNOWN = "und"
 _WINDOW = 1 << 18  # bytes worked on at once
@@ -147,6 +148,7 @@ def train(
     """
     spark = docs.sparkSession
     ship(spark)
+    ensure_short_batches(spark)
     known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)))
     # one number a language: as a literal, so that no text crosses an exchange for it
     share = {r["_lang"]: docs_per_language / r["count"] for r in known.groupBy(F.col(lang).alias("_lang")).count().collect()}
@@ -212,6 +214,7 @@ def with_language(docs: DataFrame, model: Ppm, *, to: str = "lang_pred", score:
     """
     spark = docs.sparkSession
     ship(spark)
+    ensure_short_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

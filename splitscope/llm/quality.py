@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitscope.llm.common import run_hashes, ship, slices, text_bytes
+from splitscope.session import ensure_short_batches
 
 _WINDOW = 1 << 19  # bytes of text worked on at once
 
@@ -87,6 +88,7 @@ def word_vectors(docs: DataFrame, shape: Shape = Shape()) -> tuple[np.ndarray, n
     a block from every other. The result, of fixed size, goes to the driver.
     """
     ship(docs.sparkSession)
+    ensure_short_batches(docs.sparkSession)
     size = shape.buckets * shape.dim
     block = 512
 
@@ -272,6 +274,7 @@ def with_quality(docs: DataFrame, model: Quality, *, to: str = "score") -> DataF
     """
     spark = docs.sparkSession
     ship(spark)
+    ensure_short_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

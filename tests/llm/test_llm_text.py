@@ -162,6 +162,29 @@ def test_temperature_undoes_overconfidence():
     assert quality.fit_temperature(z * 3, y) == pytest.approx(3, rel=0.1)
 
 
+def test_whole_texts_go_to_python_in_short_batches(spark):
+    """Where the session names no number of rows itself; its own number stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    model = quality.Quality(quality.Shape(), *(np.zeros(s, np.float32) for s in ((1 << 15, 32), 1 << 15, 98, 98)))
+    own = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        quality.with_quality(docs, model)
+        rows = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(rows) == 3000 and max(rows) <= 1024
+        spark.conf.set(key, "2500")
+        quality.with_quality(docs, model)
+        assert spark.conf.get(key) == "2500"
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs, clashing):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (99, 0)], "doc_id long, quality int")
     model = quality.train(odd_docs, labels)  # one label only: every text scores one half
