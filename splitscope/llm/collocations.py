@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitscope.llm.common import byte_runs, discard, lower_ascii, run_hashes, run_strings, scratch, ship, slices, text_bytes, windows
+from splitscope.llm.common import byte_runs, discard, lower_ascii, range_numbers, run_hashes, run_strings, scratch, ship, slices, text_bytes, windows
 
 # Bytes outside words: the blank and the tab between words, the others between pieces.
 BLANKS = b"\x20\x09"
@@ -71,15 +71,30 @@ def phrase_hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
     return h
 
 
+def _slot(h: np.ndarray, size: int) -> np.ndarray:
+    h = h >> np.uint64(7)
+    return (h % np.uint64(size) if size & (size - 1) else h & np.uint64(size - 1)).astype(np.int64)
+
+
 def slots_of(h: np.ndarray, size: int) -> np.ndarray:
     """The slots of each hash, one row for each probe."""
     step = _mix(h) | np.uint64(1)
-    return np.stack([((h + np.uint64(i) * step) >> np.uint64(7)) % np.uint64(size) for i in range(_PROBES)]).astype(np.int64)
+    return np.stack([_slot(h + np.uint64(i) * step, size) for i in range(_PROBES)])
 
 
 def reached(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The scan in which each hash counts as having reached the threshold; EMPTY: not yet."""
-    return table[slots_of(h, len(table))].max(axis=0)
+    out = table[_slot(h, len(table))]
+    some = np.flatnonzero(out < EMPTY)  # one empty slot tells
+    h = h[some]
+    step = _mix(h) | np.uint64(1)
+    for _ in range(1, _PROBES):
+        h = h + step
+        found = table[_slot(h, len(table))]
+        out[some] = np.maximum(out[some], found)
+        left = found < EMPTY
+        some, h, step = some[left], h[left], step[left]
+    return out
 
 
 # ------------------------------------------------------------------ one scan
@@ -97,6 +112,9 @@ def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
     k 0 counts all words of a language; words count in the first cycle; a longer phrase
     counts in the ``shards`` scans from ``since`` on, the one after its subphrases' last reach.
     """
+    if step >= 2 * shards:
+        yield from _late_scan(lang, text, table, step, shards, longest)
+        return
     names = lang.fill_null("und").dictionary_encode()
     data, offsets = text_bytes(text)
     of_text = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -152,6 +170,53 @@ def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
             code, reach = number, reached(table, h)
 
 
+def _late_scan(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """``scan_texts`` of the scans that count neither words nor pairs any more: words reach in the
+    first cycle, so pairs are counted in the next at latest.
+
+    The few phrases still counted are found by hashes at every place of the texts; only these
+    are read as strings, and told apart as strings.
+    """
+    names = lang.fill_null("und").dictionary_encode()
+    data, offsets = text_bytes(text)
+    of_text = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    salt = string_hashes(names.dictionary)
+    for lo, hi in windows(offsets, 1 << 20):
+        part, own = lower_ascii(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
+        start, end, doc = byte_runs(_WORD[part], own)
+        if not len(start):
+            continue
+        piece = np.cumsum(_BREAK[part], dtype=np.int32)[start] + doc
+        word, of_lang = run_hashes(part, start, end), of_text[lo + doc]
+        # a gram: its first word's place, its hash and scan of reach
+        at, h = np.arange(len(start)), extend(salt[of_lang], word)
+        for k in range(2, longest + 1):
+            reach = reached(table, h)
+            on = reach < EMPTY
+            left = np.flatnonzero(on[:-1] & on[1:] & (at[1:] == at[:-1] + 1))
+            left = left[piece[at[left]] == piece[at[left] + k - 1]]
+            if not len(left):
+                break
+            since = np.maximum(reach[left], reach[left + 1]).astype(np.int64) + 1
+            at, h = at[left], extend(h[left], word[at[left] + k - 1])
+            active = np.flatnonzero(step < since + shards)
+            if len(active):
+                first = at[active]
+                strings = [names.dictionary.take(pa.array(of_lang[first])).cast(pa.string()), pc.binary_join_element_wise(*(_strings(part, start[first + j], end[first + j]) for j in range(k)), " ")]
+                found = pc.binary_join_element_wise(*strings, "\t").dictionary_encode()
+                code = found.indices.to_numpy(zero_copy_only=False)
+                when = np.zeros(len(found.dictionary), dtype=np.int32)
+                when[code] = since[active]
+                yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.bincount(code)), pa.array((when * 16 + k) * 256 + EMPTY)], names=["key", "total", "meta"])
+
+
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """Byte runs, in any order, as strings."""
+    offsets = np.zeros(len(start) + 1, dtype=np.int32)
+    np.cumsum(end - start, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[range_numbers(start, end - start)]))
+
+
 # ------------------------------------------------------------------ the job
 
 
@@ -191,22 +256,22 @@ def count_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, shards:
         state = fresh.groupBy("key").agg(F.sum("total").alias("total"), F.min("meta").alias("meta"))
         state = state.withColumn("meta", F.when(now, F.col("meta") - EMPTY + step).otherwise(F.col("meta")))
         over = since + shards - 1 <= step
-        state = state.withColumn("over", over.cast("int")).filter(~over | (F.col("total") >= least) | (k == 0))
-        state.write.partitionBy("over").parquet(f"{folder}/step-{step}")
+        state = state.withColumns({"over": over.cast("int"), "new": (reach == step).cast("int")}).filter(~over | (F.col("total") >= least) | (k == 0))
+        state.write.partitionBy("over", "new").parquet(f"{folder}/step-{step}")
         if before is not None:
             discard(f"{folder}/step-{step - 1}/over=0")
         shared.unpersist()
-        state = spark.read.schema(_STATE + ", over int").parquet(f"{folder}/step-{step}")
-        new = _mark(state.filter(reach == step).select(*_named()), slots)
+        state = spark.read.schema(_STATE + ", over int, new int").parquet(f"{folder}/step-{step}")
+        new = _mark(state.filter("new = 1").select(*_named()), slots)
         table[new[table[new] == EMPTY]] = step
-        before = state.filter("over = 0").drop("over")
+        before = state.filter("over = 0").drop("over", "new")
         step += 1
         # after the first cycle only phrases over a subphrase reached within the last cycle are active
         recent = table < EMPTY
         if step >= shards and not (recent & (table.astype(np.int16) >= step - shards)).any():
             break
     discard(f"{folder}/texts")
-    steps = [spark.read.schema(_STATE + ", over int").parquet(f"{folder}/step-{i}").filter("over = 1") for i in range(shards - 1, step)]
+    steps = [spark.read.schema(_STATE + ", over int, new int").parquet(f"{folder}/step-{i}").filter("over = 1") for i in range(shards - 1, step)]
     out = steps[0]
     for more in steps[1:]:
         out = out.unionByName(more)

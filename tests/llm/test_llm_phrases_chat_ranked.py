@@ -115,6 +115,33 @@ def test_scans_count_each_active_phrase_for_one_cycle(texts, shards):
             assert total[key] == n
 
 
+def test_late_scans_read_only_counted_phrases_as_strings(monkeypatch):
+    """Once words and pairs are counted, a scan makes no dictionary of all words; its counts are those of the texts."""
+    texts = ["a b \t c d. a b c x", "B a b  c\td", "a b\nc a b, c d", ""]
+    table = np.full(1 << 16, collocations.EMPTY, dtype=np.uint8)
+    mark = {0: ["a", "b", "c", "d"], 3: ["a b", "b c", "c d"], 5: ["a b c", "b c d"]}
+    for step, phrases in mark.items():
+        slots = collocations.slots_of(collocations.phrase_hashes(pa.array(["l"] * len(phrases)), pa.array(phrases)), len(table)).ravel()
+        table[slots[table[slots] == collocations.EMPTY]] = step
+
+    def never(*_):
+        raise AssertionError("all words as strings")
+
+    monkeypatch.setattr(collocations, "run_strings", never)
+    scan = lambda step: {tuple(r.values()) for b in collocations.scan_texts(pa.array(["l"] * 4), pa.array(texts), table, step, 3, 4) for r in b.to_pylist()}
+    meta = lambda since, k: (since * 16 + k) * 256 + collocations.EMPTY
+    assert scan(6) == {("l\ta b c", 3, meta(4, 3)), ("l\tb c d", 2, meta(4, 3)), ("l\ta b c d", 2, meta(6, 4))}
+    assert scan(7) == scan(8) == {("l\ta b c d", 2, meta(6, 4))} and scan(9) == set()
+
+
+def test_reach_is_the_last_scan_of_all_slots():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    for size in (1 << 10, 1000):
+        table = np.where(rng.random(size) < 0.7, rng.integers(0, 9, size), collocations.EMPTY).astype(np.uint8)
+        assert (collocations.reached(table, h) == table[collocations.slots_of(h, size)].max(axis=0)).all()
+
+
 # ------------------------------------------------------------------ chat
 
 
