@@ -32,8 +32,8 @@ from splitscope.llm.common import byte_runs, discard, lower_ascii, range_numbers
 # Bytes outside words: the blank and the tab between words, the others between pieces.
 BLANKS = b"\x20\x09"
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-_BREAK = np.isin(np.arange(256), list(BREAKS))
-_WORD = ~(_BREAK | np.isin(np.arange(256), list(BLANKS)))
+# each byte's kind: 0 of a word, 1 a blank, 2 a break
+_KINDS = bytes(2 if b in BREAKS else 1 if b in BLANKS else 0 for b in range(256))
 EMPTY = 255  # a slot no phrase has written yet
 _PROBES = 4
 # A counted phrase: its language, a tab, its words; and (since * 16 + k) * 256 + reach in one number.
@@ -100,8 +100,23 @@ def reached(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ one scan
 
 
+def _kinds(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to words, and how many breaks there are up to each."""
+    kind = np.frombuffer(part.tobytes().translate(_KINDS), np.uint8)
+    return kind == 0, np.cumsum(kind == 2, dtype=np.int32)
+
+
 def _codes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers 0, 1, ... of equal keys, and the key of each number."""
+    """Numbers 0, 1, ... of equal keys (0 or more each), and the key of each number."""
+    bits = len(key).bit_length()
+    if len(key) and not int(key.max()) >> (63 - bits):
+        # keys and places fit one number: sorted together, equal keys stand side by side
+        both = np.sort(key << bits | np.arange(len(key)))
+        place, both = both & ((1 << bits) - 1), both >> bits
+        first = np.concatenate([[True], both[1:] != both[:-1]])
+        code = np.empty(len(key), np.int64)
+        code[place] = np.cumsum(first) - 1
+        return code, both[first]
     found = pa.array(key).dictionary_encode()
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False)
 
@@ -112,7 +127,7 @@ def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
     k 0 counts all words of a language; words count in the first cycle; a longer phrase
     counts in the ``shards`` scans from ``since`` on, the one after its subphrases' last reach.
     """
-    if step >= 2 * shards:
+    if step > shards:
         yield from _late_scan(lang, text, table, step, shards, longest)
         return
     names = lang.fill_null("und").dictionary_encode()
@@ -121,14 +136,14 @@ def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
     salt = string_hashes(names.dictionary)
     for lo, hi in windows(offsets, 1 << 22):
         part, own = lower_ascii(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
-        inside = _WORD[part]
+        inside, breaks = _kinds(part)
         start, end, doc = byte_runs(inside, own)
         if not len(start):
             continue
         # words of one piece have one number: breaks before them, and texts before theirs
-        piece = np.cumsum(_BREAK[part], dtype=np.int32)[start] + doc
+        piece = breaks[start] + doc
         words = run_strings(part, inside, start, end)
-        del part, inside
+        del part, inside, breaks
         hashes = string_hashes(words.dictionary)
         code, kind = _codes(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(salt) + of_text[lo + doc])
         word, of_lang = kind // len(salt), kind % len(salt)
@@ -171,8 +186,8 @@ def scan_texts(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
 
 
 def _late_scan(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """``scan_texts`` of the scans that count neither words nor pairs any more: words reach in the
-    first cycle, so pairs are counted in the next at latest.
+    """``scan_texts`` of the scans that count no words any more and few pairs: most words reach in
+    the first scan, so most pairs are counted by the end of the second cycle's first.
 
     The few phrases still counted are found by hashes at every place of the texts; only these
     are read as strings, and told apart as strings.
@@ -183,10 +198,11 @@ def _late_scan(lang: pa.Array, text: pa.Array, table: np.ndarray, step: int, sha
     salt = string_hashes(names.dictionary)
     for lo, hi in windows(offsets, 1 << 20):
         part, own = lower_ascii(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
-        start, end, doc = byte_runs(_WORD[part], own)
+        inside, breaks = _kinds(part)
+        start, end, doc = byte_runs(inside, own)
         if not len(start):
             continue
-        piece = np.cumsum(_BREAK[part], dtype=np.int32)[start] + doc
+        piece = breaks[start] + doc
         word, of_lang = run_hashes(part, start, end), of_text[lo + doc]
         # a gram: its first word's place, its hash and scan of reach
         at, h = np.arange(len(start)), extend(salt[of_lang], word)
@@ -253,25 +269,28 @@ def count_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, shards:
             fresh = fresh.unionByName(before)
         k, since, reach = (F.shiftright("meta", 8).bitwiseAND(15), F.shiftright("meta", 12), F.col("meta").bitwiseAND(255))
         now = (F.col("total") >= least) & k.between(1, longest - 1) & (reach == EMPTY)
-        state = fresh.groupBy("key").agg(F.sum("total").alias("total"), F.min("meta").alias("meta"))
+        state = fresh.groupBy(F.col("key").cast("binary").alias("key")).agg(F.sum("total").alias("total"), F.min("meta").alias("meta"))
+        state = state.withColumn("key", F.col("key").cast("string"))
         state = state.withColumn("meta", F.when(now, F.col("meta") - EMPTY + step).otherwise(F.col("meta")))
         over = since + shards - 1 <= step
-        state = state.withColumns({"over": over.cast("int"), "new": (reach == step).cast("int")}).filter(~over | (F.col("total") >= least) | (k == 0))
-        state.write.partitionBy("over", "new").parquet(f"{folder}/step-{step}")
+        # over * 2 + new: files of one column's value are sorted by that number alone
+        state = state.withColumn("part", over.cast("int") * 2 + (reach == step).cast("int")).filter(~over | (F.col("total") >= least) | (k == 0))
+        state.write.partitionBy("part").parquet(f"{folder}/step-{step}")
         if before is not None:
-            discard(f"{folder}/step-{step - 1}/over=0")
+            for i in (0, 1):
+                discard(f"{folder}/step-{step - 1}/part={i}")
         shared.unpersist()
-        state = spark.read.schema(_STATE + ", over int, new int").parquet(f"{folder}/step-{step}")
-        new = _mark(state.filter("new = 1").select(*_named()), slots)
+        state = spark.read.schema(_STATE + ", part int").parquet(f"{folder}/step-{step}")
+        new = _mark(state.filter("part IN (1, 3)").select(*_named()), slots)
         table[new[table[new] == EMPTY]] = step
-        before = state.filter("over = 0").drop("over", "new")
+        before = state.filter("part < 2").drop("part")
         step += 1
         # after the first cycle only phrases over a subphrase reached within the last cycle are active
         recent = table < EMPTY
         if step >= shards and not (recent & (table.astype(np.int16) >= step - shards)).any():
             break
     discard(f"{folder}/texts")
-    steps = [spark.read.schema(_STATE + ", over int, new int").parquet(f"{folder}/step-{i}").filter("over = 1") for i in range(shards - 1, step)]
+    steps = [spark.read.schema(_STATE + ", part int").parquet(f"{folder}/step-{i}").filter("part >= 2") for i in range(shards - 1, step)]
     out = steps[0]
     for more in steps[1:]:
         out = out.unionByName(more)
@@ -304,7 +323,9 @@ def _mark(phrases: DataFrame, slots: int) -> np.ndarray:
 
 def _words(i: int | Column, n: int | Column, phrase: str = "phrase") -> Column:
     """``n`` words of a phrase from the i-th on."""
-    return F.array_join(F.slice(F.split(phrase, " "), i, n), " ")
+    i, n = (c if isinstance(c, Column) else F.lit(c) for c in (i, n))
+    head = F.call_function("substring_index", F.col(phrase), F.lit(" "), i + n - 1)
+    return F.call_function("substring_index", head, F.lit(" "), -n)
 
 
 def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int = 2000, share: int = 80, shards: int = 3, slots: int = 1 << 24, buckets: int = 64) -> DataFrame:
@@ -323,8 +344,9 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int
     all_words = counts.filter("k = 0").select("lang", F.col("total").alias("n"))
     phrases = counts.filter("k > 1").select("lang", "phrase", "k", F.col("total").alias("a"))
     # the greatest count of a longer phrase around each shorter one
-    inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("k") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("k") - m + 1), lambda i: _words(i, m)))))
-    around = phrases.filter("k > 2").select("lang", inner.alias("phrase"), F.col("a").alias("b")).groupBy("lang", "phrase").agg(F.max("b").alias("b"))
+    inner = phrases.filter("k > 2").withColumn("m", F.explode(F.sequence(F.lit(2), F.col("k") - 1)))
+    inner = inner.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("m") + 1)))
+    around = inner.select("lang", _words(F.col("i"), F.col("m")).alias("phrase"), F.col("a").alias("b")).groupBy("lang", "phrase").agg(F.max("b").alias("b"))
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     held = phrases.join(around, ["lang", "phrase"], "left").filter(F.col("b").isNull() | (wide("b") * 100 < wide("a") * share)).drop("b")
     # every cut of a phrase, and the counts of both its parts

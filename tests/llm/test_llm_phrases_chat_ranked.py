@@ -134,6 +134,37 @@ def test_late_scans_read_only_counted_phrases_as_strings(monkeypatch):
     assert scan(7) == scan(8) == {("l\ta b c d", 2, meta(6, 4))} and scan(9) == set()
 
 
+def test_scans_of_the_second_cycle_make_no_dictionary_of_all_words(monkeypatch):
+    """Pairs still counted after the second cycle's first scan are found at their places as well."""
+    texts = ["a b \t c d. a b c x", "B a b  c\td", None]
+    table = np.full(1 << 16, collocations.EMPTY, dtype=np.uint8)
+    for step, phrases in {0: ["a"], 2: ["b", "c", "d"], 3: ["a b", "b c"]}.items():
+        slots = collocations.slots_of(collocations.phrase_hashes(pa.array(["l"] * len(phrases)), pa.array(phrases)), len(table)).ravel()
+        table[slots[table[slots] == collocations.EMPTY]] = step
+
+    def never(*_):
+        raise AssertionError("all words as strings")
+
+    monkeypatch.setattr(collocations, "run_strings", never)
+    found = {tuple(r.values()) for b in collocations.scan_texts(pa.array(["l"] * 3), pa.array(texts), table, 4, 3, 4) for r in b.to_pylist()}
+    meta = lambda since, k: (since * 16 + k) * 256 + collocations.EMPTY
+    pairs = {("l\ta b", 3, meta(3, 2)), ("l\tb c", 3, meta(3, 2)), ("l\tc d", 2, meta(3, 2)), ("l\tb a", 1, meta(3, 2))}
+    assert found == pairs | {("l\ta b c", 3, meta(4, 3))}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9) | st.integers(0, (1 << 62) - 1), max_size=40))
+def test_numbers_of_equal_keys(keys):
+    code, key = collocations._codes(np.array(keys, np.int64))
+    assert key[code].tolist() == keys and len(set(key.tolist())) == len(key) == len(set(keys))
+
+
+def test_words_of_a_phrase(spark):
+    rows = spark.createDataFrame([("a é c d", 1, 4), ("a é c d", 2, 2), ("a é c d", 4, 1), ("a", 1, 1), ("aa a aa", 2, 2)], "phrase string, i int, n int")
+    got = [r[0] for r in rows.select(collocations._words(F.col("i"), F.col("n")), collocations._words(1, F.col("n"))).collect()]
+    assert got == ["a é c d", "é c", "d", "a", "a aa"]
+
+
 def test_reach_is_the_last_scan_of_all_slots():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
