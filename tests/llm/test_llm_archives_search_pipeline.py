@@ -156,6 +156,51 @@ def test_search_of_empty_tables(spark, no_docs, odd_docs, clashing):
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"])] == [1, 2, 2]
 
 
+def test_search_carries_its_threshold_through_the_shards(spark, tmp_path):
+    """Queries meet index files one after the other: results are those of brute force, and later shards are pruned."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(5000 + i, t) for i, t in enumerate(["same words here"] * 3 + [None, ""])]
+    bags = [next(search.terms(pa.array([t], pa.string())), None) for _, t in docs]
+    n, mean = len(docs), sum(int(b[5].sum()) for b in bags) / len(docs)
+    df = Counter(t for b in bags for t in b[3].tolist())
+    asked = [i for i in range(n) if i % 25 == 0]
+    weights = [np.array([math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c for t, c in zip(bags[i][3].tolist(), bags[i][4].tolist())]) for i in asked]
+    cut = np.append(0, np.cumsum([len(w) for w in weights]))
+    queries = search.Queries(cut, np.concatenate([bags[i][3] for i in asked]), np.concatenate(weights), 3)
+    share = []
+    for s in range(3):
+        own = range(s, n, 3)
+        text = np.concatenate([np.full(len(bags[d][3]), j, dtype=np.int32) for j, d in enumerate(own)])
+        whole = [np.concatenate([bags[d][i] for d in own]) for i in (3, 4, 5)]
+        index = search.Index(np.array([docs[d][0] for d in own]), text, *whole, mean, block=8)
+        with pa.OSFile(str(tmp_path / "index"), "wb") as out:
+            index.write(out)
+        index = search.Index.read_from(pa.OSFile(str(tmp_path / "index")))
+        index.search(queries)
+        share.append(index.read / index.asked)
+    assert max(share[1:]) < 0.9 * share[0], share
+    for j, i in enumerate(asked):
+        want = _bm25(docs, docs[i][1])[:3]
+        assert queries.scores[j].tolist() == pytest.approx([s for _, s in want]), i
+        assert len({d for d, _ in want} - set(queries.docs[j].tolist())) == 0 or len({round(s, 9) for _, s in want}) < len(want), i
+
+
+def test_search_gathers_no_lists_by_shard(spark):
+    """A query's task lists its k best of all shards: nothing is ranked again after it; many equal rows make many indexes."""
+    table = spark.createDataFrame([(1, "one word")] * 50 + [(2, "one other word"), (3, "third")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "other word"), (8, "third"), (9, "none")], "query_id long, text string")
+    found = search.bm25_top_k(table, asked, 4, shard_rows=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan, plan
+    rows = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in found.collect())
+    assert rows == [(7, 1, 2), (7, 2, 1), (7, 3, 1), (7, 4, 1), (8, 1, 3)]
+    assert search.bm25_top_k(table, asked, 0).count() == 0
+    assert search.bm25_top_k(table, asked, 100).count() == 52
+
+
 # ------------------------------------------------------------------ pipeline
 
 
