@@ -188,6 +188,39 @@ def test_search_carries_its_threshold_through_the_shards(spark, tmp_path):
         assert len({d for d, _ in want} - set(queries.docs[j].tolist())) == 0 or len({round(s, 9) for _, s in want}) < len(want), i
 
 
+def test_search_keeps_matrices_by_panel(tmp_path):
+    """Documents of two vocabularies: a panel multiplies its own frequent terms only, and results are those of scoring all
+    documents; also in a shard too large for postings of 4 bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for n, words in ((600, 12), (1 << 16 | 40, 3)):
+        rows = [np.unique(rng.zipf(1.4, words) % 500 + 1000 * (d % 2)) for d in range(n)]
+        text, term = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
+        count, mean = rng.integers(1, 4, len(term)), 10.0
+        length = np.bincount(text, weights=count, minlength=n).astype(np.int64)
+        index = search.Index(np.arange(n) * 7, text, term, count, length, mean, block=16, often=6, panel=100)
+        with pa.OSFile(str(tmp_path / f"index{n}"), "wb") as out:
+            index.write(out)
+        index = search.Index.read_from(pa.OSFile(str(tmp_path / f"index{n}")))
+        asked = rng.choice(n, 60, replace=False)
+        weight = {t: float(w) for t, w in zip(np.unique(term).tolist(), rng.random(len(np.unique(term))) + 0.1)}
+        cut = np.append(0, np.cumsum([len(rows[d]) for d in asked]))
+        names = np.concatenate([rows[d] for d in asked])
+        queries = search.Queries(cut, names, np.array([weight[t] for t in names.tolist()]), 5)
+        index.search(queries, together=25)
+        if n == 600:
+            assert sum(matrix.size for _, _, _, matrix, _ in index.parts) < 0.6 * index.n * len(index.columns)
+        each = count * 2.2 / (count + 1.2 * (0.25 + 0.75 * length / mean)[text])
+        for i, d in enumerate(asked):
+            score = np.bincount(text, weights=each * np.where(np.isin(term, rows[d]), [weight[t] for t in term.tolist()], 0), minlength=n)
+            best = np.lexsort((np.arange(n), -np.round(score, 9)))[:5]
+            assert queries.scores[i].tolist() == pytest.approx(score[best][score[best] > 0].tolist()), (n, i)
+            held = np.isin(queries.docs[i], np.flatnonzero(score >= score[best[-1]] - 1e-9) * 7)
+            assert held.all() and len(set(queries.docs[i].tolist())) == len(queries.docs[i]), (n, i)
+
+
 def test_search_gathers_no_lists_by_shard(spark):
     """A query's task lists its k best of all shards: nothing is ranked again after it; many equal rows make many indexes."""
     table = spark.createDataFrame([(1, "one word")] * 50 + [(2, "one other word"), (3, "third")], "doc_id long, text string")
