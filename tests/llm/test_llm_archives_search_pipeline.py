@@ -221,6 +221,53 @@ def test_search_keeps_matrices_by_panel(tmp_path):
             assert held.all() and len(set(queries.docs[i].tolist())) == len(queries.docs[i]), (n, i)
 
 
+def test_search_sorts_terms_that_share_their_first_bits(monkeypatch):
+    """Terms come by text, then term, with their counts, whatever their hashes have in common."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["b a c a", "", None, "c b b a d", "d"]
+    for spread in (1, 1 << 61, -(1 << 61)):
+        monkeypatch.setattr(search, "run_hashes", lambda data, start, end: (data[start].astype(np.int64) * spread).view(np.uint64))
+        for window in (1 << 21, 1):
+            found = {}
+            for lo, hi, text, term, count, length in search.terms(pa.array(texts), window):
+                assert np.array_equal(np.lexsort((term, text)), np.arange(len(text)))
+                found |= {(lo + i, t): n for i, t, n in zip(text.tolist(), term.tolist(), count.tolist())}
+                assert length.tolist() == [len((t or "").split()) for t in texts[lo:hi]]
+            want = {}
+            for i, t in enumerate(texts):
+                for word in (t or "").split():
+                    key = (i, int((np.array([ord(word)], np.int64) * spread)[0]))
+                    want[key] = want.get(key, 0) + 1
+            assert found == want
+
+
+def test_search_scores_found_documents_by_the_terms_they_share():
+    """Long and short documents found by one query, in blocks of unequal size: scores are those of all their terms."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(np.append(rng.integers(0, 40, 5), rng.integers(1000, 9000, 800 if d % 9 == 0 else 2))) for d in range(101)]
+    text, term = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
+    count = rng.integers(1, 300, len(term))
+    length = np.bincount(text, weights=count).astype(np.int64)
+    index = search.Index(np.arange(len(rows)), text, term, count, length, length.mean(), block=7, panel=30)
+    asked = [np.arange(0, 40, 3), rows[9], rows[10]]
+    weight = [rng.random(len(a)) + 0.1 for a in asked]
+    queries = search.Queries(np.append(0, np.cumsum([len(a) for a in asked])), np.concatenate(asked), np.concatenate(weight), 12)
+    index.search(queries)
+    index.search(queries)
+    each = count * 2.2 / (count + 1.2 * (0.25 + 0.75 * length / length.mean())[text])
+    for i, (a, w) in enumerate(zip(asked, weight)):
+        own = dict(zip(a.tolist(), w.tolist()))
+        score = np.bincount(text, weights=each * [own.get(t, 0) for t in term.tolist()])
+        # each document is found twice, once in each pass
+        best = np.lexsort((np.arange(len(rows)), -score))[:6]
+        assert queries.docs[i].tolist() == np.repeat(best, 2).tolist(), i
+        assert queries.scores[i].tolist() == pytest.approx(np.repeat(score[best], 2).tolist()), i
+
+
 def test_search_gathers_no_lists_by_shard(spark):
     """A query's task lists its k best of all shards: nothing is ranked again after it; many equal rows make many indexes."""
     table = spark.createDataFrame([(1, "one word")] * 50 + [(2, "one other word"), (3, "third")], "doc_id long, text string")
